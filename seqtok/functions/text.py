@@ -19,13 +19,13 @@ def py_float_text(x: Column) -> Column:
     # plain branch: decimal(38,22) keeps 16 integer and 22 fraction digits
     dec = x.cast("decimal(38,22)").cast("string")
     plain = F.regexp_replace(F.regexp_replace(dec, "0+$", ""), "\\.$", ".0")
-    # scientific branch from Java text 'M.MMME-X'
-    mant = F.regexp_replace(F.regexp_extract(java, "^(-?[0-9.]+)E", 1), "\\.0$", "")
-    expo = F.regexp_extract(java, "E(-?[0-9]+)$", 1).cast("int")
-    sci = F.concat(
-        mant, F.lit("e"), F.when(expo < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.abs(expo).cast("string"), 2, "0"),
-    )
+    # scientific branch: the shortest '%.{k}e' text that reads back as x; Java's
+    # '%e' already prints 'd.ddde+XX' like Python (Java's own toString is not always
+    # shortest before JDK 19, so its digits are not used here)
+    sci = F.lit(None).cast("string")
+    for k in range(16, -1, -1):
+        cand = F.format_string(f"%.{k}e", x)
+        sci = F.when(cand.cast("double") == x, cand).otherwise(sci)
     ax = F.abs(x)
     return (
         F.when(x.isNull(), F.lit(None).cast("string"))
