@@ -99,11 +99,10 @@ class Params:
     epsilon: float = 1e-7
     # physical knobs
     broadcast_max_bytes: int = 64 << 20
-    rows_per_bucket: int = 500_000
-    max_position_buckets: int = 4096
-    sample_per_bucket: int = 32
-    salt_buckets: int = 16
-    halo_chunk_rows: int = 200_000
+    rows_per_bucket: int = 500_000       # rows per range in global_position
+    max_position_buckets: int = 4096     # above this, range offsets are joined, not literal
+    salt_buckets: int = 16               # salts per key in shuffle lookups
+    halo_chunk_rows: int = 20_000        # rows per chunk in sequence windows
 
     @classmethod
     def parity(cls, **overrides) -> "Params":

@@ -2,13 +2,12 @@
 
 Global order without a single-partition window
 ----------------------------------------------
-``global_position`` splits the key space into B contiguous ranges whose bounds are
-taken from a bounded sample (at most ``B * sample_per_bucket`` key tuples reach the
-driver), counts rows per range (B numbers), and adds the prefix offset of its range to
-``row_number() over (partition by range order by keys)``. Bounds and offsets are
-literals, so the result is a lazy, deterministic DataFrame; each window partition holds
-about ``rows_per_bucket`` rows. Ranges are cut on the *whole* key tuple, so one hot
-leading key is spread over many ranges.
+``global_position`` range-partitions the rows on the *whole* key tuple (so one hot
+leading key is spread over many ranges), sorts inside each range and checkpoints the
+result to the shared checkpoint folder. With the layout fixed, per-range row counts
+(one number per range reach the driver) give each range its offset, and the row's
+index inside its range comes from ``monotonically_increasing_id``. No window, no
+single partition; each range holds about ``rows_per_bucket`` rows.
 
 History windows with halo chunks
 --------------------------------
@@ -33,78 +32,47 @@ from seqtok.functions.arrays import left_pad
 _DEFAULT = Params()
 
 
-def _as_cols(order: Sequence) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in order]
-
-
-def _sort_key(v):
-    # NULLs first, as Spark sorts ascending
-    return (0, 0) if v is None else (1, v)
-
-
-def _range_bucket(keys: list[Column], types, bounds: list[tuple]) -> Column:
-    """Index of the key's range: number of bounds <= key, as a balanced CASE tree."""
-    if len(keys) == 1:
-        key = keys[0]
-        lits = [F.lit(b[0]).cast(types[0]) for b in bounds]
-    else:
-        key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-        lits = [
-            F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))])
-            for b in bounds
-        ]
-
-    def build(lo: int, hi: int) -> Column:
-        # result in [lo, hi]; bound index j separates range j and j+1
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(key >= lits[mid - 1], build(mid, hi)).otherwise(build(lo, mid - 1))
-
-    return build(0, len(bounds))
+def _sort_orders(order: Sequence) -> list[Column]:
+    return [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in order]
 
 
 def global_position(df: DataFrame, order: Sequence, out: str = "pos",
-                    params: Params = _DEFAULT, seed: int = 7) -> DataFrame:
-    """Add ``out``: the 0-based position of each row in ascending ``order``.
-
-    ``order`` must be a total order (unique key tuple), else ties are broken
-    arbitrarily. Runs up to three small actions on ``df`` (count, bounded sample,
-    per-range counts); checkpoint an expensive ``df`` first.
+                    params: Params = _DEFAULT) -> DataFrame:
+    """Add ``out``: the 0-based position of each row in ``order``.
+
+    ``order`` items are column names (ascending) or Column sort expressions
+    (``F.desc("freq")``). The order should be total (unique key tuple); ties get an
+    arbitrary but fixed order. Range-partitions into ``ceil(n / rows_per_bucket)``
+    partitions (Spark samples the bounds; the driver sample is bounded by Spark),
+    sorts within partitions and checkpoints the result to the shared checkpoint
+    folder, so partition ids and in-partition row numbers are fixed from here on.
+    A second small job counts rows per partition; position = rows of all earlier
+    partitions + row number inside the partition. Returns a DataFrame over the
+    checkpointed data (lineage is cut here).
     """
-    keys = _as_cols(order)
-    names = [f"__k{i}" for i in range(len(keys))]
-    base = df.select("*", *[k.alias(n) for k, n in zip(keys, names)])
-    types = [base.schema[n].dataType for n in names]
-    n = base.count()
-    n_buckets = max(1, min(params.max_position_buckets, math.ceil(n / params.rows_per_bucket)))
-    if n_buckets <= 1:
-        bucket = F.lit(0)
-        bounds: list[tuple] = []
-    else:
-        want = n_buckets * params.sample_per_bucket
-        frac = min(1.0, 2.0 * want / n)
-        rows = base.select(*names).sample(False, frac, seed).collect()
-        sample = sorted((tuple(r) for r in rows), key=lambda t: tuple(_sort_key(v) for v in t))
-        bounds = []
-        for j in range(1, n_buckets):
-            cand = sample[min(len(sample) - 1, j * len(sample) // n_buckets)]
-            if not bounds or cand != bounds[-1]:
-                bounds.append(cand)
-        bucket = _range_bucket([F.col(x) for x in names], types, bounds) if bounds else F.lit(0)
-    staged = base.withColumn("__b", bucket)
-    if bounds:
-        counts = dict(staged.groupBy("__b").count().collect())
-    else:
-        counts = {0: n}
+    keys = _sort_orders(order)
+    n = df.count()
+    parts = max(1, math.ceil(n / params.rows_per_bucket))
+    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    staged = ranged.select("*", F.spark_partition_id().alias("__p"),
+                           F.monotonically_increasing_id().alias("__m"))
+    counts = dict(staged.groupBy("__p").count().collect())  # one row per partition
+    n_parts = max(counts) + 1 if counts else 0
     offsets, acc = [], 0
-    for b in range(len(bounds) + 1):
+    for i in range(n_parts):
         offsets.append(acc)
-        acc += counts.get(b, 0)
-    offset_arr = F.expr("array(" + ",".join(f"{o}L" for o in offsets) + ")")
-    w = Window.partitionBy("__b").orderBy(*[F.col(x).asc_nulls_first() for x in names])
-    pos = F.element_at(offset_arr, F.col("__b") + 1) + F.row_number().over(w) - 1
-    return staged.withColumn(out, pos.cast("long")).drop("__b", *names)
+        acc += counts.get(i, 0)
+    row_in_part = F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33)
+    if n_parts <= params.max_position_buckets:
+        offset = F.element_at(F.expr("array(" + ",".join(f"{o}L" for o in offsets) + ")"),
+                              F.col("__p") + 1)
+        return staged.withColumn(out, (offset + row_in_part).cast("long")).drop("__p", "__m")
+    # many partitions: join a (partition, offset) table of n_parts rows, a proven bound
+    spark = df.sparkSession
+    table = spark.createDataFrame(list(enumerate(offsets)), "__p int, __off long")
+    joined = staged.join(F.broadcast(table), "__p", "inner")
+    return joined.withColumn(out, (F.col("__off") + row_in_part).cast("long")).drop(
+        "__p", "__m", "__off")
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rank",

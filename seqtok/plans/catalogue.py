@@ -49,13 +49,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- shared stages
 def events_records(spark: SparkSession, sf_dir: str, params: Params = EV) -> DataFrame:
-    """``(pos, event_id, tokens, answer)``: positioned, tokenized events (checkpointed,
-    as the reference persists its sentences before building the vocabulary)."""
+    """``(pos, event_id, tokens, answer)``: positioned, tokenized events. The positioned
+    records are checkpointed by ``global_position`` (as the reference persists its
+    sentences before building the vocabulary); tokens are a projection over them."""
     events = read(spark, sf_dir, "events")
     spec = events_spec()
     bounds = collect_bounds(events, spec.bucket_columns)
-    positioned = global_position(events, ["event_id"], "pos", params)
-    return tokenize_records(positioned, spec, bounds, params, keep=["pos", "event_id"]).checkpoint()
+    positioned = global_position(events.select("event_id", *spec_columns(spec)), ["event_id"],
+                                 "pos", params)
+    return tokenize_records(positioned, spec, bounds, params, keep=["pos", "event_id"])
+
+
+def spec_columns(spec) -> list[str]:
+    cols = [f.column for f in spec.features] + ([spec.answer] if spec.answer else [])
+    return list(dict.fromkeys(cols))
 
 
 def events_vocab(rec: DataFrame, params: Params = EV) -> tuple[DataFrame, DataFrame]:
