@@ -4,9 +4,9 @@ Global order without a single-partition window
 ----------------------------------------------
 ``global_position`` range-partitions the rows on the *whole* key tuple (so one hot
 leading key is spread over many ranges), sorts inside each range and checkpoints the
-result to the shared checkpoint folder. With the layout fixed, per-range row counts
-(one number per range reach the driver) give each range its offset, and the row's
-index inside its range comes from ``monotonically_increasing_id``. No window, no
+result once, with each row's range id and in-range index, as a Parquet table in the
+shared checkpoint folder. Per-range row counts (one number per range reach the
+driver) give each range its offset. No window, no
 single partition; each range holds about ``rows_per_bucket`` rows.
 
 History windows with halo chunks
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from seqtok.config import Params
 from seqtok.functions.arrays import left_pad
+from seqtok.session import scratch_path
 
 _DEFAULT = Params()
 
@@ -42,21 +43,24 @@ def global_position(df: DataFrame, order: Sequence, out: str = "pos",
 
     ``order`` items are column names (ascending) or Column sort expressions
     (``F.desc("freq")``). The order should be total (unique key tuple); ties get an
-    arbitrary but fixed order. Range-partitions into ``ceil(n / rows_per_bucket)``
-    partitions (Spark samples the bounds; the driver sample is bounded by Spark),
-    sorts within partitions and checkpoints the result to the shared checkpoint
-    folder, so partition ids and in-partition row numbers are fixed from here on.
-    A second small job counts rows per partition; position = rows of all earlier
-    partitions + row number inside the partition. Returns a DataFrame over the
-    checkpointed data (lineage is cut here).
+    arbitrary but fixed order. The rows are range-partitioned into
+    ``ceil(n / rows_per_bucket)`` ranges (Spark samples the bounds; its driver sample
+    is bounded), sorted inside each range, and written once to a Parquet table in the
+    shared checkpoint folder together with their range id and in-range row index.
+    A second job reads only the range-id column to count rows per range; position =
+    rows of all earlier ranges + in-range index. Lineage is cut at the written table.
     """
     keys = _sort_orders(order)
+    spark = df.sparkSession
     n = df.count()
     parts = max(1, math.ceil(n / params.rows_per_bucket))
-    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     staged = ranged.select("*", F.spark_partition_id().alias("__p"),
                            F.monotonically_increasing_id().alias("__m"))
-    counts = dict(staged.groupBy("__p").count().collect())  # one row per partition
+    path = scratch_path(spark, "position")
+    staged.write.mode("overwrite").parquet(path)
+    back = spark.read.parquet(path)
+    counts = dict(back.groupBy("__p").count().collect())  # one row per range
     n_parts = max(counts) + 1 if counts else 0
     offsets, acc = [], 0
     for i in range(n_parts):
@@ -66,11 +70,10 @@ def global_position(df: DataFrame, order: Sequence, out: str = "pos",
     if n_parts <= params.max_position_buckets:
         offset = F.element_at(F.expr("array(" + ",".join(f"{o}L" for o in offsets) + ")"),
                               F.col("__p") + 1)
-        return staged.withColumn(out, (offset + row_in_part).cast("long")).drop("__p", "__m")
-    # many partitions: join a (partition, offset) table of n_parts rows, a proven bound
-    spark = df.sparkSession
+        return back.withColumn(out, (offset + row_in_part).cast("long")).drop("__p", "__m")
+    # many ranges: join a (range, offset) table of n_parts rows, a proven bound
     table = spark.createDataFrame(list(enumerate(offsets)), "__p int, __off long")
-    joined = staged.join(F.broadcast(table), "__p", "inner")
+    joined = back.join(F.broadcast(table), "__p", "inner")
     return joined.withColumn(out, (F.col("__off") + row_in_part).cast("long")).drop(
         "__p", "__m", "__off")
 

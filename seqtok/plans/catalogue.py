@@ -307,11 +307,16 @@ def q_embed_tokens(spark, sf):
     dim = _embedding_dim(emb)
     vectors = emb.select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vector"))
     out = embed_tokens(idx, vectors, N_FEATURES, dim, ids_col="feat")
-    x = F.col("embedded").cast("array<double>")
-    steps = reshape_steps(x, N_FEATURES, dim)
-    hits = F.size(F.filter(steps, lambda s: F.exists(s, lambda v: v != 0)))
+    x = F.col("embedded")
+    # a step is a hit when its vector has a non-zero element (slices: no lambda)
+    hits = None
+    for i in range(N_FEATURES):
+        step = F.slice(x, i * dim + 1, dim)
+        h = ((F.array_max(step) != 0) | (F.array_min(step) != 0)).cast("int")
+        hits = h if hits is None else hits + h
     vsum = F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    vchk = F.aggregate(F.transform(x, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    vchk = F.aggregate(F.zip_with(x, F.sequence(F.lit(1), F.size(x)), lambda v, i: v * i),
+                       F.lit(0.0), lambda a, v: a + v)
     return out.select("event_id", hits.alias("n_hits"), _r6(vsum).alias("vec_sum"),
                       _r6(vchk).alias("vec_check"))
 
