@@ -42,8 +42,9 @@ def global_position(df: DataFrame, order: Sequence, out: str = "pos",
     """Add ``out``: the 0-based position of each row in ``order``.
 
     ``order`` items are column names (ascending) or Column sort expressions
-    (``F.desc("freq")``). The order should be total (unique key tuple); ties get an
-    arbitrary but fixed order. The rows are range-partitioned into
+    (``F.desc("freq")``). The order must be total (unique key tuple); ties are
+    broken arbitrarily. Up to ``rows_per_bucket`` rows are numbered by one
+    ``row_number()`` task. Larger inputs are range-partitioned into
     ``ceil(n / rows_per_bucket)`` ranges (Spark samples the bounds; its driver sample
     is bounded), sorted inside each range, and written once to a Parquet table in the
     shared checkpoint folder together with their range id and in-range row index.
@@ -53,7 +54,11 @@ def global_position(df: DataFrame, order: Sequence, out: str = "pos",
     keys = _sort_orders(order)
     spark = df.sparkSession
     n = df.count()
-    parts = max(1, math.ceil(n / params.rows_per_bucket))
+    if n <= params.rows_per_bucket:
+        # one range: a single bounded task numbers at most rows_per_bucket rows
+        w = Window.orderBy(*keys)
+        return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
+    parts = math.ceil(n / params.rows_per_bucket)
     ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     staged = ranged.select("*", F.spark_partition_id().alias("__p"),
                            F.monotonically_increasing_id().alias("__m"))

@@ -67,8 +67,7 @@ def spec_columns(spec) -> list[str]:
 
 def events_vocab(rec: DataFrame, params: Params = EV) -> tuple[DataFrame, DataFrame]:
     freq = token_frequencies(explode_tokens(rec)).checkpoint()
-    vocab = build_vocabulary(freq, params).checkpoint()
-    return freq, vocab
+    return freq, build_vocabulary(freq, params)
 
 
 def events_indexed(spark: SparkSession, sf_dir: str, params: Params = EV,
