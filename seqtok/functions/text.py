@@ -22,10 +22,11 @@ def py_float_text(x: Column) -> Column:
     # scientific branch: the shortest '%.{k}e' text that reads back as x; Java's
     # '%e' already prints 'd.ddde+XX' like Python (Java's own toString is not always
     # shortest before JDK 19, so its digits are not used here)
-    sci = F.lit(None).cast("string")
-    for k in range(16, -1, -1):
-        cand = F.format_string(f"%.{k}e", x)
-        sci = F.when(cand.cast("double") == x, cand).otherwise(sci)
+    # (one reference to x keeps the expression small; only evaluated for such values)
+    formats = F.array(*[F.lit(f"%.{k}e") for k in range(17)])
+    sci = F.element_at(
+        F.filter(F.transform(formats, lambda f: F.printf(f, x)),
+                 lambda c: c.cast("double") == x), 1)
     ax = F.abs(x)
     return (
         F.when(x.isNull(), F.lit(None).cast("string"))

@@ -32,7 +32,7 @@ from seqtok.operators.vocab import (
     build_vocabulary, distinct_tokens, first_n, index_tokens, mask_tokens, replace_oov,
     token_frequencies, top_tokens,
 )
-from seqtok.session import scratch_path
+from seqtok.session import materialize, scratch_path
 from seqtok.sources import sinks
 from seqtok.sources.records import parse_records, rows_per_file
 
@@ -66,7 +66,7 @@ def spec_columns(spec) -> list[str]:
 
 
 def events_vocab(rec: DataFrame, params: Params = EV) -> tuple[DataFrame, DataFrame]:
-    freq = token_frequencies(explode_tokens(rec)).checkpoint()
+    freq = materialize(token_frequencies(explode_tokens(rec)), "frequencies")
     return freq, build_vocabulary(freq, params)
 
 
@@ -460,7 +460,8 @@ def q_fit_and_score(spark, sf):
         "pos", "label", learn.window_terms(F.col("window"), N_FEATURES).alias("terms"),
         learn.class_weight(F.col("label"), EV).alias("weight"),
         split_name(F.col("chunk_id"), EV).alias("split"),
-    ).checkpoint()
+    )
+    win = materialize(win, "windows")
     train = win.where(F.col("split") == "train")
     models = learn.fit_candidates(train, [("lr_it5", 5, 0.0), ("lr_it20", 20, 0.01)],
                                   num_features=1 << 16)

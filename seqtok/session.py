@@ -69,3 +69,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root for intermediate tables."""
     root = ensure_checkpoint_dir(spark)
     return os.path.join(root, "seqtok", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str = "table"):
+    """Cut lineage: write ``df`` once as Parquet under the shared checkpoint root and
+    read it back (columnar, so later stages prune columns). Used instead of
+    ``DataFrame.checkpoint()``, which derives constraints from the unoptimised plan
+    and can stall the driver on wide projections."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -1,0 +1,5 @@
+"""Streaming variants of the stateless record operators."""
+
+from seqtok.streaming.tokenize import index_stream, read_record_stream, start_parquet_sink
+
+__all__ = ["index_stream", "read_record_stream", "start_parquet_sink"]
