@@ -67,7 +67,8 @@ def spec_columns(spec) -> list[str]:
 
 def events_vocab(rec: DataFrame, params: Params = EV) -> tuple[DataFrame, DataFrame]:
     freq = materialize(token_frequencies(explode_tokens(rec)), "frequencies")
-    return freq, build_vocabulary(freq, params)
+    # the vocabulary is persisted (as the reference saves it) and then shared by all lookups
+    return freq, materialize(build_vocabulary(freq, params), "vocabulary")
 
 
 def events_indexed(spark: SparkSession, sf_dir: str, params: Params = EV,
