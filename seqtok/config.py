@@ -7,12 +7,14 @@ from dataclasses import dataclass, field, replace
 
 @dataclass(frozen=True)
 class Bounds:
-    """min, max, sample stddev and bucket count of one continuous column."""
+    """min, max, sample stddev and bucket count of one continuous column, and the
+    number of rows they were taken over."""
 
     minimum: float | None
     maximum: float | None
     stddev: float | None
     n_buckets: int
+    n_rows: int | None = None
 
 
 @dataclass(frozen=True)

@@ -95,12 +95,15 @@ def load_models(spark: SparkSession, root: str) -> dict[str, PipelineModel]:
 
 def token_vectors(sentences: DataFrame, tokens_col: str = "tokens", dim: int = 40,
                   min_count: int = 5, seed: int = 1, max_iter: int = 1,
-                  window_size: int = 5, num_partitions: int = 1) -> DataFrame:
+                  window_size: int = 5, num_partitions: int | None = None) -> DataFrame:
     """``(token, vector array<float>)`` from Spark ML ``Word2Vec`` over token arrays.
 
     Long sentences are cut into pieces of ``maxSentenceLength`` by Word2Vec itself;
-    every token of every text is used.
+    every token of every text is used. Training runs on ``num_partitions`` partitions
+    (default: the session's parallelism).
     """
+    if num_partitions is None:
+        num_partitions = sentences.sparkSession.sparkContext.defaultParallelism
     w2v = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, maxIter=max_iter,
                    windowSize=window_size, numPartitions=num_partitions,
                    inputCol=tokens_col, outputCol="__vec")

@@ -38,7 +38,7 @@ def _sort_orders(order: Sequence) -> list[Column]:
 
 
 def global_position(df: DataFrame, order: Sequence, out: str = "pos",
-                    params: Params = _DEFAULT) -> DataFrame:
+                    params: Params = _DEFAULT, n_rows: int | None = None) -> DataFrame:
     """Add ``out``: the 0-based position of each row in ``order``.
 
     ``order`` items are column names (ascending) or Column sort expressions
@@ -50,10 +50,11 @@ def global_position(df: DataFrame, order: Sequence, out: str = "pos",
     shared checkpoint folder together with their range id and in-range row index.
     A second job reads only the range-id column to count rows per range; position =
     rows of all earlier ranges + in-range index. Lineage is cut at the written table.
+    ``n_rows``: the row count when the caller already has it (saves one job).
     """
     keys = _sort_orders(order)
     spark = df.sparkSession
-    n = df.count()
+    n = df.count() if n_rows is None else n_rows
     if n <= params.rows_per_bucket:
         # one range: a single bounded task numbers at most rows_per_bucket rows
         w = Window.orderBy(*keys)

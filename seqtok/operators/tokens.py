@@ -28,13 +28,15 @@ def as_double(df: DataFrame, column: str) -> Column:
 
 
 def column_bounds(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """One-row DataFrame: ``<c>_min, <c>_max, <c>_stddev, <c>_n`` for every column."""
+    """One-row DataFrame: ``<c>_min, <c>_max, <c>_stddev, <c>_n`` for every column, and
+    the row count ``__rows`` (same pass)."""
     columns = list(columns)
     aggs = []
     for c in columns:
         x = as_double(df, c)
         aggs += [F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max"),
                  F.stddev_samp(x).alias(f"{c}_stddev")]
+    aggs.append(F.count(F.lit(1)).alias("__rows"))
     row = df.agg(*aggs)
     return row.select(
         "*",
@@ -67,7 +69,8 @@ def collect_bounds(df: DataFrame, columns: Iterable[str]) -> dict[str, Bounds]:
         return {}
     row = column_bounds(df, columns).first()
     return {
-        c: Bounds(row[f"{c}_min"], row[f"{c}_max"], row[f"{c}_stddev"], int(row[f"{c}_n"]))
+        c: Bounds(row[f"{c}_min"], row[f"{c}_max"], row[f"{c}_stddev"], int(row[f"{c}_n"]),
+                  int(row["__rows"]))
         for c in columns
     }
 

@@ -55,8 +55,9 @@ def events_records(spark: SparkSession, sf_dir: str, params: Params = EV) -> Dat
     events = read(spark, sf_dir, "events")
     spec = events_spec()
     bounds = collect_bounds(events, spec.bucket_columns)
+    n_rows = next(iter(bounds.values())).n_rows
     positioned = global_position(events.select("event_id", *spec_columns(spec)), ["event_id"],
-                                 "pos", params)
+                                 "pos", params, n_rows=n_rows)
     return tokenize_records(positioned, spec, bounds, params, keep=["pos", "event_id"])
 
 
@@ -479,7 +480,7 @@ def q_fit_and_score(spark, sf):
 def q_token_vectors(spark, sf):
     """Word2Vec vectors for record tokens (rows only: training is not SQL)."""
     rec = events_records(spark, sf)
-    return learn.token_vectors(rec.select("tokens"), dim=40, min_count=1, num_partitions=1)
+    return learn.token_vectors(rec.select("tokens"), dim=40, min_count=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
