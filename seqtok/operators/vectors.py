@@ -13,7 +13,7 @@ so a group holding a third of all rows is combined map-side like any sum.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -48,13 +48,22 @@ def embed_tokens(records: DataFrame, vectors: DataFrame, n_tokens: int, dim: int
     return staged.withColumn(out, F.flatten(out)) if flatten else staged
 
 
+Bias = Sequence[float] | Callable[[Column], Column] | None
+
+
 def attention_scores(vec: Column, step: Column, W: Sequence[float],
-                     b: Sequence[float] | None, mask: Column | None = None) -> Column:
-    """Unnormalised weight ``exp(tanh(x.W + b_step)) * mask`` of one step (double)."""
+                     b: Bias, mask: Column | None = None) -> Column:
+    """Unnormalised weight ``exp(tanh(x.W + b_step)) * mask`` of one step (double).
+
+    ``b`` is a list indexed by step (a model's fixed number of steps) or a function of
+    the step column (a rule; nothing sized by the data is built on the driver).
+    """
     w_arr = double_array(W)
     x = vec.cast("array<double>")
     dot = F.aggregate(F.zip_with(x, w_arr, lambda u, v: u * v), F.lit(0.0), lambda acc, y: acc + y)
-    if b is not None:
+    if callable(b):
+        dot = dot + b(step).cast("double")
+    elif b is not None:
         dot = dot + F.element_at(double_array(b), (step + 1).cast("int"))
     a = F.exp(F.tanh(dot))
     if mask is not None:
@@ -63,7 +72,7 @@ def attention_scores(vec: Column, step: Column, W: Sequence[float],
 
 
 def attention_pool(df: DataFrame, group_cols: Sequence[str], step_col: str, vec_col: str,
-                   W: Sequence[float], b: Sequence[float] | None = None,
+                   W: Sequence[float], b: Bias = None,
                    mask_col: str | None = None, epsilon: float = 1e-7,
                    return_attention: bool = False, out: str = "pooled"):
     """Attention-pooled vector per group: ``(group_cols..., pooled array<double>)``.
@@ -94,8 +103,8 @@ def attention_pool(df: DataFrame, group_cols: Sequence[str], step_col: str, vec_
 
 
 def past_future_pool(df: DataFrame, group_cols: Sequence[str], step_col: str, vec_col: str,
-                     center: int, W_past: Sequence[float], b_past: Sequence[float] | None,
-                     W_future: Sequence[float], b_future: Sequence[float] | None,
+                     center: int, W_past: Sequence[float], b_past: Bias,
+                     W_future: Sequence[float], b_future: Bias,
                      epsilon: float = 1e-7, out: str = "pooled") -> DataFrame:
     """Pool steps ``0..center`` read backwards and steps ``center..`` forwards with two
     attention weight sets, then concatenate ``[past, future]``. Step ``center`` is in

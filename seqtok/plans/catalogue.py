@@ -36,9 +36,11 @@ from seqtok.session import materialize, scratch_path
 from seqtok.sources import sinks
 from seqtok.sources.records import parse_records, rows_per_file
 
-# events parameters: 1,000-row chunks (8 train, 2 validation, rest test), 128-row batches
+# events parameters: 1,000-row chunks (8 train, 2 validation, rest test), 128-row batches;
+# history windows are computed per 1,000-row chunk with a halo from the previous chunk
 EV = Params(attack_values=EVENTS_ATTACK, rows_per_chunk=1000, batch_size=128,
-            train_chunks=8, validation_chunks=2, window=40, maskable=None)
+            train_chunks=8, validation_chunks=2, window=40, maskable=None,
+            halo_chunk_rows=1000)
 N_FEATURES = events_spec().n_features          # 4
 N_TOKENS = events_spec().n_tokens              # 5
 
@@ -239,6 +241,14 @@ def q_global_position(spark, sf):
         "event_id", "pos")
 
 
+def q_global_position_ranges(spark, sf):
+    """Global position through the multi-range path: 1,000-row ranges, each written
+    with its range id and in-range index, offsets from per-range counts."""
+    p = EV.with_(rows_per_bucket=1000)
+    return global_position(read(spark, sf, "events"), ["value", "event_id"], "pos", p).select(
+        "event_id", "pos")
+
+
 def q_sequence_window_global(spark, sf):
     idx = events_indexed(spark, sf)
     win = sequence_window(idx, "feat", 40, pad_step(), flatten=True, params=EV)
@@ -330,45 +340,42 @@ def _w_future(dim):
     return [((d % 5) - 2) * 0.04 for d in range(dim)]
 
 
-def _b_past(t_max):
-    return [(t % 5) * 0.01 for t in range(t_max)]
+def _b_past(t):
+    return (t % 5) * 0.01
 
 
-def _b_future(t_max):
-    return [(t % 3) * 0.02 for t in range(t_max)]
+def _b_future(t):
+    return (t % 3) * 0.02
 
 
 def _embedding_steps(spark, sf):
     emb = read(spark, sf, "embeddings")
     dim = _embedding_dim(emb)
     steps = rank_within(emb, ["label"], ["vec_id"], "step", EV)
-    t_max = int(steps.agg(F.max("step")).first()[0]) + 1
-    return steps, dim, t_max
+    return steps, dim
 
 
 def q_attention_pool(spark, sf):
-    steps, dim, t_max = _embedding_steps(spark, sf)
-    pooled = attention_pool(steps, ["label"], "step", "embedding", _w_past(dim), _b_past(t_max))
+    steps, dim = _embedding_steps(spark, sf)
+    pooled = attention_pool(steps, ["label"], "step", "embedding", _w_past(dim), _b_past)
     return pooled.select("label", F.posexplode("pooled").alias("dim", "pooled")).select(
         "label", "dim", _r6("pooled").alias("pooled"))
 
 
 def q_attention_weights(spark, sf):
-    steps, dim, t_max = _embedding_steps(spark, sf)
+    steps, dim = _embedding_steps(spark, sf)
     staged = steps.select("label", "vec_id", "step", "embedding")
     _, weights = attention_pool(staged, ["label"], "step", "embedding", _w_past(dim),
-                                _b_past(t_max), return_attention=True)
+                                _b_past, return_attention=True)
     # weights keep the group key and step; vec_id follows from (label, step)
     return weights.join(staged.select("label", "step", "vec_id"), ["label", "step"]).select(
         "label", "vec_id", "step", _r6("attention").alias("attention"))
 
 
 def q_past_future_pool(spark, sf):
-    steps, dim, t_max = _embedding_steps(spark, sf)
-    center = 25
-    span = max(center, t_max - center) + 1
-    pooled = past_future_pool(steps, ["label"], "step", "embedding", center,
-                              _w_past(dim), _b_past(span), _w_future(dim), _b_future(span))
+    steps, dim = _embedding_steps(spark, sf)
+    pooled = past_future_pool(steps, ["label"], "step", "embedding", 25,
+                              _w_past(dim), _b_past, _w_future(dim), _b_future)
     return pooled.select("label", F.posexplode("pooled").alias("dim", "pooled")).select(
         "label", "dim", _r6("pooled").alias("pooled"))
 
@@ -502,6 +509,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mask_tokens": q_mask_tokens,
     "binary_label": q_binary_label,
     "global_position": q_global_position,
+    "global_position_ranges": q_global_position_ranges,
     "sequence_window_global": q_sequence_window_global,
     "sequence_window_keyed": q_sequence_window_keyed,
     "label_window": q_label_window,

@@ -231,6 +231,8 @@ FROM events"""
     q["global_position"] = """
 SELECT event_id, CAST(row_number() OVER (ORDER BY value, event_id) - 1 AS BIGINT) AS pos FROM events"""
 
+    q["global_position_ranges"] = q["global_position"]
+
     q["sequence_window_global"] = with_events(
         f"SELECT event_id, {window_sql(40, 4)} AS window FROM idx")
 
