@@ -56,9 +56,11 @@ def global_position(df: DataFrame, order: Sequence, out: str = "pos",
     spark = df.sparkSession
     n = df.count() if n_rows is None else n_rows
     if n <= params.rows_per_bucket:
-        # one range: a single bounded task numbers at most rows_per_bucket rows
+        # one range: a single bounded task numbers at most rows_per_bucket rows, then the
+        # rows are spread again so later stages do not inherit a single partition
         w = Window.orderBy(*keys)
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
+        numbered = df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
+        return numbered.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = math.ceil(n / params.rows_per_bucket)
     ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     staged = ranged.select("*", F.spark_partition_id().alias("__p"),
@@ -100,34 +102,47 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, out: str =
               .drop("__gpos", "__first"))
 
 
-def sequence_window(df: DataFrame, value: str | Column, n: int, pad, pos_col: str = "pos",
-                    keys: Sequence[str] = (), out: str = "window", chunk_rows: int | None = None,
-                    flatten: bool = False, params: Params = _DEFAULT) -> DataFrame:
-    """History of the last ``n`` values up to and including each row, left-padded.
+def sequence_windows(df: DataFrame, values: dict, n: int, pos_col: str = "pos",
+                     keys: Sequence[str] = (), chunk_rows: int | None = None,
+                     params: Params = _DEFAULT) -> DataFrame:
+    """Several history windows over the same rows in ONE exchange and one Window.
 
-    ``pos_col`` must be a dense 0-based position in the order (per key when
-    ``keys`` is given, consecutive across keys otherwise: use ``global_position`` over
-    ``(keys, order)``). ``pad`` is a Python value or a Column of the element type.
+    ``values`` maps output name -> ``(value column, pad, flatten)``. Each output is the
+    last ``n`` values up to and including the row, left-padded with ``pad``.
+    ``pos_col`` must be a dense 0-based position (consecutive across keys when ``keys``
+    is given: use ``global_position`` over ``(keys, order)``).
     """
     if n < 1:
         raise ValueError("window length must be >= 1")
     halo = n - 1
     c = max(chunk_rows or params.halo_chunk_rows, halo, 1)
-    val = F.col(value) if isinstance(value, str) else value
     pos = F.col(pos_col)
     chunk = F.floor(pos / c).cast("long")
     in_halo = (pos - chunk * c) >= (c - halo)
     targets = F.when(F.lit(halo > 0) & in_halo, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
-    staged = df.select("*", val.alias("__v"), chunk.alias("__c"), F.explode(targets).alias("__w"))
+    vals = {out: (F.col(v) if isinstance(v, str) else v) for out, (v, _, _) in values.items()}
+    staged = df.select("*", *[v.alias(f"__v_{out}") for out, v in vals.items()],
+                       chunk.alias("__c"), F.explode(targets).alias("__w"))
     w = (Window.partitionBy("__w", *keys).orderBy(pos_col)
          .rowsBetween(-halo, Window.currentRow))
-    pad_col = pad if isinstance(pad, Column) else F.lit(pad)
-    hist = left_pad(F.collect_list("__v").over(w), n, pad_col)
-    if flatten:
-        hist = F.flatten(hist)
-    return (staged.withColumn(out, hist)
+    outs = []
+    for out, (_, pad, flat) in values.items():
+        pad_col = pad if isinstance(pad, Column) else F.lit(pad)
+        hist = left_pad(F.collect_list(f"__v_{out}").over(w), n, pad_col)
+        outs.append((F.flatten(hist) if flat else hist).alias(out))
+    return (staged.select("*", *outs)
                   .where(F.col("__w") == F.col("__c"))
-                  .drop("__v", "__c", "__w"))
+                  .drop("__c", "__w", *[f"__v_{out}" for out in values]))
+
+
+def sequence_window(df: DataFrame, value: str | Column, n: int, pad, pos_col: str = "pos",
+                    keys: Sequence[str] = (), out: str = "window", chunk_rows: int | None = None,
+                    flatten: bool = False, params: Params = _DEFAULT) -> DataFrame:
+    """History of the last ``n`` values up to and including each row, left-padded.
+
+    ``pad`` is a Python value or a Column of the element type. See ``sequence_windows``.
+    """
+    return sequence_windows(df, {out: (value, pad, flatten)}, n, pos_col, keys, chunk_rows, params)
 
 
 def binary_label(answer: Column, params: Params = _DEFAULT) -> Column:

@@ -22,7 +22,7 @@ from seqtok.operators import evaluate as ev_ops
 from seqtok.operators import learn
 from seqtok.operators.sequence import (
     assign_batch, assign_chunk, binary_label, global_position, label_window, rank_within,
-    sequence_window, split_name,
+    sequence_window, sequence_windows, split_name,
 )
 from seqtok.operators.tokens import (
     bounds_table, bucket_expr, collect_bounds, explode_tokens, to_sentence, tokenize_records,
@@ -91,8 +91,8 @@ def pad_step() -> F.Column:
 def events_windows(spark: SparkSession, sf_dir: str, n: int = 40, params: Params = EV) -> DataFrame:
     """Indexed, windowed, labelled, chunked and batched events."""
     idx = events_indexed(spark, sf_dir, params)
-    win = sequence_window(idx, "feat", n, pad_step(), flatten=True, out="features", params=params)
-    win = label_window(win, "label", n, params=params)
+    win = sequence_windows(idx, {"features": ("feat", pad_step(), True), "labels": ("label", 0, False)},
+                           n, params=params)
     win = assign_batch(assign_chunk(win, params.rows_per_chunk), params.batch_size)
     return win.withColumn("split", split_name(F.col("chunk_id"), params))
 
