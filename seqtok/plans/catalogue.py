@@ -34,7 +34,7 @@ from seqtok.operators.vocab import (
 )
 from seqtok.session import materialize, scratch_path
 from seqtok.sources import sinks
-from seqtok.sources.records import parse_records, rows_per_file
+from seqtok.sources.records import ORDER_COLUMNS, parse_records, read_records, rows_per_file
 
 # events parameters: 1,000-row chunks (8 train, 2 validation, rest test), 128-row batches;
 # history windows are computed per 1,000-row chunk with a halo from the previous chunk
@@ -171,6 +171,21 @@ def q_text_record_split(spark, sf):
     return parse_records(lines, cols, on_bad="fail")
 
 
+def q_text_record_order(spark, sf):
+    """Records from text files: events are written as comma-separated lines into
+    several files (file and line order = event order), read back with the fixed-schema
+    text reader, and positioned by (file, split, line)."""
+    events = read(spark, sf, "events")
+    line = F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string"),
+                       "event_type", py_float_text(F.col("value")), "props").alias("value")
+    path = scratch_path(spark, "records-text")
+    (events.repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+           .select(line).write.text(path))
+    rec = read_records(spark, path, ["f_event_id", "f_user_id", "f_event_type", "f_value", "f_props"])
+    pos = global_position(rec, list(ORDER_COLUMNS), "pos", EV)
+    return pos.select("f_event_id", "f_value", "pos")
+
+
 def q_token_frequencies(spark, sf):
     return token_frequencies(explode_tokens(events_records(spark, sf)))
 
@@ -497,6 +512,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "encode_tokens": q_encode_tokens,
     "record_sentence": q_record_sentence,
     "text_record_split": q_text_record_split,
+    "text_record_order": q_text_record_order,
     "token_frequencies": q_token_frequencies,
     "doc_token_frequencies": q_doc_token_frequencies,
     "distinct_tokens": q_distinct_tokens,

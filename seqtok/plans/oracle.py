@@ -179,6 +179,10 @@ SELECT string_split(line, ',')[1] AS f_event_id, string_split(line, ',')[2] AS f
        string_split(line, ',')[3] AS f_event_type, string_split(line, ',')[4] AS f_value,
        string_split(line, ',')[5] AS f_props FROM lines"""
 
+    q["text_record_order"] = """
+SELECT CAST(event_id AS VARCHAR) AS f_event_id, CAST(value AS VARCHAR) AS f_value,
+       CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS pos FROM events"""
+
     q["token_frequencies"] = with_events("SELECT token, freq FROM freq")
 
     q["doc_token_frequencies"] = """
