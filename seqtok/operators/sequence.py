@@ -167,6 +167,26 @@ def assign_chunk(df: DataFrame, rows_per_chunk: int, pos_col: str = "pos",
     return df.withColumn(out, chunk).withColumn("row_in_chunk", pos - chunk * rows_per_chunk)
 
 
+def assign_chunk_by_key(df: DataFrame, rows_per_chunk: int, keys: Sequence[str],
+                        order: Sequence, out: str = "chunk_id",
+                        params: Params = _DEFAULT) -> DataFrame:
+    """Chunks that also end where the key ends (e.g. at every input file): rows are
+    ranked inside their key, cut every ``rows_per_chunk`` rows, and the
+    ``(key, chunk in key)`` pairs get dense ids in key order. Adds ``row_in_chunk``.
+
+    The id table has one row per chunk; it is joined back on ``(key, chunk in key)``
+    (AQE broadcasts it when its measured size is small).
+    """
+    keys = list(keys)
+    ranked = rank_within(df, keys, order, "__rk", params)
+    staged = ranked.withColumn("__ck", F.floor(F.col("__rk") / rows_per_chunk).cast("long"))
+    chunks = staged.select(*keys, "__ck").distinct()
+    ids = global_position(chunks, [*keys, "__ck"], out, params)
+    return (staged.join(ids, [*keys, "__ck"], "inner")
+                  .withColumn("row_in_chunk", F.col("__rk") - F.col("__ck") * rows_per_chunk)
+                  .drop("__rk", "__ck"))
+
+
 def assign_batch(df: DataFrame, batch_size: int, row_col: str = "row_in_chunk",
                  out: str = "batch_id") -> DataFrame:
     """Batch number inside a chunk; the last batch of a chunk may be short."""

@@ -21,7 +21,7 @@ from seqtok.functions.text import py_float_text
 from seqtok.operators import evaluate as ev_ops
 from seqtok.operators import learn
 from seqtok.operators.sequence import (
-    assign_batch, assign_chunk, binary_label, global_position, label_window, rank_within,
+    assign_batch, assign_chunk, assign_chunk_by_key, binary_label, global_position, label_window, rank_within,
     sequence_window, sequence_windows, split_name,
 )
 from seqtok.operators.tokens import (
@@ -303,6 +303,14 @@ def q_chunk_assign(spark, sf):
         "event_id", "pos", "chunk_id", "row_in_chunk")
 
 
+def q_chunk_by_key(spark, sf):
+    """Chunks of 20 rows that also end where a user's events end (the per-file cut of
+    the reference, keyed here by user)."""
+    events = read(spark, sf, "events").select("event_id", "user_id")
+    return assign_chunk_by_key(events, 20, ["user_id"], ["event_id"], params=EV).select(
+        "event_id", "user_id", "chunk_id", "row_in_chunk")
+
+
 def q_batch_assign(spark, sf):
     chunked = assign_chunk(_positioned_events(spark, sf), EV.rows_per_chunk)
     return assign_batch(chunked, EV.batch_size).select("event_id", "chunk_id", "batch_id")
@@ -531,6 +539,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_window": q_label_window,
     "past_future_split": q_past_future_split,
     "chunk_assign": q_chunk_assign,
+    "chunk_by_key": q_chunk_by_key,
     "batch_assign": q_batch_assign,
     "train_validation_split": q_train_validation_split,
     "rows_per_file": q_rows_per_file,

@@ -261,6 +261,13 @@ SELECT event_id, array_to_string(flatten(list_reverse(steps[1:26])), ',') AS pas
 WITH p AS (SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS pos FROM events)
 SELECT event_id, pos, CAST(pos // 1000 AS BIGINT) AS chunk_id, CAST(pos % 1000 AS BIGINT) AS row_in_chunk FROM p"""
 
+    q["chunk_by_key"] = """
+WITH r AS (SELECT event_id, user_id,
+                  row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rk FROM events),
+c AS (SELECT event_id, user_id, rk, rk // 20 AS ck FROM r)
+SELECT event_id, user_id, CAST(dense_rank() OVER (ORDER BY user_id, ck) - 1 AS BIGINT) AS chunk_id,
+       CAST(rk - ck * 20 AS BIGINT) AS row_in_chunk FROM c"""
+
     q["batch_assign"] = """
 WITH p AS (SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS pos FROM events)
 SELECT event_id, CAST(pos // 1000 AS BIGINT) AS chunk_id, CAST((pos % 1000) // 128 AS BIGINT) AS batch_id FROM p"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqtok.config import Params
 from seqtok.operators.sequence import (
-    assign_batch, assign_chunk, global_position, label_window, rank_within, sequence_window,
+    assign_batch, assign_chunk, assign_chunk_by_key, global_position, label_window, rank_within, sequence_window,
 )
 
 
@@ -120,3 +120,13 @@ def test_no_row_lost_or_doubled_across_chunks(spark):
         out = sequence_window(df, "pos", 40, -1, chunk_rows=39)
         assert out.count() == n_rows
         assert out.select("pos").distinct().count() == n_rows
+
+
+def test_chunks_end_at_file_ends(spark):
+    rows = [("f1", i) for i in range(5)] + [("f2", i) for i in range(3)] + [("f3", i) for i in range(4)]
+    df = spark.createDataFrame(rows, "file string, line long")
+    got = assign_chunk_by_key(df, 2, ["file"], ["line"]).orderBy("file", "line").collect()
+    assert [(r.file, r.line, r.chunk_id, r.row_in_chunk) for r in got] == [
+        ("f1", 0, 0, 0), ("f1", 1, 0, 1), ("f1", 2, 1, 0), ("f1", 3, 1, 1), ("f1", 4, 2, 0),
+        ("f2", 0, 3, 0), ("f2", 1, 3, 1), ("f2", 2, 4, 0),
+        ("f3", 0, 5, 0), ("f3", 1, 5, 1), ("f3", 2, 6, 0), ("f3", 3, 6, 1)]
