@@ -112,3 +112,16 @@ def test_float_text_matches_math_rules():
     assert repr(1e-4) == "0.0001" and repr(9.9e-5) == "9.9e-05"
     assert repr(9999999999999998.0) == "9999999999999998.0" and repr(1e16) == "1e+16"
     assert not math.isnan(0.0)
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.floats(allow_nan=False, allow_infinity=False), min_size=50, max_size=300))
+def test_python_float_text_property(spark, vals):
+    # any finite double prints exactly like Python's str()
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(py_float_text(F.col("x"))).collect()]
+    assert got == [str(v) for v in vals]
