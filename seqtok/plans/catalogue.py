@@ -97,9 +97,14 @@ def events_windows(spark: SparkSession, sf_dir: str, n: int = 40, params: Params
     return win.withColumn("split", split_name(F.col("chunk_id"), params))
 
 
-def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three deterministic score columns standing in for three saved models."""
-    events = global_position(read(spark, sf_dir, "events"), ["event_id"], "pos", EV)
+def model_scores(spark: SparkSession, sf_dir: str, with_pos: bool = True) -> DataFrame:
+    """Three deterministic score columns standing in for three saved models. The row
+    position (needed to align predictions with truth) is computed only when asked."""
+    events = read(spark, sf_dir, "events")
+    if with_pos:
+        events = global_position(events, ["event_id"], "pos", EV)
+    else:
+        events = events.withColumn("pos", F.lit(None).cast("long"))
     label = binary_label(F.col("event_type"), EV)
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("double")
     parts = [
@@ -416,23 +421,24 @@ def _round_metrics(df: DataFrame, keys=()) -> DataFrame:
 
 
 def q_precision_recall_curve(spark, sf):
-    scores = model_scores(spark, sf).where(F.col("model_id") == "m_value")
+    scores = model_scores(spark, sf, with_pos=False).where(F.col("model_id") == "m_value")
     return _round_metrics(ev_ops.precision_recall_curve(scores, params=EV))
 
 
 def q_compare_models(spark, sf):
-    return _round_metrics(ev_ops.compare_models(model_scores(spark, sf), params=EV), ["model_id"])
+    return _round_metrics(ev_ops.compare_models(model_scores(spark, sf, with_pos=False), params=EV),
+                          ["model_id"])
 
 
 def q_model_losses(spark, sf):
-    ls = ev_ops.model_losses(model_scores(spark, sf), params=EV)
+    ls = ev_ops.model_losses(model_scores(spark, sf, with_pos=False), params=EV)
     return ls.select("model_id", _r6("log_loss").alias("log_loss"),
                      _r6("weighted_loss").alias("weighted_loss"),
                      _r6("binary_accuracy").alias("binary_accuracy"), "n")
 
 
 def q_best_model(spark, sf):
-    ls = ev_ops.model_losses(model_scores(spark, sf), params=EV)
+    ls = ev_ops.model_losses(model_scores(spark, sf, with_pos=False), params=EV)
     return ev_ops.best_model(ls).select("model_id", _r6("log_loss").alias("log_loss"))
 
 
