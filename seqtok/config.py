@@ -82,7 +82,7 @@ class Params:
     unk_id: int = 1
     first_id: int = 2
     unknown_token: str = "unknown"
-    include_label_tokens: bool = True
+    include_label_tokens: bool = True   # answer tokens get vocabulary ids too (as the reference)
     # sequence
     window: int = 40
     rows_per_chunk: int = 50001

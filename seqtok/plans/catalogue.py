@@ -69,7 +69,8 @@ def spec_columns(spec) -> list[str]:
 
 
 def events_vocab(rec: DataFrame, params: Params = EV) -> tuple[DataFrame, DataFrame]:
-    freq = materialize(token_frequencies(explode_tokens(rec)), "frequencies")
+    tokens = explode_tokens(rec, include_answer=params.include_label_tokens)
+    freq = materialize(token_frequencies(tokens), "frequencies")
     # the vocabulary is persisted (as the reference saves it) and then shared by all lookups
     return freq, materialize(build_vocabulary(freq, params), "vocabulary")
 
@@ -84,8 +85,8 @@ def events_indexed(spark: SparkSession, sf_dir: str, params: Params = EV,
                       binary_label(F.col("answer"), params).alias("label"))
 
 
-def pad_step() -> F.Column:
-    return F.array_repeat(F.lit(0).cast("long"), N_FEATURES)
+def pad_step(params: Params = EV) -> F.Column:
+    return F.array_repeat(F.lit(params.pad_id).cast("long"), N_FEATURES)
 
 
 def events_windows(spark: SparkSession, sf_dir: str, n: int = 40, params: Params = EV) -> DataFrame:

@@ -79,3 +79,14 @@ def test_size_in_bytes_bounds(spark):
     df = spark.createDataFrame([("abc", 1), ("de", 2)], "token string, token_id long")
     # 2 rows x (16 overhead + 8 long) + (3+8) + (2+8)
     assert size_in_bytes(df) == 2 * 24 + 11 + 10
+
+
+def test_vocabulary_without_label_tokens(spark):
+    from seqtok.operators.tokens import explode_tokens
+
+    rec = spark.createDataFrame([(0, ["a", "b", "normal."]), (1, ["a", "c", "smurf."])],
+                                "pos long, tokens array<string>")
+    with_labels = token_frequencies(explode_tokens(rec, include_answer=True))
+    without = token_frequencies(explode_tokens(rec, include_answer=False))
+    assert {r.token for r in with_labels.collect()} == {"a", "b", "c", "normal.", "smurf."}
+    assert {r.token for r in without.collect()} == {"a", "b", "c"}
