@@ -1,7 +1,7 @@
 """Learning and scoring with Spark ML.
 
-The classifier sees a history window as a bag of ``"<step>:<token_id>"`` terms, hashed
-into a sparse vector (``HashingTF``), and a class-weighted ``LogisticRegression``
+The classifier sees a history window as a bag of (step, token id) terms, each one
+number ``token_id * n_steps + step``, hashed into a sparse vector (``HashingTF``), and a class-weighted ``LogisticRegression``
 (``weightCol``) is fitted on it; both are distributed Spark ML stages. Candidate
 models (the reference's per-epoch checkpoints) are a small parameter grid scored into
 one table keyed by ``model_id``. Token vectors come from Spark ML ``Word2Vec``.
@@ -32,12 +32,12 @@ def class_weight(label: Column, params: Params = _DEFAULT) -> Column:
     return F.element_at(F.create_map(*pairs), label)
 
 
-def window_terms(ids: Column, fields_per_step: int) -> Column:
-    """``"<step>:<token_id>"`` for every element of a flat window array."""
+def window_terms(ids: Column, fields_per_step: int, n_steps: int) -> Column:
+    """One numeric term per element of a flat window array: ``token_id * n_steps + step``
+    (unique per (step, token) pair; no string is built per element)."""
     return F.transform(
         ids,
-        lambda x, i: F.concat(F.floor(i / fields_per_step).cast("string"), F.lit(":"),
-                              x.cast("string")),
+        lambda x, i: x.cast("long") * n_steps + F.floor(i / fields_per_step).cast("long"),
     )
 
 

@@ -496,7 +496,7 @@ def q_fit_and_score(spark, sf):
     idx = events_indexed(spark, sf)
     win = sequence_window(idx, "feat", 5, pad_step(), flatten=True, params=EV)
     win = assign_chunk(win, EV.rows_per_chunk).select(
-        "pos", "label", learn.window_terms(F.col("window"), N_FEATURES).alias("terms"),
+        "pos", "label", learn.window_terms(F.col("window"), N_FEATURES, 5).alias("terms"),
         learn.class_weight(F.col("label"), EV).alias("weight"),
         split_name(F.col("chunk_id"), EV).alias("split"),
     )

@@ -75,7 +75,7 @@ def test_connection_record_flow(spark, tmp_path):
 
     # class-weighted classifier on window terms, two candidates, scores, sweep, best model
     def terms(df):
-        return df.select("pos", "label", learn.window_terms(F.col("features"), 41).alias("terms"),
+        return df.select("pos", "label", learn.window_terms(F.col("features"), 41, p.window).alias("terms"),
                          learn.class_weight(F.col("label"), p).alias("weight"))
 
     models = learn.fit_candidates(terms(train), [("it3", 3, 0.0), ("it10", 10, 0.01)],

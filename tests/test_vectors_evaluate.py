@@ -99,5 +99,5 @@ def test_align_scores_cuts_longer_side(spark):
 
 def test_class_weight_and_terms(spark):
     df = spark.createDataFrame([(0, [3, 4, 5, 6])], "label int, w array<long>")
-    r = df.select(class_weight(F.col("label")).alias("cw"), window_terms(F.col("w"), 2).alias("t")).first()
-    assert r.cw == 10.0 and r.t == ["0:3", "0:4", "1:5", "1:6"]
+    r = df.select(class_weight(F.col("label")).alias("cw"), window_terms(F.col("w"), 2, 2).alias("t")).first()
+    assert r.cw == 10.0 and r.t == [6, 8, 11, 13]  # id * 2 + step
