@@ -37,6 +37,13 @@ def _sort_orders(order: Sequence) -> list[Column]:
     return [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in order]
 
 
+def _parallelism(spark) -> int:
+    try:
+        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    except (TypeError, ValueError):
+        return max(1, spark.sparkContext.defaultParallelism)
+
+
 def global_position(df: DataFrame, order: Sequence, out: str = "pos",
                     params: Params = _DEFAULT, n_rows: int | None = None) -> DataFrame:
     """Add ``out``: the 0-based position of each row in ``order``.
@@ -60,7 +67,7 @@ def global_position(df: DataFrame, order: Sequence, out: str = "pos",
         # rows are spread again so later stages do not inherit a single partition
         w = Window.orderBy(*keys)
         numbered = df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
-        return numbered.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return numbered.repartition(_parallelism(spark))
     parts = math.ceil(n / params.rows_per_bucket)
     ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     staged = ranged.select("*", F.spark_partition_id().alias("__p"),
