@@ -130,3 +130,13 @@ def test_chunks_end_at_file_ends(spark):
         ("f1", 0, 0, 0), ("f1", 1, 0, 1), ("f1", 2, 1, 0), ("f1", 3, 1, 1), ("f1", 4, 2, 0),
         ("f2", 0, 3, 0), ("f2", 1, 3, 1), ("f2", 2, 4, 0),
         ("f3", 0, 5, 0), ("f3", 1, 5, 1), ("f3", 2, 6, 0), ("f3", 3, 6, 1)]
+
+
+def test_large_input_positions_use_no_window(spark):
+    # beyond one range the position comes from the ranged write: no Window, no single partition
+    df = spark.range(0, 3000).withColumn("k", (F.col("id") * 37) % 3001)
+    got = global_position(df, ["k"], "pos", Params(rows_per_bucket=400))
+    got._jdf.queryExecution().toRdd().count()
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Window" not in final and "SinglePartition" not in final
+    assert got.agg(F.countDistinct("pos"), F.max("pos")).first() == (3000, 2999)
