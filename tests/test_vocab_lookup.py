@@ -90,3 +90,32 @@ def test_vocabulary_without_label_tokens(spark):
     without = token_frequencies(explode_tokens(rec, include_answer=False))
     assert {r.token for r in with_labels.collect()} == {"a", "b", "c", "normal.", "smurf."}
     assert {r.token for r in without.collect()} == {"a", "b", "c"}
+
+
+def test_tokens_with_nulls_and_nan(spark):
+    from seqtok.config import FieldToken, RecordSpec
+    from seqtok.operators.tokens import collect_bounds, tokenize_records
+
+    df = spark.createDataFrame(
+        [(1.0, "a", 5.5, "x"), (None, None, None, None), (float("nan"), "b", 2.0, "y")],
+        "v double, s string, d double, ans string")
+    spec = RecordSpec((FieldToken("v", "bucket"), FieldToken("s", "text"), FieldToken("d", "text")),
+                      answer="ans")
+    p = Params(on_nan="keep")
+    b = collect_bounds(df.where(~F.isnan("v")), spec.bucket_columns)
+    got = [r.tokens for r in tokenize_records(df, spec, b, p).collect()]
+    assert got[1] == ["Nonev_bucketized", "Nones", "Noned", "None"]
+    assert got[0][1:] == ["as", "5.5d", "x"]
+    assert got[2][0] == f"{b['v'].n_buckets}v_bucketized"  # NaN kept in its own bucket
+
+
+def test_empty_input_pipeline(spark):
+    from seqtok.operators.sequence import global_position, sequence_window
+    from seqtok.operators.tokens import explode_tokens
+
+    rec = spark.createDataFrame([], "k long, tokens array<string>")
+    pos = global_position(rec, ["k"])
+    vocab = build_vocabulary(token_frequencies(explode_tokens(pos)), Params())
+    idx = index_tokens(pos, vocab, 2, Params())
+    win = sequence_window(idx, "token_ids", 3, F.array(F.lit(0).cast("long"), F.lit(0).cast("long")))
+    assert vocab.count() == 0 and win.count() == 0
