@@ -34,6 +34,8 @@ def py_float_text(x: Column) -> Column:
         .when(x == float("inf"), F.lit("inf"))
         .when(x == float("-inf"), F.lit("-inf"))
         .when(x == 0, java)  # '0.0' / '-0.0' as in Python
+        # Java prints plain shortest digits here, exactly like Python: no regex needed
+        .when((ax >= 1e-3) & (ax < 1e7), java)
         .when((ax >= 1e-4) & (ax < 1e16), plain)
         .otherwise(sci)
     )
