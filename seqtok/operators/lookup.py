@@ -27,6 +27,12 @@ def size_in_bytes(table: DataFrame) -> int:
     Strings and binaries count their bytes; arrays count elements x 8 (+ string bytes
     for string arrays); every other value counts 8; each row adds 16 of overhead.
     """
+    return table_stats(table)[1]
+
+
+def table_stats(table: DataFrame) -> tuple[int, int]:
+    """``(rows, size bound in bytes)`` of ``table`` in one aggregate action (see
+    ``size_in_bytes`` for the size rule)."""
     parts: list[Column] = [F.lit(16)]
     for f in table.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -45,8 +51,8 @@ def size_in_bytes(table: DataFrame) -> int:
     row_bytes = parts[0]
     for p in parts[1:]:
         row_bytes = row_bytes + p
-    got = table.agg(F.sum(row_bytes.cast("long")).alias("b")).first()["b"]
-    return int(got or 0)
+    got = table.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes.cast("long")).alias("b")).first()
+    return int(got["n"] or 0), int(got["b"] or 0)
 
 
 def fits_broadcast(table: DataFrame, params: Params = _DEFAULT) -> bool:

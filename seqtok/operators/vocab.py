@@ -28,13 +28,15 @@ def distinct_tokens(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     return tokens.select(F.col(token_col).alias("token")).distinct()
 
 
-def build_vocabulary(freq: DataFrame, params: Params = _DEFAULT) -> DataFrame:
+def build_vocabulary(freq: DataFrame, params: Params = _DEFAULT,
+                     n_rows: int | None = None) -> DataFrame:
     """``(token, token_id, freq)`` with ids ``first_id..`` in (freq desc, token asc).
 
     Reserved ids (pad, unknown) are not rows of the table; lookups default to
-    ``unk_id``. Checkpoint ``freq`` first when it is expensive to recompute.
+    ``unk_id``. Materialize ``freq`` first when it is expensive to recompute;
+    ``n_rows`` is its row count when already known.
     """
-    ranked = global_position(freq, [-F.col("freq"), F.col("token")], "__r", params)
+    ranked = global_position(freq, [-F.col("freq"), F.col("token")], "__r", params, n_rows)
     return ranked.select(
         "token", (F.col("__r") + F.lit(params.first_id)).alias("token_id"), "freq"
     )

@@ -27,6 +27,7 @@ from seqtok.operators.sequence import (
 from seqtok.operators.tokens import (
     bounds_table, bucket_expr, collect_bounds, explode_tokens, to_sentence, tokenize_records,
 )
+from seqtok.operators.lookup import table_stats
 from seqtok.operators.vectors import attention_pool, embed_tokens, past_future_pool
 from seqtok.operators.vocab import (
     build_vocabulary, distinct_tokens, first_n, index_tokens, mask_tokens, replace_oov,
@@ -68,19 +69,25 @@ def spec_columns(spec) -> list[str]:
     return list(dict.fromkeys(cols))
 
 
-def events_vocab(rec: DataFrame, params: Params = EV) -> tuple[DataFrame, DataFrame]:
+def events_vocab(rec: DataFrame, params: Params = EV) -> tuple[DataFrame, DataFrame, bool]:
+    """``(freq, vocab, small)``. One aggregate over the written frequency table gives
+    its row count and size bound; the vocabulary's ``(token, token_id)`` rows have the
+    same layout as ``(token, freq)``, so the same bound decides whether lookups in
+    either table may be broadcast."""
     tokens = explode_tokens(rec, include_answer=params.include_label_tokens)
     freq = materialize(token_frequencies(tokens), "frequencies")
+    n, nbytes = table_stats(freq.select("token", "freq"))
     # the vocabulary is persisted (as the reference saves it) and then shared by all lookups
-    return freq, materialize(build_vocabulary(freq, params), "vocabulary")
+    vocab = materialize(build_vocabulary(freq, params, n_rows=n), "vocabulary")
+    return freq, vocab, nbytes <= params.broadcast_max_bytes
 
 
 def events_indexed(spark: SparkSession, sf_dir: str, params: Params = EV,
                    broadcast: bool | None = None) -> DataFrame:
     """``(pos, event_id, tokens, answer, token_ids, feat, label)``."""
     rec = events_records(spark, sf_dir, params)
-    _, vocab = events_vocab(rec, params)
-    idx = index_tokens(rec, vocab, N_TOKENS, params, broadcast=broadcast)
+    _, vocab, small = events_vocab(rec, params)
+    idx = index_tokens(rec, vocab, N_TOKENS, params, broadcast=small if broadcast is None else broadcast)
     return idx.select("*", F.slice("token_ids", 1, N_FEATURES).alias("feat"),
                       binary_label(F.col("answer"), params).alias("label"))
 
@@ -219,7 +226,7 @@ def q_first_n(spark, sf):
 
 
 def q_vocabulary(spark, sf):
-    _, vocab = events_vocab(events_records(spark, sf))
+    _, vocab, _ = events_vocab(events_records(spark, sf))
     return vocab
 
 
@@ -236,18 +243,18 @@ def q_oov_replace(spark, sf):
     rec = events_records(spark, sf)
     n = rec.count()
     train = rec.where(F.col("pos") < (n * 8) // 10)
-    _, vocab = events_vocab(train)
-    seen = replace_oov(rec, vocab, N_TOKENS, EV)
-    idx = index_tokens(seen, vocab, N_TOKENS, EV)
+    _, vocab, small = events_vocab(train)
+    seen = replace_oov(rec, vocab, N_TOKENS, EV, broadcast=small)
+    idx = index_tokens(seen, vocab, N_TOKENS, EV, broadcast=small)
     return idx.select("event_id", _join_ids("tokens_seen").alias("tokens_seen"),
                       _join_ids("token_ids").alias("token_ids"))
 
 
 def q_mask_tokens(spark, sf):
     rec = events_records(spark, sf)
-    freq, vocab = events_vocab(rec)
-    idx = index_tokens(rec, vocab, N_TOKENS, EV)
-    masked = mask_tokens(idx, freq, N_FEATURES, EV.with_(mask_seed=42))
+    freq, vocab, small = events_vocab(rec)
+    idx = index_tokens(rec, vocab, N_TOKENS, EV, broadcast=small)
+    masked = mask_tokens(idx, freq, N_FEATURES, EV.with_(mask_seed=42), broadcast=small)
     return masked.select("event_id", "mask_pos", "masked", _join_ids("token_ids").alias("token_ids"))
 
 
@@ -477,7 +484,7 @@ def q_sentence_round_trip(spark, sf):
 
 
 def q_vocabulary_round_trip(spark, sf):
-    _, vocab = events_vocab(events_records(spark, sf))
+    _, vocab, _ = events_vocab(events_records(spark, sf))
     path = scratch_path(spark, "vocabulary")
     sinks.save_vocabulary(vocab, path)
     return sinks.load_vocabulary(spark, path).select("token", "token_id", "freq")
