@@ -52,7 +52,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- shared stages
 def events_records(spark: SparkSession, sf_dir: str, params: Params = EV) -> DataFrame:
-    """``(pos, event_id, tokens, answer)``: positioned, tokenized events. The positioned
+    """``(pos, event_id, user_id, tokens, answer)``: positioned, tokenized events. The positioned
     records are checkpointed by ``global_position`` (as the reference persists its
     sentences before building the vocabulary); tokens are a projection over them."""
     events = read(spark, sf_dir, "events")
@@ -61,7 +61,7 @@ def events_records(spark: SparkSession, sf_dir: str, params: Params = EV) -> Dat
     n_rows = next(iter(bounds.values())).n_rows
     positioned = global_position(events.select("event_id", *spec_columns(spec)), ["event_id"],
                                  "pos", params, n_rows=n_rows)
-    return tokenize_records(positioned, spec, bounds, params, keep=["pos", "event_id"])
+    return tokenize_records(positioned, spec, bounds, params, keep=["pos", "event_id", "user_id"])
 
 
 def spec_columns(spec) -> list[str]:
@@ -84,7 +84,7 @@ def events_vocab(rec: DataFrame, params: Params = EV) -> tuple[DataFrame, DataFr
 
 def events_indexed(spark: SparkSession, sf_dir: str, params: Params = EV,
                    broadcast: bool | None = None) -> DataFrame:
-    """``(pos, event_id, tokens, answer, token_ids, feat, label)``."""
+    """``(pos, event_id, user_id, tokens, answer, token_ids, feat, label)``."""
     rec = events_records(spark, sf_dir, params)
     _, vocab, small = events_vocab(rec, params)
     idx = index_tokens(rec, vocab, N_TOKENS, params, broadcast=small if broadcast is None else broadcast)
@@ -285,9 +285,7 @@ def q_sequence_window_global(spark, sf):
 
 def q_sequence_window_keyed(spark, sf):
     idx = events_indexed(spark, sf)
-    users = read(spark, sf, "events").select("event_id", "user_id")
-    keyed = global_position(idx.drop("pos").join(users, "event_id"), ["user_id", "event_id"],
-                            "pos", EV)
+    keyed = global_position(idx.drop("pos"), ["user_id", "event_id"], "pos", EV)
     win = sequence_window(keyed, "feat", 40, pad_step(), keys=["user_id"], flatten=True, params=EV)
     return win.select("event_id", "user_id", _join_ids("window").alias("window"))
 
