@@ -240,6 +240,9 @@ def q_index_tokens_salted(spark, sf):
 
 
 def q_oov_replace(spark, sf):
+    """Inference branch: the vocabulary comes from the first 80% of the record sequence
+    (the training part), and ALL records are then indexed against it, so tokens only
+    seen later become ``unknown``."""
     rec = events_records(spark, sf)
     n = rec.count()
     train = rec.where(F.col("pos") < (n * 8) // 10)
@@ -449,6 +452,9 @@ def q_best_model(spark, sf):
 
 
 def q_align_scores(spark, sf):
+    """Predictions exist for whole batches only (the reference predicts
+    ``n // batch`` steps); truth exists for every record; the inner join on position
+    keeps the rows both sides have."""
     scores = model_scores(spark, sf).where(F.col("model_id") == "m_value")
     n = scores.count()
     # predictions exist for whole batches only (steps = n // batch), truth for every row
