@@ -74,17 +74,19 @@ def attention_scores(vec: Column, step: Column, W: Sequence[float],
 def attention_pool(df: DataFrame, group_cols: Sequence[str], step_col: str, vec_col: str,
                    W: Sequence[float], b: Bias = None,
                    mask_col: str | None = None, epsilon: float = 1e-7,
-                   return_attention: bool = False, out: str = "pooled"):
+                   return_attention: bool = False, out: str = "pooled",
+                   keep: Sequence[str] = ()):
     """Attention-pooled vector per group: ``(group_cols..., pooled array<double>)``.
 
     ``step_col`` is the 0-based step of the row in its sequence (indexes ``b``).
     With ``return_attention`` also returns per-row weights
-    ``(rows..., attention double)``, joined back on the group key.
+    ``(group_cols..., step, keep..., attention double)``; the normaliser is joined
+    back on the group key.
     """
     group_cols = list(group_cols)
     mask = F.col(mask_col) if mask_col else None
     a = attention_scores(F.col(vec_col), F.col(step_col), W, b, mask)
-    staged = df.select(*group_cols, step_col, vec_col, a.alias("__a"))
+    staged = df.select(*group_cols, step_col, *keep, vec_col, a.alias("__a"))
     weighted = F.transform(F.col(vec_col).cast("array<double>"), lambda x: x * F.col("__a"))
     sums = staged.groupBy(*group_cols).agg(
         F.sum("__a").alias("__z"),
@@ -97,7 +99,7 @@ def attention_pool(df: DataFrame, group_cols: Sequence[str], step_col: str, vec_
     if not return_attention:
         return pooled
     weights = (staged.join(sums.select(*group_cols, "__z"), group_cols, "inner")
-                     .select(*group_cols, step_col,
+                     .select(*group_cols, step_col, *keep,
                              (F.col("__a") / (F.col("__z") + F.lit(epsilon))).alias("attention")))
     return pooled, weights
 

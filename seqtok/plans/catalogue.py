@@ -401,12 +401,9 @@ def q_attention_pool(spark, sf):
 
 def q_attention_weights(spark, sf):
     steps, dim = _embedding_steps(spark, sf)
-    staged = steps.select("label", "vec_id", "step", "embedding")
-    _, weights = attention_pool(staged, ["label"], "step", "embedding", _w_past(dim),
-                                _b_past, return_attention=True)
-    # weights keep the group key and step; vec_id follows from (label, step)
-    return weights.join(staged.select("label", "step", "vec_id"), ["label", "step"]).select(
-        "label", "vec_id", "step", _r6("attention").alias("attention"))
+    _, weights = attention_pool(steps, ["label"], "step", "embedding", _w_past(dim), _b_past,
+                                return_attention=True, keep=["vec_id"])
+    return weights.select("label", "vec_id", "step", _r6("attention").alias("attention"))
 
 
 def q_past_future_pool(spark, sf):
