@@ -74,3 +74,19 @@ def start_parquet_sink(stream: DataFrame, path: str, checkpoint: str | None = No
     writer = stream.writeStream.format("parquet").option("checkpointLocation", ckpt).outputMode("append")
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start(path)
+
+
+def token_frequency_stream(records: DataFrame, spec: RecordSpec, bounds: Mapping[str, Bounds],
+                           params: Params = Params()) -> DataFrame:
+    """Running ``(token, freq)`` over a record stream: a streaming ``groupBy().count()``
+    whose state holds one row per distinct token (partial aggregation per micro-batch,
+    state kept in the query's checkpoint). Use output mode ``complete`` or ``update``."""
+    has_flag = "_corrupt" in records.columns
+    tok = tokenize_records(records, spec, bounds, params, keep=["_corrupt"] if has_flag else [])
+    arr = F.col("tokens") if params.include_label_tokens else F.slice("tokens", 1, spec.n_features)
+    if has_flag:
+        # corrupt records explode to nothing; no Filter under the wide token projection
+        # (Catalyst's constraint derivation over it can stall the planner)
+        arr = F.when(~F.col("_corrupt"), arr)
+    return tok.select(F.explode(arr).alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("freq"))

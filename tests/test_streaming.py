@@ -34,3 +34,27 @@ def test_stream_matches_batch(spark, tmp_path):
     got = got.where(~F.col("_corrupt")).select("_file", "tokens", "token_ids")
     assert got.count() == 33
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_stream_token_frequencies_match_batch(spark, tmp_path):
+    from seqtok.streaming import token_frequency_stream
+
+    src = tmp_path / "freq-in"
+    src.mkdir()
+    (src / "a.txt").write_text("\n".join(_kdd_line(i) for i in range(15)) + "\n")
+    (src / "b.txt").write_text("\n".join(_kdd_line(i) for i in range(15, 40)) + "\n")
+    spec, p = kdd_spec(), Params.parity()
+    batch = read_records(spark, str(src), KDD_COLUMNS)
+    bounds = collect_bounds(batch, spec.bucket_columns)
+    want = token_frequencies(explode_tokens(tokenize_records(batch, spec, bounds, p)
+                                            .withColumn("pos", F.lit(0))))
+
+    stream = token_frequency_stream(read_record_stream(spark, str(src), KDD_COLUMNS,
+                                                       max_files_per_trigger=1), spec, bounds, p)
+    q = (stream.writeStream.format("memory").queryName("t_stream_freq").outputMode("complete")
+               .option("checkpointLocation", scratch_path(spark, "t-freq-ckpt"))
+               .trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = {r.token: r.freq for r in spark.sql("SELECT token, freq FROM t_stream_freq").collect()}
+    # compared on the driver: both sides are one row per distinct token
+    assert got == {r.token: r.freq for r in want.collect()}
