@@ -29,8 +29,9 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 
 URL_FILTERS = r"""
 WITH captures AS (
-  SELECT p.page_id, p.url, CAST(e.ts AS DATE) AS d
-  FROM pages p LEFT JOIN events e ON p.page_id = e.event_id
+  SELECT page_id, url,
+         CAST(TIMESTAMP '2024-01-01' + to_seconds(page_id * 104729 % 2592000) AS DATE) AS d
+  FROM pages
 ),
 entries AS (
   SELECT 'list_' || e.event_type AS list_name,
@@ -58,7 +59,7 @@ hosts AS (
 probes AS (
   SELECT page_id, d, unnest(list_distinct(list_concat(
     list_transform(range(1, greatest(1, len(string_split(host, '.')) - 1) + 1),
-                   lambda i: array_to_string(list_slice(string_split(host, '.'), i, NULL), '.')),
+                   lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')),
     list_transform(range(1, len(parts) + 1),
                    lambda i: host || '/' || array_to_string(list_slice(parts, 1, i), '/'))))) AS p
   FROM hosts WHERE host <> ''

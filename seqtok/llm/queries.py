@@ -24,14 +24,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page capture against the list entries active at its fetch time.
 
-    Stand-in input: the capture of a page is fetched at the time of the event with its
-    number; every event is a changelog entry that adds (or, for 'error', removes) the host
-    or the first path segment of the page numbered by its user.
+    Stand-in input: a page's fetch time is a point of January 2024 given by its number;
+    every event is a changelog entry that adds (value above 50) or removes the host or the
+    first path segment of the page numbered by its user.
     """
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     events = _table(spark, sf_dir, "events")
-    captures = pages.join(events.select("event_id", F.col("ts").alias("fetch_time")),
-                          F.col("page_id") == F.col("event_id"), "left").drop("event_id")
+    captures = pages.withColumn("fetch_time", F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+                                + F.make_dt_interval(secs=F.col("page_id") * 104729 % 2592000))
     listed = pages.select(F.col("page_id").alias("user_id"), F.col("url").alias("listed_url"))
     place = F.regexp_extract("listed_url", r"^https?://([^/?#]+)", 1)
     deep = F.regexp_extract("listed_url", r"^https?://([^/?#]+/[^/?#]+)", 1)
