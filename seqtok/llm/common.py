@@ -7,10 +7,12 @@ computed for a whole piece of a batch at once (numpy, no Python loop over words)
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 PIECE_BYTES = 2 << 20      # text bytes handled by one numpy pass
 SHINGLE_WORDS = 5
@@ -117,12 +119,14 @@ def shingle_hashes(texts: list[str | None],
     return mix64(acc), out_bounds
 
 
-def pieces(texts: list[str | None], limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit`` characters each (a longer text is a range alone)."""
+def pieces(texts: list[str | None], limit: int = PIECE_BYTES,
+           rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` characters and at most ``rows`` rows each (a longer
+    text is a range alone)."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
-        if i > start and size + n > limit:
+        if i > start and (size + n > limit or i - start >= rows):
             yield start, i
             start, size = i, 0
         size += n
@@ -132,3 +136,27 @@ def pieces(texts: list[str | None], limit: int = PIECE_BYTES) -> Iterator[tuple[
 
 def text_column(batch: pa.RecordBatch, name: str) -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField],
+                   make: Callable[[], Callable[[list], list]], rows: int = 4096) -> DataFrame:
+    """``df`` with further columns computed from its texts, in place (no shuffle).
+
+    ``make()`` runs once per task and gives a function from a list of texts to one arrow
+    array (or list) per field. A column of ``df`` with a new field's name is replaced.
+    """
+    new = {f.name.lower() for f in fields}
+    kept = [f for f in df.schema.fields if f.name.lower() not in new]
+    schema = T.StructType([*kept, *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = None
+        for batch in batches:
+            work = work or make()
+            texts = text_column(batch, text_col)
+            for a, b in pieces(texts, rows=rows):
+                cols = [batch.column(batch.schema.get_field_index(f.name)).slice(a, b - a) for f in kept]
+                cols += [x if isinstance(x, pa.Array) else pa.array(x) for x in work(texts[a:b])]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return df.mapInArrow(run, schema)

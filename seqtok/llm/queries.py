@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqtok.llm import bpe, line_dedup, packing, topk, url_filters
+from seqtok.llm import (
+    bpe, fingerprints, html_extract, language, line_dedup, ngram_join, packing, quality, topk,
+    url_filters,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +24,17 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs, F.col("source"), dropped_col="lines_dropped")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, with their likeness."""
+    return fingerprints.edit_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links (Jaccard of word five-grams 0.8 or more)
+    of every document."""
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page capture against the list entries active at its fetch time.
 
@@ -55,6 +69,21 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                              public_tokenizers.PATTERN)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels that are not held out."""
+    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    return language.identify_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best partners of every 50th embedding among all embeddings."""
     return topk.search_multiples(_table(spark, sf_dir, "embeddings"))
@@ -67,8 +96,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_fingerprints": op2_fingerprints,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_url_filters": op4_url_filters,
     "op5_bpe": op5_bpe,
+    "op6_html": op6_html,
+    "op7_quality": op7_quality,
+    "op8_language": op8_language,
     "op9_topk": op9_topk,
     "op10_packing": op10_packing,
 }
