@@ -18,6 +18,7 @@ MAX_BITS_PER_SYMBOL = 8.0      # a text unlike every learned language needs more
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least the classifier's cut."""
+    ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.learn_quality(docs, labels)
     scored = quality.with_quality(docs, model, out="__quality")
@@ -27,7 +28,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language: not those without letters, nor those whose best parse
     needs more than MAX_BITS_PER_SYMBOL bits per symbol."""
+    ship_package(spark)
     parser = language.learn_languages(spark, docs)
+    if not parser.value.names:      # nothing to tell apart
+        return docs
     named = language.with_language(docs, parser, lang_out="__lang", score_out="__score", bits_out="__bits")
     return named.where((F.col("__lang") != language.UNDETERMINED)
                        & (F.col("__bits") <= MAX_BITS_PER_SYMBOL)).drop("__lang", "__score", "__bits")
@@ -43,6 +47,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
+    ship_package(spark)
     return ngram_join.keep_one_of_each(docs)
 
 

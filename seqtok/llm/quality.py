@@ -15,7 +15,7 @@ has a fixed size bound. Documents are never shuffled; whole texts are scored.
 Rows: null, empty and wordless texts without any term score 0.0; a text with no neighbour of
 positive cosine scores the share of label 1 in the sample. Labels that are null or neither 0 nor 1
 are ignored; of several labels of a document the least counts. Equal cosines go to the
-smaller id. With nothing to learn from, every score is 0.0.
+smaller id. With nothing to learn from, every score is 0.5.
 """
 
 from __future__ import annotations
@@ -106,7 +106,9 @@ class NeighbourModel:
         counts = term_counts(texts)
         out = np.zeros(len(texts))
         known = np.flatnonzero(counts.any(axis=1))
-        if not len(self.labels) or not len(known):
+        if not len(self.labels):
+            return np.full(len(texts), 0.5)
+        if not len(known):
             return out
         latent = _unit((term_shares(counts[known]) * self.idf) @ self.basis)
         k = min(NEIGHBOURS, len(self.labels))

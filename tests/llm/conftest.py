@@ -1,0 +1,33 @@
+import os
+import sys
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+for p in (ROOT, os.path.join(ROOT, "tests")):
+    if p not in sys.path:
+        sys.path.insert(0, p)
+
+SMALL = "/root/testdata/sf0.001"
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def prose(seed: int, n: int) -> str:
+    import random
+
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="session")
+def shipped(spark):
+    from seqtok.session import ship_package
+
+    ship_package(spark)
+    return spark
+
+
+@pytest.fixture(scope="session")
+def small_docs(shipped):
+    return shipped.read.parquet(f"{SMALL}/documents.parquet").cache()
