@@ -75,7 +75,8 @@ class Params:
     bucket_width: str = "stddev"
     # bucket token text: 'int' -> '3', 'double' -> '3.0' (Bucketizer output printed)
     bucket_text: str = "int"
-    # NaN in a bucketized column: 'error' (Bucketizer default) or 'keep' (extra bucket)
+    # NaN in a bucketized column: 'error' (Bucketizer default), 'keep' (extra bucket) or
+    # 'skip' (rows with NaN or NULL there are dropped, as Bucketizer does)
     on_nan: str = "error"
     # id layout
     pad_id: int = 0
@@ -101,9 +102,10 @@ class Params:
     epsilon: float = 1e-7
     # physical knobs
     broadcast_max_bytes: int = 64 << 20
-    rows_per_bucket: int = 500_000       # rows per range in global_position
-    max_position_buckets: int = 4096     # above this, range offsets are joined, not literal
-    salt_buckets: int = 16               # salts per key in shuffle lookups
+    rows_per_range: int = 500_000        # rows per range in global_position
+    max_ranges: int = 10_000             # above that many ranges they grow instead
+    salt_rows: int = 2_000_000           # rows of one key above which it is salted
+    wide_tokens: int = 16                # more positions than this: explode + one join
     halo_chunk_rows: int = 20_000        # rows per chunk in sequence windows
 
     @classmethod
@@ -206,3 +208,24 @@ def events_spec() -> RecordSpec:
 
 # events: 'error' is the attack class, every other event type is normal
 EVENTS_ATTACK: tuple[str, ...] = ("error",)
+
+
+# stand-in values of the 42 fields from lineitem, orders and customer: SQL that Spark and
+# DuckDB read alike. All are text; the columns that become buckets hold numbers.
+def _wide_fields() -> tuple[str, ...]:
+    whole = lambda x: f"CAST(CAST({x} AS BIGINT) AS STRING)"
+    given = {
+        "duration": whole("l_quantity"), "protocol_type": "l_returnflag", "service": "c_mktsegment",
+        "flag": "o_orderpriority", "src_bytes": whole("floor(l_extendedprice)"),
+        "dst_bytes": whole("floor(o_totalprice)"), "land": "'0'", "count": whole("l_linenumber"),
+        "srv_count": whole("c_nationkey"), "serror_rate": whole("round(l_discount * 100)"),
+        "srv_serror_rate": whole("round(l_tax * 100)"), "rerror_rate": whole("l_partkey % 11"),
+        "srv_rerror_rate": whole("l_suppkey % 7"), "same_srv_rate": whole("o_custkey % 13"),
+        "diff_srv_rate": whole("floor(c_acctbal)"), "answer": "o_orderstatus",
+    }
+    keys = ("l_orderkey", "l_partkey", "l_suppkey", "o_custkey", "l_linenumber")
+    return tuple(given.get(c) or whole(f"({keys[i % len(keys)]} + {i}) % {3 + i}")
+                 for i, c in enumerate(KDD_COLUMNS))
+
+
+WIDE_FIELDS: tuple[str, ...] = _wide_fields()

@@ -13,8 +13,12 @@ def left_pad(arr: Column, n: int, pad: Column) -> Column:
 
 
 def one_hot(y: Column, k: int) -> Column:
-    """``to_categorical``: int array of length k with a 1 at position y."""
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: (c == y).cast("int"))
+    """``to_categorical``: int array of length k with a 1 at position y. A y outside
+    ``0..k-1`` fails the job; NULL stays NULL."""
+    wrong = F.raise_error(F.concat(F.lit(f"class outside 0..{k - 1}: "), y.cast("string")))
+    hot = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: (c == y).cast("int"))
+    return F.when(y.isNull(), F.lit(None).cast("array<int>")).when(
+        (y < 0) | (y >= k), wrong.cast("array<int>")).otherwise(hot)
 
 
 def reshape_steps(flat: Column, steps: int, width: int) -> Column:

@@ -28,7 +28,9 @@ def _nan_guard(x: Column, value: Column, on_nan: str, keep_bucket: int) -> Colum
         return F.when(F.isnan(x), invalid.cast("int")).otherwise(value)
     if on_nan == "keep":
         return F.when(F.isnan(x), F.lit(keep_bucket)).otherwise(value)
-    raise ValueError(f"on_nan must be 'error' or 'keep', got {on_nan!r}")
+    if on_nan == "skip":       # such rows are dropped by the operator
+        return F.when(F.isnan(x), F.lit(None).cast("int")).otherwise(value)
+    raise ValueError(f"on_nan must be 'error', 'keep' or 'skip', got {on_nan!r}")
 
 
 def bucket_unit(x: Column, n: int, on_nan: str = "error") -> Column:

@@ -46,7 +46,7 @@ def value_text(x: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         txt = py_float_text(x.cast("double"))
     elif isinstance(dtype, T.BooleanType):
-        txt = F.when(x, F.lit("True")).otherwise(F.lit("False"))
+        txt = F.when(x, F.lit("True")).when(~x, F.lit("False"))
     else:
         txt = x.cast("string")
     return F.coalesce(txt, F.lit("None"))

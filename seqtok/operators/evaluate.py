@@ -18,8 +18,15 @@ _DEFAULT = Params()
 
 
 def threshold_flags(score: Column, t: float) -> Column:
-    """Prediction at threshold t: strict ``score > t``."""
-    return (score > F.lit(t)).cast("int")
+    """Prediction at threshold t: strict ``score > t``; 0 for a NaN or NULL score."""
+    return predicted(score, t).cast("int")
+
+
+def predicted(score: Column, t: float) -> Column:
+    """``score > t`` as a boolean that is never NULL. Spark orders NaN above all numbers;
+    a NaN score is no prediction here, as in NumPy."""
+    s = score.cast("double")
+    return F.coalesce((s > F.lit(t)) & ~F.isnan(s), F.lit(False))
 
 
 def _safe_ratio(num: Column, den: Column) -> Column:
@@ -30,12 +37,13 @@ def precision_recall_curve(scores: DataFrame, score_col: str = "score", label_co
                            group_cols: Sequence[str] = (), thresholds: Sequence[float] | None = None,
                            params: Params = _DEFAULT) -> DataFrame:
     """``(group..., threshold, tp, fp, fn, precision, recall, f1)``; ratios are 0 when
-    their denominator is 0."""
+    their denominator is 0. A NaN or NULL score is not predicted positive, so
+    ``tp + fn`` is the number of positives; rows with a NULL label count nowhere."""
     ths = list(thresholds) if thresholds is not None else params.thresholds()
     s, y = F.col(score_col), F.col(label_col)
     aggs = []
     for i, t in enumerate(ths):
-        p = s > F.lit(t)
+        p = predicted(s, t)
         aggs += [
             F.sum(F.when(p & (y == 1), 1).otherwise(0)).cast("long").alias(f"tp{i}"),
             F.sum(F.when(p & (y != 1), 1).otherwise(0)).cast("long").alias(f"fp{i}"),

@@ -4,7 +4,7 @@ The classifier sees a history window as a bag of (step, token id) terms, each on
 number ``token_id * n_steps + step``, hashed into a sparse vector (``HashingTF``), and a class-weighted ``LogisticRegression``
 (``weightCol``) is fitted on it; both are distributed Spark ML stages. Candidate
 models (the reference's per-epoch checkpoints) are a small parameter grid scored into
-one table keyed by ``model_id``. Token vectors come from Spark ML ``Word2Vec``.
+one table keyed by ``model_id``. Token vectors are sums of seeded sign vectors over contexts.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Word2Vec
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,23 +93,33 @@ def load_models(spark: SparkSession, root: str) -> dict[str, PipelineModel]:
     return {r["model_id"]: PipelineModel.load(r["path"]) for r in index}
 
 
-def token_vectors(sentences: DataFrame, tokens_col: str = "tokens", dim: int = 40,
-                  min_count: int = 5, seed: int = 1, max_iter: int = 1,
-                  window_size: int = 5, num_partitions: int | None = None) -> DataFrame:
-    """``(token, vector array<float>)`` from Spark ML ``Word2Vec`` over token arrays.
+def context_vectors(sentences: DataFrame, tokens_col: str = "tokens", dim: int = 40,
+                    window_size: int = 5) -> DataFrame:
+    """``(token, vector array<long>)``: per token the sum of the sign vectors of the tokens
+    at most ``window_size`` places from it, over all sentences (random indexing).
 
-    Long sentences are cut into pieces of ``maxSentenceLength`` by Word2Vec itself;
-    every token of every text is used. Training runs on ``num_partitions`` partitions
-    (default: the session's parallelism).
+    The sign vector of a token is fixed by md5: element d is +1 where hex digit ``d mod 32`` of
+    ``md5('<d div 32>/<token>')`` is 8 or more, else -1. Pairs are counted first (a partial
+    aggregate, so a hot pair costs one row per task), then weighted and summed per
+    token; no vocabulary or weights are held anywhere. Tokens that share contexts get similar
+    vectors. NULL tokens take no part; a token that never has a neighbour has no row.
     """
-    if num_partitions is None:
-        num_partitions = sentences.sparkSession.sparkContext.defaultParallelism
-    w2v = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, maxIter=max_iter,
-                   windowSize=window_size, numPartitions=num_partitions,
-                   inputCol=tokens_col, outputCol="__vec")
-    model = w2v.fit(sentences.select(tokens_col))
-    return model.getVectors().select(
-        F.col("word").alias("token"), vector_to_array("vector", "float32").alias("vector"))
+    arr = F.col(tokens_col)
+    at = sentences.select(arr.alias("__t"), F.posexplode(arr).alias("__i", "token"))
+    near = F.concat(
+        F.slice("__t", F.greatest(F.col("__i") + 1 - window_size, F.lit(1)), F.least("__i", F.lit(window_size))),
+        F.slice("__t", F.col("__i") + 2, F.lit(window_size)))
+    pairs = (at.where(F.col("token").isNotNull()).select("token", F.explode(near).alias("__c"))
+               .where(F.col("__c").isNotNull()).groupBy("token", "__c").agg(F.count(F.lit(1)).alias("__n")))
+    digests = pairs.select("token", "__n", *[
+        F.md5(F.concat(F.lit(f"{b}/"), F.col("__c"))).alias(f"__d{b}") for b in range((dim + 31) // 32)])
+
+    def signed(d: int) -> Column:
+        up = F.substring(F.col(f"__d{d // 32}"), d % 32 + 1, 1) >= "8"
+        return F.sum(F.when(up, F.col("__n")).otherwise(-F.col("__n"))).alias(f"__v{d}")
+
+    sums = digests.groupBy("token").agg(*[signed(d) for d in range(dim)])
+    return sums.select("token", F.array(*[F.col(f"__v{d}") for d in range(dim)]).alias("vector"))
 
 
 def vectors_by_id(word_vectors: DataFrame, vocab: DataFrame) -> DataFrame:

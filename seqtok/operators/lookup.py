@@ -1,11 +1,14 @@
-"""Dictionary lookups as joins, with a checked broadcast and a salted fallback.
+"""Dictionary lookups as joins, with a checked broadcast and a shuffle join beyond it.
 
 A lookup table (vocabulary, frequencies, token vectors) is broadcast only after one
-aggregate over the table itself has bounded its size in bytes. Otherwise the lookup
-is a shuffle join where every key of the table is replicated over ``salt_buckets``
-salts and the row side picks a salt from a hash of its own row key, so one hot token
-(a constant-valued field makes a token as frequent as the row count) is spread over
-``salt_buckets`` tasks instead of one.
+aggregate over the table itself has bounded its size in bytes. Otherwise the lookup is
+a shuffle join. There, a token occurring more than ``target`` times is spread over
+``ceil(occurrences / target)`` salts, where ``target`` is the larger of
+``Params.salt_rows`` and a ten-thousandth of all occurrences: at most 10,000 tokens are
+hot, so their list is always small, and no other key of the table is copied.
+
+One contract for all forms: every row comes back once, whatever its keys; the result
+always has ``n`` elements; missing, NULL and unknown elements give the default.
 """
 
 from __future__ import annotations
@@ -17,41 +20,70 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqtok.config import Params
+from seqtok.session import materialize
 
 _DEFAULT = Params()
+MAX_HOT_KEYS = 10_000
+UNBOUNDED = 1 << 62
+_FIXED = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
+          T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType,
+          T.DayTimeIntervalType, T.YearMonthIntervalType)
 
 
 def size_in_bytes(table: DataFrame) -> int:
     """Upper bound of the in-memory size of ``table``: one aggregate action.
 
-    Strings and binaries count their bytes; arrays count elements x 8 (+ string bytes
-    for string arrays); every other value counts 8; each row adds 16 of overhead.
+    Strings and binaries count their bytes + 8, fixed-width values 8, decimals 16; arrays,
+    maps and structs 16 plus the sizes of what they hold; each row adds 16. A table with a
+    column of any other type counts as unbounded.
     """
     return table_stats(table)[1]
 
 
+def _value_bytes(c: Column, dt: T.DataType) -> Column | None:
+    """Size bound of one value; None for a type without a rule."""
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 8
+    if isinstance(dt, T.DecimalType):
+        return F.lit(16).cast("long")
+    if isinstance(dt, _FIXED):
+        return F.lit(8).cast("long")
+    if isinstance(dt, T.ArrayType):
+        return _elements_bytes(c, dt.elementType)
+    if isinstance(dt, T.MapType):
+        keys = _elements_bytes(F.map_keys(c), dt.keyType)
+        values = _elements_bytes(F.map_values(c), dt.valueType)
+        return None if keys is None or values is None else keys + values
+    if isinstance(dt, T.StructType):
+        total = F.lit(16).cast("long")
+        for f in dt.fields:
+            part = _value_bytes(c[f.name], f.dataType)
+            if part is None:
+                return None
+            total = total + part
+        return total
+    return None
+
+
+def _elements_bytes(c: Column, dt: T.DataType) -> Column | None:
+    if isinstance(dt, (*_FIXED, T.DecimalType)):
+        width = 16 if isinstance(dt, T.DecimalType) else 8
+        return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long") * width + 16
+    if _value_bytes(F.lit(None), dt) is None:
+        return None
+    total = F.aggregate(c, F.lit(16).cast("long"), lambda acc, x: acc + _value_bytes(x, dt))
+    return F.coalesce(total, F.lit(16).cast("long"))
+
+
 def table_stats(table: DataFrame) -> tuple[int, int]:
     """``(rows, size bound in bytes)`` of ``table`` in one aggregate action (see
     ``size_in_bytes`` for the size rule)."""
-    parts: list[Column] = [F.lit(16)]
+    row_bytes: Column | None = F.lit(16).cast("long")
     for f in table.schema.fields:
-        c = F.col(f"`{f.name}`")
-        dt = f.dataType
-        if isinstance(dt, (T.StringType, T.BinaryType)):
-            parts.append(F.coalesce(F.octet_length(c), F.lit(0)) + 8)
-        elif isinstance(dt, T.ArrayType):
-            if isinstance(dt.elementType, T.StringType):
-                inner = F.aggregate(c, F.lit(0).cast("long"),
-                                    lambda acc, x: acc + F.coalesce(F.octet_length(x), F.lit(0)) + 8)
-                parts.append(F.coalesce(inner, F.lit(0)) + 16)
-            else:
-                parts.append(F.coalesce(F.size(c), F.lit(0)) * 8 + 16)
-        else:
-            parts.append(F.lit(8))
-    row_bytes = parts[0]
-    for p in parts[1:]:
-        row_bytes = row_bytes + p
-    got = table.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes.cast("long")).alias("b")).first()
+        part = _value_bytes(F.col(f"`{f.name}`"), f.dataType)
+        row_bytes = None if part is None or row_bytes is None else row_bytes + part
+    size = F.lit(UNBOUNDED) if row_bytes is None else F.sum(row_bytes)
+    got = table.agg(F.count(F.lit(1)).alias("n"), size.alias("b")).first()
     return int(got["n"] or 0), int(got["b"] or 0)
 
 
@@ -59,62 +91,123 @@ def fits_broadcast(table: DataFrame, params: Params = _DEFAULT) -> bool:
     return size_in_bytes(table) <= params.broadcast_max_bytes
 
 
+def hot_keys(rows: DataFrame, key: str, params: Params = _DEFAULT) -> DataFrame:
+    """``(__hot, __salts)`` of the keys that need more than one salt; at most
+    ``MAX_HOT_KEYS`` rows. One job counts the rows."""
+    counts = materialize(rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).agg(
+        F.count(F.lit(1)).alias("__n")), "key-counts")
+    total = counts.agg(F.sum("__n").alias("t")).first()["t"] or 0
+    target = max(params.salt_rows, -(-total // MAX_HOT_KEYS))
+    return counts.where(F.col("__n") > target).select(
+        "__hot", F.ceil(F.col("__n") / F.lit(target)).cast("int").alias("__salts"))
+
+
+def salted_join(rows: DataFrame, spread: Column, table: DataFrame, key: str, value: str, out: str,
+                params: Params = _DEFAULT) -> DataFrame:
+    """Left shuffle join of ``rows.__key`` with ``table.key``, adding ``out``; rows of a hot
+    key are dealt over its salts by ``spread`` (a hash), only hot table keys are copied."""
+    hot = F.broadcast(hot_keys(rows, "__key", params))     # at most MAX_HOT_KEYS rows
+    salts = F.coalesce(F.col("__salts"), F.lit(1))
+    left = (rows.join(hot, F.col("__key") == F.col("__hot"), "left")
+                .withColumn("__salt", F.pmod(spread, salts).cast("int")).drop("__hot", "__salts"))
+    right = (table.select(F.col(key).alias("__tk"), F.col(value).alias(out))
+                  .join(hot, F.col("__tk") == F.col("__hot"), "left")
+                  .withColumn("__ts", F.explode(F.sequence(F.lit(0), salts - 1)))
+                  .drop("__hot", "__salts"))
+    return left.join(right, (F.col("__key") == F.col("__tk")) & (F.col("__salt") == F.col("__ts")),
+                     "left").drop("__salt", "__tk", "__ts")
+
+
+def join_each_position(df: DataFrame, array_col: str, n: int, small: DataFrame, default: Column,
+                       out: str) -> DataFrame:
+    """One left join with ``small (__key, __val)`` per position; the same right-hand plan in
+    every join, so one (broadcast) exchange is reused. Works on streams too."""
+    staged = df.select("*", *[F.get(F.col(array_col), F.lit(i)).alias(f"__e{i}") for i in range(n)])
+    for i in range(n):
+        staged = (staged.withColumnRenamed(f"__e{i}", "__key")
+                        .join(small, "__key", "left")
+                        .drop("__key")
+                        .withColumnRenamed("__val", f"__v{i}"))
+    result = F.array(*[F.coalesce(F.col(f"__v{i}"), default) for i in range(n)])
+    return staged.withColumn(out, result).drop(*[f"__v{i}" for i in range(n)])
+
+
 def lookup_positions(df: DataFrame, array_col: str, n: int, table: DataFrame, key: str,
                      value: str, default: Column, out: str, broadcast: bool,
-                     params: Params = _DEFAULT, pos_col: str = "pos") -> DataFrame:
+                     params: Params = _DEFAULT) -> DataFrame:
     """Replace each of the first ``n`` elements of ``array_col`` by ``table[key] -> value``.
 
-    ``broadcast=True``: one broadcast hash join per position; the row side is never
-    shuffled and the table is shipped once (the exchanges are reused).
-    ``broadcast=False``: explode, salted shuffle join, regroup by ``pos_col`` (a
-    unique row key), join back on ``pos_col``.
-    Missing keys give ``default``.
+    ``table`` has unique keys. ``broadcast=True`` and at most ``params.wide_tokens``
+    positions: one broadcast hash join per position, the row side is never shuffled.
+    Else the rows are written once with a row number of their own, exploded, joined once
+    (broadcast, or salted shuffle) and regrouped by that number.
     """
-    arr = F.col(array_col)
+    small = table.select(F.col(key).alias("__key"), F.col(value).alias("__val"))
+    if broadcast and n <= params.wide_tokens:
+        return join_each_position(df, array_col, n, F.broadcast(small), default, out)
+    # written first: the numbers stay the same if a task runs again
+    base = materialize(df.withColumn("__rid", F.monotonically_increasing_id()), "lookup-rows")
+    exploded = base.select("__rid", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__i"),
+                           array_col).select(
+        "__rid", "__i", F.get(F.col(array_col), F.col("__i")).alias("__key"))
     if broadcast:
-        # the same right-hand plan in every join, so one BroadcastExchange is reused
-        small = F.broadcast(table.select(F.col(key).alias("__key"), F.col(value).alias("__val")))
-        staged = df.select("*", *[arr[i].alias(f"__e{i}") for i in range(n)])
-        for i in range(n):
-            staged = (staged.withColumnRenamed(f"__e{i}", "__key")
-                            .join(small, "__key", "left")
-                            .drop("__key")
-                            .withColumnRenamed("__val", f"__v{i}"))
-        result = F.array(*[F.coalesce(F.col(f"__v{i}"), default) for i in range(n)])
-        drop = [f"__v{i}" for i in range(n)]
-        return staged.withColumn(out, result).drop(*drop)
-
-    s = params.salt_buckets
-    exploded = df.select(
-        F.col(pos_col).alias("__pos"),
-        F.posexplode(F.slice(arr, 1, n)).alias("__i", "__key"),
-    ).withColumn("__salt", F.pmod(F.xxhash64("__pos", "__i"), F.lit(s)).cast("int"))
-    salted = table.select(
-        F.col(key).alias("__key"), F.col(value).alias("__val"),
-        F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("__salt"),
-    )
-    joined = exploded.join(salted, ["__key", "__salt"], "left")
-    regrouped = joined.groupBy("__pos").agg(
+        joined = exploded.join(F.broadcast(small), "__key", "left")
+    else:
+        joined = salted_join(exploded, F.xxhash64("__rid", "__i"), small, "__key", "__val", "__val", params)
+    regrouped = joined.groupBy(F.col("__rid").alias("__g")).agg(
         F.array_sort(F.collect_list(F.struct(
             F.col("__i").alias("i"), F.coalesce(F.col("__val"), default).alias("v")
         ))).alias("__pairs")
-    ).select(F.col("__pos").alias(pos_col), F.transform("__pairs", lambda p: p["v"]).alias(out))
-    base = df.drop(out) if out in df.columns else df
-    return base.join(regrouped, pos_col, "inner")
+    ).select("__g", F.transform("__pairs", lambda p: p["v"]).alias(out))
+    base = base.drop(out) if out in df.columns else base
+    return base.join(regrouped, F.col("__rid") == F.col("__g"), "inner").drop("__rid", "__g")
 
 
 def lookup_column(df: DataFrame, col: Column, table: DataFrame, key: str, value: str,
                   out: str, broadcast: bool, salt_key: Sequence[str] = ("pos",),
                   params: Params = _DEFAULT) -> DataFrame:
-    """Left lookup of one scalar column; salted when not broadcast."""
-    staged = df.withColumn("__lk", col)
+    """Left lookup of one scalar column in ``table`` (unique keys)."""
+    staged = df.withColumn("__key", col)
     if broadcast:
-        small = F.broadcast(table.select(F.col(key).alias("__lk"), F.col(value).alias(out)))
-        return staged.join(small, "__lk", "left").drop("__lk")
-    s = params.salt_buckets
-    staged = staged.withColumn("__salt", F.pmod(F.xxhash64(*salt_key), F.lit(s)).cast("int"))
-    salted = table.select(
-        F.col(key).alias("__lk"), F.col(value).alias(out),
-        F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("__salt"),
-    )
-    return staged.join(salted, ["__lk", "__salt"], "left").drop("__lk", "__salt")
+        small = F.broadcast(table.select(F.col(key).alias("__key"), F.col(value).alias(out)))
+        return staged.join(small, "__key", "left").drop("__key")
+    return salted_join(staged, F.xxhash64(*salt_key), table, key, value, out, params).drop("__key")
+
+
+def null_safe(pairs: Sequence[tuple[Column, Column]]) -> Column:
+    """Join condition that treats NULL keys as equal."""
+    cond = F.lit(True)
+    for a, b in pairs:
+        cond = cond & a.eqNullSafe(b)
+    return cond
+
+
+def join_totals(rows: DataFrame, totals: DataFrame, keys: Sequence[str], count_col: str,
+                spread: Column, params: Params = _DEFAULT) -> DataFrame:
+    """Join one-row-per-group ``totals`` back to the rows of the group (NULL keys included).
+
+    Broadcast when the measured size allows it; else a group of more than
+    ``params.salt_rows`` rows (``count_col``) is dealt over salts by ``spread``.
+    """
+    keys = list(keys)
+    renamed = totals.select(*[F.col(k).alias(f"__t_{k}") for k in keys],
+                            *[c for c in totals.columns if c not in keys])
+    pairs = [(F.col(k), F.col(f"__t_{k}")) for k in keys]
+    drop = [f"__t_{k}" for k in keys]
+    if fits_broadcast(totals, params):
+        return rows.join(F.broadcast(renamed), null_safe(pairs), "inner").drop(*drop, count_col)
+    salts = F.ceil(F.col(count_col) / F.lit(params.salt_rows)).cast("int")
+    copies = renamed.withColumn("__ts", F.explode(F.sequence(F.lit(0), salts - 1)))
+    hot = F.broadcast(hot_groups(renamed, [f"__t_{k}" for k in keys], count_col, params))
+    sized = rows.join(hot, null_safe([(F.col(k), F.col(f"__h___t_{k}")) for k in keys]), "left").withColumn(
+        "__salt", F.pmod(spread, F.coalesce(F.col("__salts"), F.lit(1))).cast("int")).drop(
+        "__salts", *[f"__h___t_{k}" for k in keys])
+    return sized.join(copies, null_safe(pairs) & (F.col("__salt") == F.col("__ts")), "inner").drop(
+        *drop, "__ts", "__salt", count_col)
+
+
+def hot_groups(totals: DataFrame, keys: Sequence[str], count_col: str, params: Params) -> DataFrame:
+    """Groups of more than ``salt_rows`` rows and their salts: rows / salt_rows at most."""
+    return totals.where(F.col(count_col) > params.salt_rows).select(
+        *[F.col(k).alias(f"__h_{k}") for k in keys],
+        F.ceil(F.col(count_col) / F.lit(params.salt_rows)).cast("int").alias("__salts"))

@@ -3,11 +3,11 @@
 Global order without a single-partition window
 ----------------------------------------------
 ``global_position`` range-partitions the rows on the *whole* key tuple (so one hot
-leading key is spread over many ranges), sorts inside each range and checkpoints the
+leading key is spread over many ranges), sorts inside each range and writes the
 result once, with each row's range id and in-range index, as a Parquet table in the
-shared checkpoint folder. Per-range row counts (one number per range reach the
-driver) give each range its offset. No window, no
-single partition; each range holds about ``rows_per_bucket`` rows.
+shared checkpoint folder. A running sum over the range table (bounded by ``max_ranges``
+rows) gives each range its offset. It is the only path, whatever the input size; no
+window ever runs over data rows.
 
 History windows with halo chunks
 --------------------------------
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from seqtok.config import Params
 from seqtok.functions.arrays import left_pad
-from seqtok.session import scratch_path
+from seqtok.operators.lookup import null_safe
+from seqtok.session import materialize
 
 _DEFAULT = Params()
 
@@ -37,76 +38,64 @@ def _sort_orders(order: Sequence) -> list[Column]:
     return [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in order]
 
 
-def _parallelism(spark) -> int:
-    try:
-        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    except (TypeError, ValueError):
-        return max(1, spark.sparkContext.defaultParallelism)
-
-
 def global_position(df: DataFrame, order: Sequence, out: str = "pos",
-                    params: Params = _DEFAULT, n_rows: int | None = None) -> DataFrame:
+                    params: Params = _DEFAULT, n_rows: int | None = None,
+                    range_col: str | None = None) -> DataFrame:
     """Add ``out``: the 0-based position of each row in ``order``.
 
     ``order`` items are column names (ascending) or Column sort expressions
     (``F.desc("freq")``). The order must be total (unique key tuple); ties are
-    broken arbitrarily. Up to ``rows_per_bucket`` rows are numbered by one
-    ``row_number()`` task. Larger inputs are range-partitioned into
-    ``ceil(n / rows_per_bucket)`` ranges (Spark samples the bounds; its driver sample
-    is bounded), sorted inside each range, and written once to a Parquet table in the
-    shared checkpoint folder together with their range id and in-range row index.
-    A second job reads only the range-id column to count rows per range; position =
-    rows of all earlier ranges + in-range index. Lineage is cut at the written table.
-    ``n_rows``: the row count when the caller already has it (saves one job).
+    broken arbitrarily. The rows are range-partitioned into ranges of about
+    ``rows_per_range`` rows, ``max_ranges`` at most (Spark samples the bounds; its driver
+    sample is bounded), sorted inside each range, and written once to a Parquet table in
+    the shared checkpoint folder with their range id and in-range row index. A second job
+    reads only the range id: the rows of all earlier ranges are a running sum over that
+    range table (at most ``max_ranges`` rows, whatever the input), broadcast back.
+    Position = rows of earlier ranges + in-range index. Lineage is cut at the written table.
+
+    ``df`` is evaluated for the range sample and again for the write: position before
+    expensive work. ``n_rows``: the row count when the caller already has it (saves one
+    job). ``range_col`` keeps the range id under that name.
     """
     keys = _sort_orders(order)
     spark = df.sparkSession
     n = df.count() if n_rows is None else n_rows
-    if n <= params.rows_per_bucket:
-        # one range: a single bounded task numbers at most rows_per_bucket rows, then the
-        # rows are spread again so later stages do not inherit a single partition
-        w = Window.orderBy(*keys)
-        numbered = df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
-        return numbered.repartition(_parallelism(spark))
-    parts = math.ceil(n / params.rows_per_bucket)
+    parts = min(params.max_ranges, max(1, math.ceil(n / params.rows_per_range)))
     ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    staged = ranged.select("*", F.spark_partition_id().alias("__p"),
-                           F.monotonically_increasing_id().alias("__m"))
-    path = scratch_path(spark, "position")
-    staged.write.mode("overwrite").parquet(path)
-    back = spark.read.parquet(path)
-    counts = dict(back.groupBy("__p").count().collect())  # one row per range
-    n_parts = max(counts) + 1 if counts else 0
-    offsets, acc = [], 0
-    for i in range(n_parts):
-        offsets.append(acc)
-        acc += counts.get(i, 0)
+    back = materialize(ranged.select("*", F.spark_partition_id().alias("__p"),
+                                     F.monotonically_increasing_id().alias("__m")), "position")
+    before = Window.orderBy("__prange").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = back.groupBy(F.col("__p").alias("__prange")).agg(F.count(F.lit(1)).alias("__c")).select(
+        "__prange", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__poffset"))
     row_in_part = F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33)
-    if n_parts <= params.max_position_buckets:
-        offset = F.element_at(F.expr("array(" + ",".join(f"{o}L" for o in offsets) + ")"),
-                              F.col("__p") + 1)
-        return back.withColumn(out, (offset + row_in_part).cast("long")).drop("__p", "__m")
-    # many ranges: join a (range, offset) table of n_parts rows, a proven bound
-    table = spark.createDataFrame(list(enumerate(offsets)), "__p int, __off long")
-    joined = back.join(F.broadcast(table), "__p", "inner")
-    return joined.withColumn(out, (F.col("__off") + row_in_part).cast("long")).drop(
-        "__p", "__m", "__off")
+    placed = back.join(F.broadcast(offsets), F.col("__p") == F.col("__prange"), "inner").withColumn(
+        out, (F.col("__poffset") + row_in_part).cast("long"))
+    if range_col:
+        placed = placed.withColumn(range_col, F.col("__p"))
+    return placed.drop("__p", "__m", "__prange", "__poffset")
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rank",
-                params: Params = _DEFAULT) -> DataFrame:
-    """0-based rank of each row inside its key group, without a per-key window.
+                params: Params = _DEFAULT, n_rows: int | None = None) -> DataFrame:
+    """0-based rank of each row inside its key group (NULL keys form a group), without a
+    per-key window.
 
-    Position over ``(keys, order)`` minus the first position of the key. The join
-    back is on a one-row-per-key table: AQE measures it and broadcasts it when small;
-    a hot key on the row side is split by AQE skew-join handling.
+    Position over ``(keys, order)`` minus the first position of the key. The first
+    positions are looked up by (range, key): a key that fills many ranges has a row in each,
+    so a hot key is spread over its ranges in the join.
     """
     keys = list(keys)
-    gp = global_position(df, [*keys, *order], "__gpos", params)
-    first = gp.groupBy(*keys).agg(F.min("__gpos").alias("__first"))
-    return (gp.join(first, keys, "inner")
+    gp = global_position(df, [*keys, *order], "__gpos", params, n_rows, "__range")
+    here = gp.groupBy("__range", *keys).agg(F.min("__gpos").alias("__here"))
+    first = here.groupBy(*keys).agg(F.min("__here").alias("__first"))
+    both = null_safe([(F.col(k), F.col(f"__k_{k}")) for k in keys])
+    table = here.drop("__here").join(
+        first.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__first"), both).select(
+        F.col("__range").alias("__r"), *[F.col(k).alias(f"__j_{k}") for k in keys], "__first")
+    same = null_safe([(F.col(k), F.col(f"__j_{k}")) for k in keys])
+    return (gp.join(table, (F.col("__range") == F.col("__r")) & same)
               .withColumn(out, F.col("__gpos") - F.col("__first"))
-              .drop("__gpos", "__first"))
+              .drop("__gpos", "__first", "__range", "__r", *[f"__j_{k}" for k in keys]))
 
 
 def sequence_windows(df: DataFrame, values: dict, n: int, pos_col: str = "pos",
@@ -135,7 +124,9 @@ def sequence_windows(df: DataFrame, values: dict, n: int, pos_col: str = "pos",
     outs = []
     for out, (_, pad, flat) in values.items():
         pad_col = pad if isinstance(pad, Column) else F.lit(pad)
-        hist = left_pad(F.collect_list(f"__v_{out}").over(w), n, pad_col)
+        # collected in a struct: collect_list leaves out NULLs, which are values here
+        kept = F.transform(F.collect_list(F.struct(F.col(f"__v_{out}").alias("v"))).over(w), lambda x: x["v"])
+        hist = left_pad(kept, n, pad_col)
         outs.append((F.flatten(hist) if flat else hist).alias(out))
     return (staged.select("*", *outs)
                   .where(F.col("__w") == F.col("__c"))
@@ -176,22 +167,24 @@ def assign_chunk(df: DataFrame, rows_per_chunk: int, pos_col: str = "pos",
 
 def assign_chunk_by_key(df: DataFrame, rows_per_chunk: int, keys: Sequence[str],
                         order: Sequence, out: str = "chunk_id",
-                        params: Params = _DEFAULT) -> DataFrame:
+                        params: Params = _DEFAULT, n_rows: int | None = None) -> DataFrame:
     """Chunks that also end where the key ends (e.g. at every input file): rows are
     ranked inside their key, cut every ``rows_per_chunk`` rows, and the
     ``(key, chunk in key)`` pairs get dense ids in key order. Adds ``row_in_chunk``.
 
-    The id table has one row per chunk; it is joined back on ``(key, chunk in key)``
-    (AQE broadcasts it when its measured size is small).
+    The id table has one row per chunk; it is joined back on ``(key, chunk in key)``, so a
+    hot key is spread over its chunks (AQE broadcasts the table when it is small).
     """
     keys = list(keys)
-    ranked = rank_within(df, keys, order, "__rk", params)
+    ranked = rank_within(df, keys, order, "__rk", params, n_rows)
     staged = ranked.withColumn("__ck", F.floor(F.col("__rk") / rows_per_chunk).cast("long"))
     chunks = staged.select(*keys, "__ck").distinct()
     ids = global_position(chunks, [*keys, "__ck"], out, params)
-    return (staged.join(ids, [*keys, "__ck"], "inner")
+    ids = ids.select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.col("__ck").alias("__cc"), out)
+    same = null_safe([(F.col(k), F.col(f"__c_{k}")) for k in keys])
+    return (staged.join(ids, (F.col("__ck") == F.col("__cc")) & same, "inner")
                   .withColumn("row_in_chunk", F.col("__rk") - F.col("__ck") * rows_per_chunk)
-                  .drop("__rk", "__ck"))
+                  .drop("__rk", "__ck", "__cc", *[f"__c_{k}" for k in keys]))
 
 
 def assign_batch(df: DataFrame, batch_size: int, row_col: str = "row_in_chunk",

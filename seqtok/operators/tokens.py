@@ -29,11 +29,12 @@ def as_double(df: DataFrame, column: str) -> Column:
 
 def column_bounds(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """One-row DataFrame: ``<c>_min, <c>_max, <c>_stddev, <c>_n`` for every column, and
-    the row count ``__rows`` (same pass)."""
+    the row count ``__rows`` (same pass). NaN and NULL take no part."""
     columns = list(columns)
     aggs = []
     for c in columns:
         x = as_double(df, c)
+        x = F.when(~F.isnan(x), x)
         aggs += [F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max"),
                  F.stddev_samp(x).alias(f"{c}_stddev")]
     aggs.append(F.count(F.lit(1)).alias("__rows"))
@@ -86,11 +87,21 @@ def bucket_expr(x: Column, bounds: Bounds, params: Params) -> Column:
 
 def bucketize(df: DataFrame, column: str, bounds: Bounds, params: Params,
               out: str | None = None) -> DataFrame:
-    """Add ``<column>_bucketized`` (int) to ``df``."""
+    """Add ``<column>_bucketized`` (int) to ``df``; ``on_nan='skip'`` drops the rows whose
+    value is NaN or NULL."""
     out = out or f"{column}_bucketized"
+    df = drop_invalid(df, [column]) if params.on_nan == "skip" else df
     return df.withColumn(out, bucket_expr(as_double(df, column), bounds, params))
 
 
+def drop_invalid(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Rows whose ``columns`` are all numbers (no NULL, no NaN, no unreadable text)."""
+    for c in columns:
+        x = as_double(df, c)
+        df = df.where(x.isNotNull() & ~F.isnan(x))
+    return df
+
+
 def bucket_token_text(b: Column, params: Params) -> Column:
     txt = b.cast("string")
     if params.bucket_text == "double":
@@ -128,6 +139,8 @@ def tokenize_records(df: DataFrame, spec: RecordSpec, bounds: Mapping[str, Bound
     One projection; the answer string is kept as its own column for labelling.
     """
     keep = list(keep)
+    if params.on_nan == "skip":
+        df = drop_invalid(df, spec.bucket_columns)
     toks = token_columns(df, spec, bounds, params)
     extra = [F.col(spec.answer).cast("string").alias("answer")] if spec.answer else []
     return df.select(*keep, F.array(*toks).alias("tokens"), *extra)

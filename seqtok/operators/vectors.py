@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqtok.config import Params
-from seqtok.operators.lookup import fits_broadcast, lookup_positions
+from seqtok.operators.lookup import fits_broadcast, join_totals, lookup_positions
 
 _DEFAULT = Params()
 
@@ -34,7 +34,7 @@ def double_array(values: Sequence[float]) -> Column:
 
 
 def embed_tokens(records: DataFrame, vectors: DataFrame, n_tokens: int, dim: int,
-                 ids_col: str = "token_ids", out: str = "embedded", pos_col: str = "pos",
+                 ids_col: str = "token_ids", out: str = "embedded",
                  broadcast: bool | None = None, flatten: bool = True,
                  params: Params = _DEFAULT) -> DataFrame:
     """Replace each token id by its vector (``vectors``: ``token_id, vector``); ids
@@ -44,7 +44,7 @@ def embed_tokens(records: DataFrame, vectors: DataFrame, n_tokens: int, dim: int
     vecs = vectors.select("token_id", F.col("vector").cast("array<float>").alias("vector"))
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
     staged = lookup_positions(records, ids_col, n_tokens, vecs, "token_id", "vector", zero,
-                              out, broadcast, params, pos_col)
+                              out, broadcast, params)
     return staged.withColumn(out, F.flatten(out)) if flatten else staged
 
 
@@ -75,13 +75,13 @@ def attention_pool(df: DataFrame, group_cols: Sequence[str], step_col: str, vec_
                    W: Sequence[float], b: Bias = None,
                    mask_col: str | None = None, epsilon: float = 1e-7,
                    return_attention: bool = False, out: str = "pooled",
-                   keep: Sequence[str] = ()):
+                   keep: Sequence[str] = (), params: Params = _DEFAULT):
     """Attention-pooled vector per group: ``(group_cols..., pooled array<double>)``.
 
     ``step_col`` is the 0-based step of the row in its sequence (indexes ``b``).
     With ``return_attention`` also returns per-row weights
     ``(group_cols..., step, keep..., attention double)``; the normaliser is joined
-    back on the group key.
+    back on the group key (broadcast if small, else hot groups are salted).
     """
     group_cols = list(group_cols)
     mask = F.col(mask_col) if mask_col else None
@@ -89,7 +89,7 @@ def attention_pool(df: DataFrame, group_cols: Sequence[str], step_col: str, vec_
     staged = df.select(*group_cols, step_col, *keep, vec_col, a.alias("__a"))
     weighted = F.transform(F.col(vec_col).cast("array<double>"), lambda x: x * F.col("__a"))
     sums = staged.groupBy(*group_cols).agg(
-        F.sum("__a").alias("__z"),
+        F.sum("__a").alias("__z"), F.count(F.lit(1)).alias("__rows"),
         Summarizer.sum(array_to_vector(weighted)).alias("__s"),
     )
     pooled = sums.select(
@@ -98,7 +98,8 @@ def attention_pool(df: DataFrame, group_cols: Sequence[str], step_col: str, vec_
     )
     if not return_attention:
         return pooled
-    weights = (staged.join(sums.select(*group_cols, "__z"), group_cols, "inner")
+    totals = sums.select(*group_cols, "__z", "__rows")
+    weights = (join_totals(staged.drop(vec_col), totals, group_cols, "__rows", F.xxhash64(step_col, *keep), params)
                      .select(*group_cols, step_col, *keep,
                              (F.col("__a") / (F.col("__z") + F.lit(epsilon))).alias("attention")))
     return pooled, weights
@@ -112,16 +113,18 @@ def past_future_pool(df: DataFrame, group_cols: Sequence[str], step_col: str, ve
     attention weight sets, then concatenate ``[past, future]``. Step ``center`` is in
     both halves; a side with no steps contributes zeros."""
     group_cols = list(group_cols)
-    s = F.col(step_col)
-    past = df.where(s <= center).withColumn("__s", F.lit(center) - s)
-    future = df.where(s >= center).withColumn("__s", s - F.lit(center))
-    pp = attention_pool(past, group_cols, "__s", vec_col, W_past, b_past, epsilon=epsilon, out="__p")
-    fp = attention_pool(future, group_cols, "__s", vec_col, W_future, b_future, epsilon=epsilon,
-                        out="__f")
-    zp = F.array_repeat(F.lit(0.0), len(W_past))
-    zf = F.array_repeat(F.lit(0.0), len(W_future))
-    both = pp.join(fp, group_cols, "full_outer")
-    return both.select(*group_cols, concat_vectors(F.coalesce("__p", zp), F.coalesce("__f", zf)).alias(out))
+    s, x = F.col(step_col), F.col(vec_col).cast("array<double>")
+    back, ahead = F.lit(center) - s, s - F.lit(center)
+    # one pass: a row off a side has weight 0 there (its bias is then read at step 0)
+    wp = F.when(s <= center, attention_scores(x, F.greatest(back, F.lit(0)), W_past, b_past)).otherwise(0.0)
+    wf = F.when(s >= center, attention_scores(x, F.greatest(ahead, F.lit(0)), W_future, b_future)).otherwise(0.0)
+    staged = df.select(*group_cols, x.alias("__x"), wp.alias("__wp"), wf.alias("__wf"))
+    side = lambda w: Summarizer.sum(array_to_vector(F.transform("__x", lambda v: v * F.col(w))))
+    sums = staged.groupBy(*group_cols).agg(
+        F.sum("__wp").alias("__zp"), side("__wp").alias("__sp"),
+        F.sum("__wf").alias("__zf"), side("__wf").alias("__sf"))
+    pooled = lambda v, z: F.transform(vector_to_array(v), lambda e: e / (F.col(z) + F.lit(epsilon)))
+    return sums.select(*group_cols, concat_vectors(pooled("__sp", "__zp"), pooled("__sf", "__zf")).alias(out))
 
 
 def concat_vectors(*vecs: Column) -> Column:

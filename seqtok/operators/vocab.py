@@ -54,8 +54,7 @@ def first_n(df: DataFrame, order, n: int) -> DataFrame:
 
 def index_tokens(records: DataFrame, vocab: DataFrame, n_tokens: int,
                  params: Params = _DEFAULT, tokens_col: str = "tokens",
-                 out: str = "token_ids", broadcast: bool | None = None,
-                 pos_col: str = "pos") -> DataFrame:
+                 out: str = "token_ids", broadcast: bool | None = None) -> DataFrame:
     """Map every token to its id; tokens missing from ``vocab`` become ``unk_id``.
 
     ``broadcast=None`` measures ``vocab`` (one small action) and broadcasts it when it
@@ -65,23 +64,27 @@ def index_tokens(records: DataFrame, vocab: DataFrame, n_tokens: int,
         broadcast = fits_broadcast(vocab.select("token", "token_id"), params)
     return lookup_positions(
         records, tokens_col, n_tokens, vocab, "token", "token_id",
-        F.lit(params.unk_id).cast("long"), out, broadcast, params, pos_col,
+        F.lit(params.unk_id).cast("long"), out, broadcast, params,
     )
 
 
 def replace_oov(records: DataFrame, vocab: DataFrame, n_tokens: int,
                 params: Params = _DEFAULT, tokens_col: str = "tokens",
-                out: str = "tokens_seen", broadcast: bool | None = None,
-                pos_col: str = "pos") -> DataFrame:
-    """Inference branch: tokens missing from ``vocab`` become ``unknown_token``."""
+                out: str = "tokens_seen", ids_out: str | None = None,
+                broadcast: bool | None = None) -> DataFrame:
+    """Inference branch: tokens missing from ``vocab`` become ``unknown_token``. With
+    ``ids_out`` the same lookup also gives the ids (``unk_id`` for unknown tokens)."""
+    table = vocab.select("token", F.struct("token", "token_id").alias("__seen"))
     if broadcast is None:
-        broadcast = fits_broadcast(vocab.select("token"), params)
-    marker = vocab.select("token", F.col("token").alias("__seen"))
-    staged = lookup_positions(
-        records, tokens_col, n_tokens, marker, "token", "__seen",
-        F.lit(params.unknown_token), out, broadcast, params, pos_col,
-    )
-    return staged
+        broadcast = fits_broadcast(table, params)
+    none = F.struct(F.lit(params.unknown_token).alias("token"),
+                    F.lit(params.unk_id).cast("long").alias("token_id"))
+    staged = lookup_positions(records, tokens_col, n_tokens, table, "token", "__seen", none,
+                              "__pairs", broadcast, params)
+    staged = staged.withColumn(out, F.col("__pairs.token"))
+    if ids_out:
+        staged = staged.withColumn(ids_out, F.col("__pairs.token_id"))
+    return staged.drop("__pairs")
 
 
 def mask_tokens(indexed: DataFrame, freq: DataFrame, n_features: int,

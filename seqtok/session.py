@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_SCRATCH: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -68,11 +73,14 @@ def _configured_checkpoint_root(spark: SparkSession) -> str | None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is taken as is. Only when it
-    is unset (local tests) a folder is made here and registered with the context.
+    On a cluster this setting names shared storage and is taken as is; without it a
+    cluster session fails here, because executors would write to their own disks. Only
+    in local mode an unset folder is made here and registered with the context.
     """
     root = _configured_checkpoint_root(spark)
     if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = spark.sparkContext.getCheckpointDir()
         if current:
             # the context appends a unique child folder; use its parent as root
@@ -86,10 +94,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return root
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    """The application's own folder for intermediate tables, removed when the driver ends."""
+    app = spark.sparkContext.applicationId
+    root = os.path.join(ensure_checkpoint_dir(spark), "seqtok", app)
+    if app not in _SCRATCH:
+        _SCRATCH.add(app)
+        atexit.register(_drop_at_exit, spark, root)
+    return root
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint root for intermediate tables."""
-    root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, "seqtok", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh folder under the shared checkpoint root for an intermediate table. All of an
+    application's tables go with ``drop_scratch``, at the latest when the driver ends."""
+    return os.path.join(_scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def drop_scratch(spark: SparkSession, path: str | None = None) -> None:
+    """Remove one intermediate table, or all those of this application."""
+    sc = spark.sparkContext
+    target = path or os.path.join(ensure_checkpoint_dir(spark), "seqtok", sc.applicationId)
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(target)
+    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def _drop_at_exit(spark: SparkSession, root: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Py4JError, OSError):
+            drop_scratch(spark, root)
+    elif "://" not in root:            # session stopped; a folder of this machine
+        shutil.rmtree(root.removeprefix("file:"), ignore_errors=True)
 
 
 def materialize(df, name: str = "table"):

@@ -37,11 +37,11 @@ def parse_records(lines: DataFrame, columns: Sequence[str] = KDD_COLUMNS,
     staged = lines.select(*keep, parts.alias("__parts"))
     size = F.size("__parts")
     if on_bad == "fail":
-        guard = F.when(size != n, F.raise_error(F.concat(
-            F.lit(f"record has wrong number of fields (expected {n}): "), size.cast("string"))))
-        fields = [F.coalesce(guard.cast("string"), F.col("__parts")[i]).alias(c)
-                  for i, c in enumerate(columns)]
-        return staged.select(*keep, *fields)
+        # a filter: unlike a guard in the fields it is never pruned away (e.g. by count)
+        wrong = F.raise_error(F.concat(
+            F.lit(f"record has wrong number of fields (expected {n}): "), size.cast("string")))
+        checked = staged.where(F.when(size == n, F.lit(True)).otherwise(wrong.cast("boolean")))
+        return checked.select(*keep, *[F.col("__parts")[i].alias(c) for i, c in enumerate(columns)])
     if on_bad == "quarantine":
         fields = [F.when(size == n, F.col("__parts")[i]).alias(c) for i, c in enumerate(columns)]
         return staged.select(*keep, *fields, (size != n).alias("_corrupt"))

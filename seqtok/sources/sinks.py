@@ -1,28 +1,34 @@
 """Sinks and their readers: sentences, vocabulary, frequencies, chunks, metrics.
 
 Everything is Parquet unless the caller asks for CSV interchange; nothing passes
-through the driver. Chunks are written ``partitionBy('split', 'chunk_id')`` so
-reading a list of chunk ids prunes directories instead of scanning.
+through the driver. Chunks are grouped by split and chunk range, so reading a range of
+chunks prunes directories instead of scanning.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqtok.operators.tokens import split_sentence, to_sentence
 
 
+_CSV = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"',
+        "nullValue": "\x01null\x01", "emptyValue": ""}
+
+
 def write_sentences(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
                     pos_col: str = "pos", tokens_col: str = "tokens") -> None:
     """Parquet keeps ``(pos, tokens)``; CSV writes ``(pos, line)`` with the comma-joined
-    sentence (quoted by the CSV writer because it contains commas)."""
+    sentence, quoted. Blanks at the edges and empty sentences come back as they were; a
+    token with a line break fails the job (CSV files stay splittable)."""
     if fmt == "parquet":
         df.select(pos_col, tokens_col).write.mode(mode).parquet(path)
     elif fmt == "csv":
-        df.select(pos_col, to_sentence(F.col(tokens_col)).alias("line")).write.mode(mode).csv(path)
+        line = to_sentence(F.col(tokens_col))
+        broken = F.raise_error(F.lit("a sentence with a line break needs fmt='parquet'")).cast("string")
+        df.select(pos_col, F.when(line.rlike("[\\r\\n]"), broken).otherwise(line).alias("line")
+                  ).write.mode(mode).options(**_CSV, quoteAll=True).csv(path)
     else:
         raise ValueError(fmt)
 
@@ -31,7 +37,7 @@ def read_sentences(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     """``(pos, tokens)`` back from ``write_sentences``."""
     if fmt == "parquet":
         return spark.read.parquet(path)
-    lines = spark.read.schema("pos long, line string").csv(path)
+    lines = spark.read.schema("pos long, line string").options(**_CSV).csv(path)
     return lines.select("pos", split_sentence(F.col("line")).alias("tokens"))
 
 
@@ -48,20 +54,34 @@ def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_chunks(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Indexed windows with ``split`` and ``chunk_id`` as directory partitions."""
-    df.write.mode(mode).partitionBy("split", "chunk_id").parquet(path)
+CHUNKS_PER_DIRECTORY = 1000
+
+
+def write_chunks(df: DataFrame, path: str, mode: str = "overwrite",
+                 chunks_per_directory: int = CHUNKS_PER_DIRECTORY) -> None:
+    """Indexed windows as Parquet, one directory per split and range of
+    ``chunks_per_directory`` chunks. A chunk is dealt to one task and sorted by id there,
+    so a directory has at most one file per task that holds some of its chunks, and
+    Parquet's row-group statistics find a chunk inside a file."""
+    ranged = df.withColumn("chunk_range", F.floor(F.col("chunk_id") / chunks_per_directory).cast("long"))
+    (ranged.repartition("split", "chunk_range", "chunk_id")
+           .sortWithinPartitions("split", "chunk_range", "chunk_id")
+           .write.mode(mode).partitionBy("split", "chunk_range").parquet(path))
 
 
-def read_chunks(spark: SparkSession, path: str, ids: Iterable[int] | None = None,
-                split: str | None = None) -> DataFrame:
-    """Chunks by id list and split; both filters prune partitions."""
+def read_chunks(spark: SparkSession, path: str, first: int | None = None, last: int | None = None,
+                split: str | None = None,
+                chunks_per_directory: int = CHUNKS_PER_DIRECTORY) -> DataFrame:
+    """Chunks ``first..last`` (both included; None: open) of a split (None: all). The range
+    prunes directories and is pushed into the Parquet scan."""
     df = spark.read.parquet(path)
     if split is not None:
         df = df.where(F.col("split") == split)
-    if ids is not None:
-        df = df.where(F.col("chunk_id").isin([int(i) for i in ids]))
-    return df
+    if first is not None:
+        df = df.where((F.col("chunk_range") >= first // chunks_per_directory) & (F.col("chunk_id") >= first))
+    if last is not None:
+        df = df.where((F.col("chunk_range") <= last // chunks_per_directory) & (F.col("chunk_id") <= last))
+    return df.drop("chunk_range")
 
 
 def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:

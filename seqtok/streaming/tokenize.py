@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seqtok.config import KDD_COLUMNS, Bounds, Params, RecordSpec
-from seqtok.operators.lookup import fits_broadcast
+from seqtok.operators.lookup import fits_broadcast, join_each_position
 from seqtok.operators.tokens import tokenize_records
 from seqtok.session import scratch_path
 from seqtok.sources.records import parse_records
@@ -56,14 +56,8 @@ def index_stream(records: DataFrame, spec: RecordSpec, bounds: Mapping[str, Boun
     small = vocab.select(F.col("token").alias("__key"), F.col("token_id").alias("__val"))
     if fits_broadcast(small, params):
         small = F.broadcast(small)
-    n = spec.n_tokens
-    staged = tok.select("*", *[F.col("tokens")[i].alias(f"__e{i}") for i in range(n)])
-    for i in range(n):
-        staged = (staged.withColumnRenamed(f"__e{i}", "__key").join(small, "__key", "left")
-                        .drop("__key").withColumnRenamed("__val", f"__v{i}"))
     unk = F.lit(params.unk_id).cast("long")
-    ids = F.array(*[F.coalesce(F.col(f"__v{i}"), unk) for i in range(n)])
-    return staged.withColumn("token_ids", ids).drop(*[f"__v{i}" for i in range(n)])
+    return join_each_position(tok, "tokens", spec.n_tokens, small, unk, "token_ids")
 
 
 def start_parquet_sink(stream: DataFrame, path: str, checkpoint: str | None = None,
