@@ -14,12 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqtok.config import EVENTS_ATTACK, Params, events_spec
+from seqtok.config import EVENTS_ATTACK, KDD_COLUMNS, Params, WIDE_FIELDS, events_spec, kdd_spec
 from seqtok.functions.arrays import one_hot, past_future_split, reshape_steps
 from seqtok.functions.buckets import bucket_unit
 from seqtok.functions.text import py_float_text
 from seqtok.operators import evaluate as ev_ops
-from seqtok.operators import learn
+from seqtok.operators import bayes, learn
 from seqtok.operators.sequence import (
     assign_batch, assign_chunk, assign_chunk_by_key, binary_label, global_position, label_window, rank_within,
     sequence_window, sequence_windows, split_name,
@@ -51,17 +51,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- shared stages
-def events_records(spark: SparkSession, sf_dir: str, params: Params = EV) -> DataFrame:
-    """``(pos, event_id, user_id, tokens, answer)``: positioned, tokenized events. The positioned
-    records are checkpointed by ``global_position`` (as the reference persists its
-    sentences before building the vocabulary); tokens are a projection over them."""
+def events_records(spark: SparkSession, sf_dir: str, params: Params = EV, positioned: bool = True,
+                   order: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """``([pos,] event_id, user_id, tokens, answer)``: tokenized events. With ``positioned`` the
+    records are numbered in ``order`` and written once by ``global_position`` before
+    anything else is computed; tokens are a projection over them. Queries that need no
+    record order leave it out."""
     events = read(spark, sf_dir, "events")
     spec = events_spec()
     bounds = collect_bounds(events, spec.bucket_columns)
-    n_rows = next(iter(bounds.values())).n_rows
-    positioned = global_position(events.select("event_id", *spec_columns(spec)), ["event_id"],
-                                 "pos", params, n_rows=n_rows)
-    return tokenize_records(positioned, spec, bounds, params, keep=["pos", "event_id", "user_id"])
+    rows = events.select("event_id", *spec_columns(spec))
+    if positioned:
+        n_rows = next(iter(bounds.values())).n_rows
+        rows = global_position(rows, list(order), "pos", params, n_rows=n_rows)
+    keep = (["pos"] if positioned else []) + ["event_id", "user_id"]
+    return tokenize_records(rows, spec, bounds, params, keep=keep)
 
 
 def spec_columns(spec) -> list[str]:
@@ -74,7 +78,7 @@ def events_vocab(rec: DataFrame, params: Params = EV) -> tuple[DataFrame, DataFr
     its row count and size bound; the vocabulary's ``(token, token_id)`` rows have the
     same layout as ``(token, freq)``, so the same bound decides whether lookups in
     either table may be broadcast."""
-    tokens = explode_tokens(rec, include_answer=params.include_label_tokens)
+    tokens = explode_tokens(rec, "event_id", include_answer=params.include_label_tokens)
     freq = materialize(token_frequencies(tokens), "frequencies")
     n, nbytes = table_stats(freq.select("token", "freq"))
     # the vocabulary is persisted (as the reference saves it) and then shared by all lookups
@@ -83,9 +87,10 @@ def events_vocab(rec: DataFrame, params: Params = EV) -> tuple[DataFrame, DataFr
 
 
 def events_indexed(spark: SparkSession, sf_dir: str, params: Params = EV,
-                   broadcast: bool | None = None) -> DataFrame:
-    """``(pos, event_id, user_id, tokens, answer, token_ids, feat, label)``."""
-    rec = events_records(spark, sf_dir, params)
+                   broadcast: bool | None = None, positioned: bool = True,
+                   order: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """``([pos,] event_id, user_id, tokens, answer, token_ids, feat, label)``."""
+    rec = events_records(spark, sf_dir, params, positioned, order)
     _, vocab, small = events_vocab(rec, params)
     idx = index_tokens(rec, vocab, N_TOKENS, params, broadcast=small if broadcast is None else broadcast)
     return idx.select("*", F.slice("token_ids", 1, N_FEATURES).alias("feat"),
@@ -105,27 +110,19 @@ def events_windows(spark: SparkSession, sf_dir: str, n: int = 40, params: Params
     return win.withColumn("split", split_name(F.col("chunk_id"), params))
 
 
-def model_scores(spark: SparkSession, sf_dir: str, with_pos: bool = True) -> DataFrame:
-    """Three deterministic score columns standing in for three saved models. The row
-    position (needed to align predictions with truth) is computed only when asked."""
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deterministic score columns standing in for three saved models, as rows
+    ``(model_id, event_id, score, label)`` from one scan."""
     events = read(spark, sf_dir, "events")
-    if with_pos:
-        events = global_position(events, ["event_id"], "pos", EV)
-    else:
-        events = events.withColumn("pos", F.lit(None).cast("long"))
-    label = binary_label(F.col("event_type"), EV)
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("double")
     parts = [
         ("m_value", F.least(F.col("value") / 100.0, F.lit(1.0))),
         ("m_inverse", F.lit(1.0) - F.least(F.col("value") / 500.0, F.lit(1.0))),
         ("m_props", k / 100.0),
     ]
-    out = None
-    for mid, score in parts:
-        one = events.select(F.lit(mid).alias("model_id"), "pos", score.alias("score"),
-                            label.alias("label"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    models = F.array(*[F.struct(F.lit(mid).alias("model_id"), score.alias("score")) for mid, score in parts])
+    label = binary_label(F.col("event_type"), EV).alias("label")
+    return events.select("event_id", label, F.inline(models))
 
 
 def _r6(c) -> F.Column:
@@ -164,13 +161,13 @@ def q_bucketize_stddev(spark, sf):
 
 
 def q_encode_tokens(spark, sf):
-    rec = events_records(spark, sf)
+    rec = events_records(spark, sf, positioned=False)
     names = ["tok_value_bucket", "tok_value", "tok_props", "tok_user_id", "tok_answer"]
     return rec.select("event_id", *[F.col("tokens")[i].alias(n) for i, n in enumerate(names)])
 
 
 def q_record_sentence(spark, sf):
-    rec = events_records(spark, sf)
+    rec = events_records(spark, sf, positioned=False)
     return rec.select("event_id", to_sentence(F.col("tokens")).alias("sentence"),
                       F.size("tokens").alias("n_tokens"))
 
@@ -192,15 +189,37 @@ def q_text_record_order(spark, sf):
     line = F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string"),
                        "event_type", py_float_text(F.col("value")), "props").alias("value")
     path = scratch_path(spark, "records-text")
-    (events.repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
-           .select(line).write.text(path))
+    write_event_files(events.select("event_id", line), path)
     rec = read_records(spark, path, ["f_event_id", "f_user_id", "f_event_type", "f_value", "f_props"])
     pos = global_position(rec, list(ORDER_COLUMNS), "pos", EV)
     return pos.select("f_event_id", "f_value", "pos")
 
 
+EVENTS_PER_FILE = 2500
+
+
+def write_event_files(lines: DataFrame, path: str) -> None:
+    """Stand-in record files: one text file per ``EVENTS_PER_FILE`` event numbers, in
+    directories that sort like the events; their number grows with the events."""
+    part = F.lpad(F.floor(F.col("event_id") / EVENTS_PER_FILE).cast("string"), 12, "0")
+    (lines.withColumn("part", part).repartition("part").sortWithinPartitions("part", "event_id")
+          .select("part", "value").write.partitionBy("part").text(path))
+
+
+def q_chunk_by_file(spark, sf):
+    """Chunks of 1,000 records that also end where their input file ends, over record
+    files read back by the text reader."""
+    events = read(spark, sf, "events")
+    path = scratch_path(spark, "records-files")
+    line = F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string"))
+    write_event_files(events.select("event_id", line.alias("value")), path)
+    rec = read_records(spark, path, ["f_event_id", "f_user_id"])
+    out = assign_chunk_by_key(rec, 1000, ["_file"], ["_block", "_row"], params=EV)
+    return out.select("f_event_id", "chunk_id", "row_in_chunk")
+
+
 def q_token_frequencies(spark, sf):
-    return token_frequencies(explode_tokens(events_records(spark, sf)))
+    return token_frequencies(explode_tokens(events_records(spark, sf, positioned=False), "event_id"))
 
 
 def doc_tokens(spark, sf) -> DataFrame:
@@ -213,7 +232,7 @@ def q_doc_token_frequencies(spark, sf):
 
 
 def q_distinct_tokens(spark, sf):
-    return distinct_tokens(explode_tokens(events_records(spark, sf)))
+    return distinct_tokens(explode_tokens(events_records(spark, sf, positioned=False), "event_id"))
 
 
 def q_top_tokens(spark, sf):
@@ -226,16 +245,18 @@ def q_first_n(spark, sf):
 
 
 def q_vocabulary(spark, sf):
-    _, vocab, _ = events_vocab(events_records(spark, sf))
+    _, vocab, _ = events_vocab(events_records(spark, sf, positioned=False))
     return vocab
 
 
 def q_index_tokens(spark, sf):
-    return events_indexed(spark, sf).select("event_id", _join_ids("token_ids").alias("token_ids"))
+    return events_indexed(spark, sf, positioned=False).select(
+        "event_id", _join_ids("token_ids").alias("token_ids"))
 
 
 def q_index_tokens_salted(spark, sf):
-    idx = events_indexed(spark, sf, broadcast=False)
+    """The shuffle lookup: hot tokens salted by their frequency (here from 500 rows up)."""
+    idx = events_indexed(spark, sf, EV.with_(salt_rows=500), broadcast=False, positioned=False)
     return idx.select("event_id", _join_ids("token_ids").alias("token_ids"))
 
 
@@ -247,8 +268,7 @@ def q_oov_replace(spark, sf):
     n = rec.count()
     train = rec.where(F.col("pos") < (n * 8) // 10)
     _, vocab, small = events_vocab(train)
-    seen = replace_oov(rec, vocab, N_TOKENS, EV, broadcast=small)
-    idx = index_tokens(seen, vocab, N_TOKENS, EV, broadcast=small)
+    idx = replace_oov(rec, vocab, N_TOKENS, EV, ids_out="token_ids", broadcast=small)
     return idx.select("event_id", _join_ids("tokens_seen").alias("tokens_seen"),
                       _join_ids("token_ids").alias("token_ids"))
 
@@ -273,9 +293,8 @@ def q_global_position(spark, sf):
 
 
 def q_global_position_ranges(spark, sf):
-    """Global position through the multi-range path: 1,000-row ranges, each written
-    with its range id and in-range index, offsets from per-range counts."""
-    p = EV.with_(rows_per_bucket=1000)
+    """Global position with 1,000-row ranges: many ranges at any test scale."""
+    p = EV.with_(rows_per_range=1000)
     return global_position(read(spark, sf, "events"), ["value", "event_id"], "pos", p).select(
         "event_id", "pos")
 
@@ -287,15 +306,17 @@ def q_sequence_window_global(spark, sf):
 
 
 def q_sequence_window_keyed(spark, sf):
-    idx = events_indexed(spark, sf)
-    keyed = global_position(idx.drop("pos"), ["user_id", "event_id"], "pos", EV)
-    win = sequence_window(keyed, "feat", 40, pad_step(), keys=["user_id"], flatten=True, params=EV)
+    """Windows per user: records are positioned by (user, event) once, before the lookups."""
+    idx = events_indexed(spark, sf, order=("user_id", "event_id"))
+    win = sequence_window(idx, "feat", 40, pad_step(), keys=["user_id"], flatten=True, params=EV)
     return win.select("event_id", "user_id", _join_ids("window").alias("window"))
 
 
 def q_label_window(spark, sf):
-    idx = events_indexed(spark, sf)
-    return label_window(idx, "label", 40, params=EV).select(
+    events = read(spark, sf, "events").select("event_id", "event_type")
+    pos = global_position(events, ["event_id"], "pos", EV).withColumn(
+        "label", binary_label(F.col("event_type"), EV))
+    return label_window(pos, "label", 40, params=EV).select(
         "event_id", _join_ids("labels").alias("labels"))
 
 
@@ -350,7 +371,7 @@ def _embedding_dim(emb: DataFrame) -> int:
 
 
 def q_embed_tokens(spark, sf):
-    idx = events_indexed(spark, sf)
+    idx = events_indexed(spark, sf, positioned=False)
     emb = read(spark, sf, "embeddings")
     dim = _embedding_dim(emb)
     vectors = emb.select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vector"))
@@ -406,6 +427,15 @@ def q_attention_weights(spark, sf):
     return weights.select("label", "vec_id", "step", _r6("attention").alias("attention"))
 
 
+def q_attention_pool_masked(spark, sf):
+    """Attention pooling with a mask: every third vector of a label takes no part."""
+    steps, dim = _embedding_steps(spark, sf)
+    masked = steps.withColumn("mask", (F.col("step") % 3 != 0).cast("int"))
+    pooled = attention_pool(masked, ["label"], "step", "embedding", _w_past(dim), _b_past, mask_col="mask")
+    return pooled.select("label", F.posexplode("pooled").alias("dim", "pooled")).select(
+        "label", "dim", _r6("pooled").alias("pooled"))
+
+
 def q_past_future_pool(spark, sf):
     steps, dim = _embedding_steps(spark, sf)
     pooled = past_future_pool(steps, ["label"], "step", "embedding", 25,
@@ -427,37 +457,34 @@ def _round_metrics(df: DataFrame, keys=()) -> DataFrame:
 
 
 def q_precision_recall_curve(spark, sf):
-    scores = model_scores(spark, sf, with_pos=False).where(F.col("model_id") == "m_value")
+    scores = model_scores(spark, sf).where(F.col("model_id") == "m_value")
     return _round_metrics(ev_ops.precision_recall_curve(scores, params=EV))
 
 
 def q_compare_models(spark, sf):
-    return _round_metrics(ev_ops.compare_models(model_scores(spark, sf, with_pos=False), params=EV),
+    return _round_metrics(ev_ops.compare_models(model_scores(spark, sf), params=EV),
                           ["model_id"])
 
 
 def q_model_losses(spark, sf):
-    ls = ev_ops.model_losses(model_scores(spark, sf, with_pos=False), params=EV)
+    ls = ev_ops.model_losses(model_scores(spark, sf), params=EV)
     return ls.select("model_id", _r6("log_loss").alias("log_loss"),
                      _r6("weighted_loss").alias("weighted_loss"),
                      _r6("binary_accuracy").alias("binary_accuracy"), "n")
 
 
 def q_best_model(spark, sf):
-    ls = ev_ops.model_losses(model_scores(spark, sf, with_pos=False), params=EV)
+    ls = ev_ops.model_losses(model_scores(spark, sf), params=EV)
     return ev_ops.best_model(ls).select("model_id", _r6("log_loss").alias("log_loss"))
 
 
 def q_align_scores(spark, sf):
-    """Predictions exist for whole batches only (the reference predicts
-    ``n // batch`` steps); truth exists for every record; the inner join on position
-    keeps the rows both sides have."""
-    scores = model_scores(spark, sf).where(F.col("model_id") == "m_value")
-    n = scores.count()
-    # predictions exist for whole batches only (steps = n // batch), truth for every row
-    predictions = scores.where(F.col("pos") < (n // EV.batch_size) * EV.batch_size).select("pos", "score")
-    truth = scores.select("pos", "label")
-    return ev_ops.align_scores(predictions, truth).select("pos", "score", "label")
+    """Two tables of different rows paired by key: a score exists for every document (its
+    share of 5,000 characters), truth only for the documents in ``labels``."""
+    docs = read(spark, sf, "documents")
+    predictions = docs.select("doc_id", F.least(F.col("n_chars") / 5000.0, F.lit(1.0)).alias("score"))
+    truth = read(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    return ev_ops.align_scores(predictions, truth, ["doc_id"]).select("doc_id", "score", "label")
 
 
 def q_chunk_round_trip(spark, sf):
@@ -466,26 +493,32 @@ def q_chunk_round_trip(spark, sf):
     out = chunked.select("event_id", "pos", "chunk_id", "label", "token_ids",
                          split_name(F.col("chunk_id"), EV).alias("split"))
     path = scratch_path(spark, "chunks")
-    sinks.write_chunks(out, path)
-    n_chunks = int(chunked.agg(F.max("chunk_id")).first()[0]) + 1
+    sinks.write_chunks(out, path, chunks_per_directory=4)
+    t, v = EV.train_chunks, EV.validation_chunks
     back = None
-    for split in ("train", "validation", "test"):
-        part = sinks.read_chunks(spark, path, range(n_chunks), split)
+    for split, first, last in (("train", 0, t - 1), ("validation", t, t + v - 1), ("test", t + v, None)):
+        part = sinks.read_chunks(spark, path, first, last, split, chunks_per_directory=4)
         back = part if back is None else back.unionByName(part)
-    return back.select("event_id", F.col("chunk_id").cast("long").alias("chunk_id"), "split", "label",
-                       _join_ids("token_ids").alias("token_ids"))
+    return back.select("event_id", "chunk_id", "split", "label", _join_ids("token_ids").alias("token_ids"))
 
 
 def q_sentence_round_trip(spark, sf):
+    """Sentences through CSV and back, with a blank-edged, a quoted and an empty token put in
+    (by position) so that every record's text is exact."""
     rec = events_records(spark, sf)
+    odd = F.element_at(F.array(F.lit(" lead"), F.lit("trail "), F.lit('say "x"'), F.lit("")),
+                       (F.col("pos") % 4 + 1).cast("int"))
+    only = F.when(F.col("pos") % 10 == 0, F.array(odd)).otherwise(
+        F.concat(F.array(odd), F.col("tokens"), F.array(odd)))
     path = scratch_path(spark, "sentences")
-    sinks.write_sentences(rec, path, fmt="csv")
+    sinks.write_sentences(rec.select("pos", only.alias("tokens")), path, fmt="csv")
     back = sinks.read_sentences(spark, path, fmt="csv")
-    return back.select("pos", to_sentence(F.col("tokens")).alias("sentence"))
+    return back.select("pos", to_sentence(F.col("tokens")).alias("sentence"),
+                       F.size("tokens").alias("n_tokens"))
 
 
 def q_vocabulary_round_trip(spark, sf):
-    _, vocab, _ = events_vocab(events_records(spark, sf))
+    _, vocab, _ = events_vocab(events_records(spark, sf, positioned=False))
     path = scratch_path(spark, "vocabulary")
     sinks.save_vocabulary(vocab, path)
     return sinks.load_vocabulary(spark, path).select("token", "token_id", "freq")
@@ -522,10 +555,80 @@ def q_fit_and_score(spark, sf):
     return out
 
 
+def _bayes_windows(spark, sf) -> DataFrame:
+    """``(pos, event_id, split, label, weight, terms)``: windows of 5 records as
+    (step, token) terms."""
+    rec = events_records(spark, sf).select(
+        "pos", "event_id", F.slice("tokens", 1, N_FEATURES).alias("feat"),
+        binary_label(F.col("answer"), EV).alias("label"))
+    pad = F.array_repeat(F.lit("<pad>"), N_FEATURES)
+    win = assign_chunk(sequence_window(rec, "feat", 5, pad, flatten=True, params=EV), EV.rows_per_chunk)
+    return materialize(win.select(
+        "pos", "event_id", "label", bayes.step_terms(F.col("window"), N_FEATURES).alias("terms"),
+        learn.class_weight(F.col("label"), EV).alias("weight"),
+        split_name(F.col("chunk_id"), EV).alias("split")), "windows")
+
+
+BAYES_GRID = {"alpha_0.1": 0.1, "alpha_1": 1.0, "alpha_10": 10.0}
+
+
+def _bayes_scores(spark, sf) -> DataFrame:
+    win = _bayes_windows(spark, sf)
+    model = bayes.fit_bayes(win.where(F.col("split") == "train"), BAYES_GRID)
+    root = scratch_path(spark, "bayes")
+    bayes.save_bayes(model, root)
+    return bayes.score_bayes(bayes.load_bayes(spark, root), win, ["event_id", "label"], params=EV)
+
+
+def q_bayes_scores(spark, sf):
+    """A grid of class-weighted naive Bayes models fitted on the train chunks, saved,
+    loaded again, and applied to the window of every event."""
+    return _bayes_scores(spark, sf).select("model_id", "event_id", "label", _r6("score").alias("score"))
+
+
+def q_bayes_best(spark, sf):
+    """The candidate of the naive Bayes grid with the least log loss over all windows."""
+    best = ev_ops.best_model(ev_ops.model_losses(_bayes_scores(spark, sf), params=EV))
+    return best.select("model_id", _r6("log_loss").alias("log_loss"))
+
+
 def q_token_vectors(spark, sf):
-    """Word2Vec vectors for record tokens (rows only: training is not SQL)."""
-    rec = events_records(spark, sf)
-    return learn.token_vectors(rec.select("tokens"), dim=40, min_count=1)
+    """Context vectors (40 seeded sign dimensions) of all record tokens."""
+    rec = events_records(spark, sf, positioned=False)
+    vectors = learn.context_vectors(rec.select("tokens"), dim=40, window_size=2)
+    return vectors.select("token", _join_ids("vector").alias("vector"))
+
+
+def wide_record_lines(spark, sf) -> DataFrame:
+    """Stand-in 42-field records: ``(l_orderkey, l_linenumber, line_md5, value)``, a comma line
+    per row of lineitem with its order and customer (see ``config.WIDE_FIELDS``)."""
+    li, orders, cust = (read(spark, sf, t) for t in ("lineitem", "orders", "customer"))
+    rows = (li.join(orders, li["l_orderkey"] == orders["o_orderkey"])
+              .join(cust, orders["o_custkey"] == cust["c_custkey"]))
+    fields = [F.expr(e) for e in WIDE_FIELDS]
+    lines = rows.select("l_orderkey", "l_linenumber", F.concat_ws(",", *fields).alias("value"))
+    return lines.withColumn("line_md5", F.md5("value"))
+
+
+def q_wide_records(spark, sf):
+    """The connection-record flow on 42-field lines: split, bounds over text columns, 42
+    tokens, vocabulary, ids, windows of 5 records by (order, line number, line text)."""
+    key = ["l_orderkey", "l_linenumber", "line_md5"]
+    p = EV.with_(normal_values=("R",), attack_values=None)
+    spec = kdd_spec()
+    rec = materialize(parse_records(wide_record_lines(spark, sf), KDD_COLUMNS, keep=key), "wide-records")
+    bounds = collect_bounds(rec, spec.bucket_columns)
+    pos = global_position(rec, key, "pos", p, n_rows=next(iter(bounds.values())).n_rows)
+    tok = tokenize_records(pos, spec, bounds, p, keep=["pos", *key])
+    freq = materialize(token_frequencies(explode_tokens(tok)), "wide-frequencies")
+    vocab = materialize(build_vocabulary(freq, p), "wide-vocabulary")
+    idx = index_tokens(tok, vocab, spec.n_tokens, p)
+    feat = idx.select("pos", *key, F.slice("token_ids", 1, spec.n_features).alias("feat"),
+                      binary_label(F.col("answer"), p).alias("label"))
+    pad = F.array_repeat(F.lit(p.pad_id).cast("long"), spec.n_features)
+    win = sequence_windows(feat, {"features": ("feat", pad, True), "labels": ("label", 0, False)}, 5, params=p)
+    return win.select(*key, F.md5(_join_ids("features")).alias("window_md5"),
+                      F.size("features").alias("n_ids"), _join_ids("labels").alias("labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -555,6 +658,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "past_future_split": q_past_future_split,
     "chunk_assign": q_chunk_assign,
     "chunk_by_key": q_chunk_by_key,
+    "chunk_by_file": q_chunk_by_file,
     "batch_assign": q_batch_assign,
     "train_validation_split": q_train_validation_split,
     "rows_per_file": q_rows_per_file,
@@ -562,6 +666,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "embed_tokens": q_embed_tokens,
     "attention_pool": q_attention_pool,
     "attention_weights": q_attention_weights,
+    "attention_pool_masked": q_attention_pool_masked,
     "past_future_pool": q_past_future_pool,
     "class_weights": q_class_weights,
     "precision_recall_curve": q_precision_recall_curve,
@@ -574,5 +679,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vocabulary_round_trip": q_vocabulary_round_trip,
     "metrics_table": q_metrics_table,
     "fit_and_score": q_fit_and_score,
+    "bayes_scores": q_bayes_scores,
+    "bayes_best": q_bayes_best,
     "token_vectors": q_token_vectors,
+    "wide_records": q_wide_records,
 }

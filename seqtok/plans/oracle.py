@@ -88,22 +88,14 @@ def _bn(name: str, table: str, col: str) -> str:
 
 
 def _scores_sql() -> str:
-    return """
+    label = "CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label FROM events"
+    return f"""
 scores AS (
-  SELECT 'm_value' AS model_id, r.pos, least(e.value / 100.0, 1.0) AS score,
-         CASE WHEN e.event_type = 'error' THEN 1 ELSE 0 END AS label
-  FROM events e JOIN (SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS pos
-                      FROM events) r ON r.event_id = e.event_id
+  SELECT 'm_value' AS model_id, least(value / 100.0, 1.0) AS score, {label}
   UNION ALL
-  SELECT 'm_inverse', r.pos, 1.0 - least(e.value / 500.0, 1.0),
-         CASE WHEN e.event_type = 'error' THEN 1 ELSE 0 END
-  FROM events e JOIN (SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS pos
-                      FROM events) r ON r.event_id = e.event_id
+  SELECT 'm_inverse', 1.0 - least(value / 500.0, 1.0), {label}
   UNION ALL
-  SELECT 'm_props', r.pos, CAST(regexp_extract(e.props, '([0-9]+)', 1) AS DOUBLE) / 100.0,
-         CASE WHEN e.event_type = 'error' THEN 1 ELSE 0 END
-  FROM events e JOIN (SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS pos
-                      FROM events) r ON r.event_id = e.event_id)"""
+  SELECT 'm_props', CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) / 100.0, {label})"""
 
 
 def _pr_sql(scores: str, group: str) -> str:
@@ -142,6 +134,83 @@ def _pool_sql(src: str, step: str, w: str, b: str, name: str) -> str:
            FROM {name}_c c JOIN {name}_z z ON z.label = c.label GROUP BY c.label, c.dim, z.z)"""
 
 
+BAYES_GRID = (("alpha_0.1", "0.1"), ("alpha_1", "1.0"), ("alpha_10", "10.0"))
+
+
+def _bayes_ctes() -> str:
+    """``bs``: (model_id, event_id, label, score) of every event's window of 5."""
+    grid = ", ".join(f"('{m}', CAST({a} AS DOUBLE))" for m, a in BAYES_GRID)
+    return f""",
+wt AS (SELECT r.pos, r.event_id, CASE WHEN r.answer = 'error' THEN 1 ELSE 0 END AS label,
+              CAST(s.i AS VARCHAR) || '|' || coalesce(t.token, '<pad>') AS term
+       FROM rec r CROSS JOIN range(5) s(i) CROSS JOIN range(4) k(i)
+       LEFT JOIN toks t ON t.pos = r.pos - 4 + s.i AND t.token_pos = k.i),
+tw AS (SELECT term, label, CASE WHEN label = 0 THEN 10.0 ELSE 0.2 END::DOUBLE AS w FROM wt WHERE pos // 1000 < 8),
+tc AS (SELECT term, coalesce(sum(w) FILTER (WHERE label = 0), 0) AS w0,
+              coalesce(sum(w) FILTER (WHERE label = 1), 0) AS w1 FROM tw GROUP BY term),
+tt AS (SELECT sum(w0) AS s0, sum(w1) AS s1, count(*) AS v FROM tc),
+pr AS (SELECT coalesce(sum(CAST(10.0 AS DOUBLE)) FILTER (WHERE answer <> 'error'), 0) AS p0,
+              coalesce(sum(CAST(0.2 AS DOUBLE)) FILTER (WHERE answer = 'error'), 0) AS p1
+       FROM rec WHERE pos // 1000 < 8),
+grid(model_id, a) AS (VALUES {grid}),
+bz AS (SELECT g.model_id, wt.event_id, wt.label,
+              sum(ln((coalesce(tc.w1, 0) + g.a) / (tt.s1 + g.a * (tt.v + 1)))
+                  - ln((coalesce(tc.w0, 0) + g.a) / (tt.s0 + g.a * (tt.v + 1))))
+              + any_value(ln((pr.p1 + g.a) / (pr.p0 + g.a))) AS z
+       FROM wt LEFT JOIN tc ON tc.term = wt.term CROSS JOIN tt CROSS JOIN pr CROSS JOIN grid g
+       GROUP BY g.model_id, wt.event_id, wt.label),
+bs AS (SELECT model_id, event_id, label, 1 / (1 + exp(-z)) AS score FROM bz)"""
+
+
+def _wide_sql() -> str:
+    """The 42-field flow: lines, tokens, vocabulary, windows of 5 records."""
+    from seqtok.config import KDD_COLUMNS, WIDE_FIELDS, kdd_spec
+
+    spec = kdd_spec()
+    fields = ", ".join(f"{e} AS f_{c}" for c, e in zip(KDD_COLUMNS, WIDE_FIELDS))
+    bounds = ", ".join(
+        f"min(CAST(f_{c} AS DOUBLE)) AS mn_{c}, stddev_samp(CAST(f_{c} AS DOUBLE)) AS sd_{c}, "
+        f"max(CAST(f_{c} AS DOUBLE)) AS mx_{c}" for c in spec.bucket_columns)
+    tokens = []
+    for f in spec.features:
+        x = f"CAST(f_{f.column} AS DOUBLE)"
+        if f.kind == "bucket":
+            c = f.column
+            n = f"CASE WHEN sd_{c} IS NULL OR sd_{c} = 0 THEN 1 ELSE floor((mx_{c} - mn_{c}) / sd_{c}) END"
+            b = (f"CASE WHEN sd_{c} IS NULL OR sd_{c} = 0 THEN 0 "
+                 f"ELSE CAST(greatest(least(floor(({x} - mn_{c}) / sd_{c}), {n} - 1), 0) AS INTEGER) END")
+            tokens.append(f"CAST({b} AS VARCHAR) || '{f.token_suffix}'")
+        elif f.column in spec.bucket_columns:
+            tokens.append(f"f_{f.column} || '.0' || '{f.token_suffix}'")
+        else:
+            tokens.append(f"f_{f.column} || '{f.token_suffix}'")
+    tokens.append("f_answer")
+    n = spec.n_features
+    frame = "OVER (ORDER BY r.pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+    pad = ",".join(["0"] * n) + ","
+    return f"""
+WITH lines AS (
+  SELECT *, md5(concat_ws(',', {", ".join("f_" + c for c in KDD_COLUMNS)})) AS line_md5
+  FROM (SELECT l_orderkey, l_linenumber, {fields}
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)),
+b AS (SELECT {bounds} FROM lines),
+rec AS (SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, line_md5) - 1 AS BIGINT) AS pos,
+               l_orderkey, l_linenumber, line_md5, f_answer AS answer, [{", ".join(tokens)}] AS tokens
+        FROM lines CROSS JOIN b),
+toks AS (SELECT pos, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM rec),
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS BIGINT) AS id
+          FROM toks GROUP BY token),
+idx AS (SELECT t.pos, list(v.id ORDER BY t.i)[1:{n}] AS feat FROM toks t JOIN vocab v USING (token) GROUP BY t.pos),
+w AS (SELECT r.*, list(i.feat) {frame} AS h,
+             list(CASE WHEN r.answer = 'R' THEN 0 ELSE 1 END) {frame} AS y
+      FROM rec r JOIN idx i ON i.pos = r.pos)
+SELECT l_orderkey, l_linenumber, line_md5,
+       md5(repeat('{pad}', CAST(5 - len(h) AS BIGINT)) || array_to_string(flatten(h), ',')) AS window_md5,
+       CAST({5 * n} AS INTEGER) AS n_ids,
+       repeat('0,', CAST(5 - len(y) AS BIGINT)) || array_to_string(y, ',') AS labels
+FROM w"""
+
+
 def oracle_queries() -> dict[str, str]:
     q: dict[str, str] = {}
 
@@ -268,6 +337,13 @@ c AS (SELECT event_id, user_id, rk, rk // 20 AS ck FROM r)
 SELECT event_id, user_id, CAST(dense_rank() OVER (ORDER BY user_id, ck) - 1 AS BIGINT) AS chunk_id,
        CAST(rk - ck * 20 AS BIGINT) AS row_in_chunk FROM c"""
 
+    q["chunk_by_file"] = """
+WITH r AS (SELECT event_id, event_id // 2500 AS f,
+                  row_number() OVER (PARTITION BY event_id // 2500 ORDER BY event_id) - 1 AS rk FROM events),
+c AS (SELECT event_id, f, rk, rk // 1000 AS ck FROM r)
+SELECT CAST(event_id AS VARCHAR) AS f_event_id, CAST(dense_rank() OVER (ORDER BY f, ck) - 1 AS BIGINT) AS chunk_id,
+       CAST(rk - ck * 1000 AS BIGINT) AS row_in_chunk FROM c"""
+
     q["batch_assign"] = """
 WITH p AS (SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS pos FROM events)
 SELECT event_id, CAST(pos // 1000 AS BIGINT) AS chunk_id, CAST((pos % 1000) // 128 AS BIGINT) AS batch_id FROM p"""
@@ -298,6 +374,11 @@ FROM n LEFT JOIN s ON s.event_id = n.event_id""")
                            + _pool_sql("st", "t", W_PAST, B_PAST, "pool").rstrip()
                            + "\nSELECT label, dim, round(pooled, 6) AS pooled FROM pool")
 
+    q["attention_pool_masked"] = ("WITH " + _attention_steps().strip() + """,
+live AS (SELECT * FROM st WHERE t % 3 <> 0),"""
+                                  + _pool_sql("live", "t", W_PAST, B_PAST, "pool").rstrip()
+                                  + "\nSELECT label, dim, round(pooled, 6) AS pooled FROM pool")
+
     q["attention_weights"] = ("WITH " + _attention_steps().strip() + ","
                               + _pool_sql("st", "t", W_PAST, B_PAST, "pool").rstrip()
                               + """
@@ -341,9 +422,9 @@ SELECT model_id, round(log_loss, 6) AS log_loss, round(weighted_loss, 6) AS weig
     q["best_model"] = ("WITH " + _scores_sql().strip() + "," + losses + """
 SELECT arg_min(model_id, log_loss) AS model_id, round(min(log_loss), 6) AS log_loss FROM ls""")
 
-    q["align_scores"] = ("WITH " + _scores_sql().strip() + """
-SELECT pos, score, label FROM scores
-WHERE model_id = 'm_value' AND pos < (SELECT count(*) FROM events) // 128 * 128""")
+    q["align_scores"] = """
+SELECT d.doc_id, least(d.n_chars / 5000.0, 1.0) AS score, l.quality AS label
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""
 
     q["chunk_round_trip"] = with_events(""",
 ch AS (SELECT event_id, CAST(pos // 1000 AS BIGINT) AS chunk_id, label, ids FROM idx)
@@ -351,8 +432,29 @@ SELECT event_id, chunk_id,
        CASE WHEN chunk_id < 8 THEN 'train' WHEN chunk_id < 10 THEN 'validation' ELSE 'test' END AS split,
        label, array_to_string(ids, ',') AS token_ids FROM ch""")
 
-    q["sentence_round_trip"] = with_events(
-        "SELECT pos, array_to_string(tokens, ',') AS sentence FROM rec")
+    q["sentence_round_trip"] = with_events(""",
+o AS (SELECT pos, [' lead', 'trail ', 'say "x"', ''][pos % 4 + 1] AS odd, tokens FROM rec),
+t AS (SELECT pos, CASE WHEN pos % 10 = 0 THEN [odd] ELSE list_concat([odd], tokens, [odd]) END AS t FROM o)
+SELECT pos, array_to_string(t, ',') AS sentence, CAST(len(t) AS INTEGER) AS n_tokens FROM t""")
 
     q["vocabulary_round_trip"] = q["vocabulary"]
+
+    q["bayes_scores"] = with_events(_bayes_ctes() + """
+SELECT model_id, event_id, CAST(label AS INTEGER) AS label, round(score, 6) AS score FROM bs""")
+    q["bayes_best"] = with_events(_bayes_ctes() + """,
+bl AS (SELECT model_id, avg(-ln(CASE WHEN label = 1 THEN least(greatest(score, 1e-7), 1 - 1e-7)
+                                     ELSE 1 - least(greatest(score, 1e-7), 1 - 1e-7) END)) AS log_loss
+       FROM bs GROUP BY model_id)
+SELECT arg_min(model_id, log_loss) AS model_id, round(min(log_loss), 6) AS log_loss FROM bl""")
+
+    sign = ("sum(CASE WHEN substr(md5('{b}/' || c), {d}, 1) >= '8' THEN n ELSE -n END)")
+    dims = ", ".join(sign.format(b=d // 32, d=d % 32 + 1) for d in range(40))
+    q["token_vectors"] = with_events(f""",
+pairs AS (SELECT a.token, b.token AS c, count(*) AS n
+          FROM toks a JOIN toks b ON a.pos = b.pos AND a.token_pos <> b.token_pos
+                                 AND abs(a.token_pos - b.token_pos) <= 2
+          GROUP BY a.token, b.token)
+SELECT token, array_to_string([{dims}], ',') AS vector FROM pairs GROUP BY token""")
+
+    q["wide_records"] = _wide_sql()
     return q

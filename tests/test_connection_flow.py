@@ -1,91 +1,93 @@
-"""The reference's whole flow on its own record format, with its parity numbers:
-text records -> tokens -> sentences sink -> vocabulary -> indexing (both branches) ->
-windows + labels -> chunks sink -> weighted classifier -> scores -> sweep -> best model.
-"""
+"""The reference's whole flow on its own record format through ``seqtok.job``: text records
+-> sentences, vocabulary -> indexing (both branches) -> windows, labels, chunks ->
+class-weighted classifiers -> scores -> sweep -> best model."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from seqtok import job
 from seqtok.config import KDD_COLUMNS, Params, kdd_spec
 from seqtok.operators import evaluate, learn
-from seqtok.operators.sequence import (
-    assign_batch, assign_chunk, binary_label, global_position, label_window, sequence_window,
-    split_name,
-)
-from seqtok.operators.tokens import collect_bounds, explode_tokens, tokenize_records
-from seqtok.operators.vocab import (
-    build_vocabulary, index_tokens, mask_tokens, replace_oov, token_frequencies,
-)
-from seqtok.session import materialize, scratch_path
 from seqtok.sources import sinks
-from seqtok.sources.records import ORDER_COLUMNS, read_records
+from seqtok.sources.records import read_records
 from test_sources_plans import _kdd_line
 
+P = Params.parity(rows_per_chunk=100, train_chunks=4, validation_chunks=1, window=5)
 
-def test_connection_record_flow(spark, tmp_path):
-    src = tmp_path / "records"
-    src.mkdir()
+
+@pytest.fixture(scope="module")
+def out(spark, tmp_path_factory):
+    src = tmp_path_factory.mktemp("records")
     for f in range(3):
         lines = [_kdd_line(i * 7 + f) for i in range(f * 200, f * 200 + 200)]
         (src / f"part{f}.txt").write_text("\n".join(lines) + "\n")
-    spec = kdd_spec()
-    p = Params.parity(rows_per_chunk=100, train_chunks=4, validation_chunks=1, window=5)
+    folder = str(tmp_path_factory.mktemp("job"))
+    job.preprocess(spark, str(src), folder, P)
+    return folder
 
-    # tokenize (one bounds pass, one projection), persist sentences, read them back
-    rec = read_records(spark, str(src), KDD_COLUMNS)
-    bounds = collect_bounds(rec, spec.bucket_columns)
-    assert set(bounds) == {"duration", "count", "srv_count", "serror_rate", "srv_serror_rate",
-                           "rerror_rate", "srv_rerror_rate", "same_srv_rate", "diff_srv_rate",
-                           "dst_bytes"}
-    pos = global_position(rec, list(ORDER_COLUMNS), "pos", p)
-    tok = tokenize_records(pos, spec, bounds, p, keep=["pos"])
-    spath = scratch_path(spark, "t-flow-sentences")
-    sinks.write_sentences(tok, spath, fmt="csv")
-    sent = sinks.read_sentences(spark, spath, fmt="csv")
+
+def test_preprocess(spark, out):
+    sent = spark.read.parquet(f"{out}/sentences")
     assert sent.count() == 600 and sent.where(F.size("tokens") != 42).count() == 0
+    vocab = sinks.load_vocabulary(spark, f"{out}/vocabulary")
+    assert vocab.agg(F.min("token_id"), F.max("token_id")).first() == (0, vocab.count() - 1)
 
-    # vocabulary with the reference's ids: 0.., unknown 404404, pad 4044
-    freq = materialize(token_frequencies(explode_tokens(sent)), "t-flow-freq")
-    vocab = materialize(build_vocabulary(freq, p), "t-flow-vocab")
-    v = vocab.count()
-    assert vocab.agg(F.min("token_id"), F.max("token_id")).first() == (0, v - 1)
-
-    # inference branch: unknown tokens; training branch: frequency masking
-    seen = replace_oov(sent, vocab, 42, p)
-    idx = index_tokens(seen, vocab, 42, p).withColumn("answer", F.element_at("tokens", -1))
-    assert idx.where(F.exists("token_ids", lambda x: x == p.unk_id)).count() == 0
-    masked = mask_tokens(idx, freq, 41, p)
-    assert masked.where(F.col("mask_pos") >= 39).count() == 0  # 39 maskable positions
-    feats = masked.select("pos", F.slice("token_ids", 1, 41).alias("feat"),
-                          binary_label(F.col("answer"), p).alias("label"))
-
-    # windows of 5 records x 41 ids, padded with 4044; label windows; chunks, batches
-    pad = F.array_repeat(F.lit(p.pad_id).cast("long"), 41)
-    win = sequence_window(feats, "feat", p.window, pad, flatten=True, out="features", params=p)
-    win = label_window(win, "label", p.window, params=p)
-    win = assign_batch(assign_chunk(win, p.rows_per_chunk), p.batch_size)
-    win = win.withColumn("split", split_name(F.col("chunk_id"), p))
+
+def test_training_branch_masks_and_windows(spark, out):
+    win = job.index_windows(spark, out, training=True, time_data=True, params=P)
+    assert win.count() == 600
     first = win.where("pos = 0").first()
-    assert len(first.features) == 205 and first.features[:164] == [4044] * 164
+    assert len(first.features) == 205 and first.features[:164] == [P.pad_id] * 164
     assert first.labels[:4] == [0, 0, 0, 0]
-    cpath = scratch_path(spark, "t-flow-chunks")
-    sinks.write_chunks(win.select("pos", "chunk_id", "batch_id", "split", "features", "label"), cpath)
-    train = sinks.read_chunks(spark, cpath, range(4), "train")
-    test = sinks.read_chunks(spark, cpath, [5], "test")
-    assert train.count() == 400 and test.count() == 100
+    # at most one masked id per record: the last step of each window
+    last = win.select(F.size(F.filter(F.slice("features", 165, 41), lambda x: x == P.unk_id)).alias("n"))
+    assert last.agg(F.max("n")).first()[0] == 1
+    by_file = job.index_windows(spark, out, training=True, params=P.with_(rows_per_chunk=150), by_file=True)
+    assert sorted(r["count"] for r in by_file.groupBy("chunk_id").count().collect()) == [50, 50, 50, 150, 150, 150]
+    assert "labels" not in by_file.columns
+
+
+def test_train_and_evaluate_by_command_line(spark, out):
+    cut = ["--parity", "--rows-per-chunk", "100", "--train-chunks", "4", "--validation-chunks", "1"]
+    job.main(["index", out, "--inference", "--window", "5", *cut], spark)
+    win = sinks.read_chunks(spark, f"{out}/chunks")
+    assert win.where(F.exists("features", lambda x: x == P.unk_id)).count() == 0
+    job.main(["train", out, *cut], spark)
+    job.main(["evaluate", out, *cut], spark)
+    curve = sinks.read_metrics(spark, f"{out}/metrics")
+    assert curve.count() == 33
+    assert curve.select((F.col("tp") + F.col("fn")).alias("n")).distinct().count() == 1
+    best = spark.read.parquet(f"{out}/best").first()
+    assert best.model_id in job.ALPHAS and best.log_loss >= 0
+
+
+def test_logistic_regression_beside_it(spark, out):
+    win = job.index_windows(spark, out, training=False, params=P)
 
-    # class-weighted classifier on window terms, two candidates, scores, sweep, best model
     def terms(df):
-        return df.select("pos", "label", learn.window_terms(F.col("features"), 41, p.window).alias("terms"),
-                         learn.class_weight(F.col("label"), p).alias("weight"))
+        return df.select("pos", "label", learn.window_terms(F.col("features"), 41, P.window).alias("terms"),
+                         learn.class_weight(F.col("label"), P).alias("weight"))
 
-    models = learn.fit_candidates(terms(train), [("it3", 3, 0.0), ("it10", 10, 0.01)],
+    models = learn.fit_candidates(terms(win.where("split = 'train'")), [("it3", 3, 0.0), ("it10", 10, 0.01)],
                                   num_features=1 << 12)
     scores = None
     for mid, m in models.items():
-        s = learn.score_windows(m, terms(test), mid)
+        s = learn.score_windows(m, terms(win.where("split = 'test'")), mid)
         scores = s if scores is None else scores.unionByName(s)
-    curve = evaluate.compare_models(scores, params=p)
-    assert curve.count() == 22
-    assert curve.select((F.col("tp") + F.col("fn")).alias("pos")).distinct().count() == 1
-    best = evaluate.best_model(evaluate.model_losses(scores, params=p)).first()
+    best = evaluate.best_model(evaluate.model_losses(scores, params=P)).first()
     assert best.model_id in {"it3", "it10"} and best.log_loss >= 0
+
+
+def test_unreadable_numbers_become_null_buckets(spark, tmp_path):
+    fields = _kdd_line(3).split(",")
+    fields[KDD_COLUMNS.index("count")] = "many"
+    (tmp_path / "r.txt").write_text(_kdd_line(1) + "\n" + ",".join(fields) + "\n")
+    from seqtok.operators.tokens import collect_bounds, tokenize_records
+    rec = read_records(spark, str(tmp_path), KDD_COLUMNS)
+    spec = kdd_spec()
+    bounds = collect_bounds(rec, spec.bucket_columns)
+    got = [r.tokens for r in tokenize_records(rec, spec, bounds, Params()).collect()]
+    assert sorted(t for r in got for t in r if t.endswith("count_bucketized") and "srv" not in t) == [
+        "0count_bucketized", "Nonecount_bucketized"]
+    skipped = tokenize_records(rec, spec, bounds, Params(on_nan="skip"))
+    assert skipped.count() == 1

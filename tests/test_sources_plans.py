@@ -24,6 +24,8 @@ def test_line_arity_fail_and_quarantine(spark):
     lines = spark.createDataFrame([("1,tcp",), ("1,tcp,http,SF",)], "value string")
     with pytest.raises(Exception):
         parse_records(lines, ["a", "b", "c", "d"], on_bad="fail").collect()
+    with pytest.raises(Exception):
+        parse_records(lines, ["a", "b", "c", "d"], on_bad="fail").count()
     q = parse_records(lines, ["a", "b", "c", "d"], on_bad="quarantine").orderBy("_corrupt").collect()
     assert [r._corrupt for r in q] == [False, True] and q[0].d == "SF" and q[1].a is None
 
@@ -76,10 +78,65 @@ def test_sentence_and_chunk_sinks(spark):
                                        F.lit("train").alias("split"))
     cpath = scratch_path(spark, "t-chunks")
     sinks.write_chunks(chunks, cpath)
-    got = sinks.read_chunks(spark, cpath, [0, 2], "train")
-    assert got.count() == 20
+    got = sinks.read_chunks(spark, cpath, 1, 2, "train")
+    assert got.count() == 20 and sorted(got.columns) == ["chunk_id", "pos", "split"]
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "chunk_id" in plan
+    assert "PartitionFilters" in plan and "chunk_range" in plan and "PushedFilters" in plan
+
+
+def test_chunk_files_do_not_grow_with_chunks(spark):
+    chunks = spark.range(0, 6000, numPartitions=8).select(
+        F.col("id").alias("pos"), (F.col("id") % 300).alias("chunk_id"), F.lit("train").alias("split"))
+    path = scratch_path(spark, "t-many-chunks")
+    sinks.write_chunks(chunks, path, chunks_per_directory=100)
+    files = [f for _, _, names in os.walk(path.replace("file:", "")) for f in names if f.endswith(".parquet")]
+    assert len(files) <= 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = sinks.read_chunks(spark, path, 150, 150, "train", chunks_per_directory=100)
+    assert one.count() == 20
+    # a chunk is in one file
+    assert spark.read.parquet(path).groupBy("chunk_id").agg(
+        F.countDistinct(F.col("_metadata.file_path")).alias("n")).where("n > 1").count() == 0
+    assert sinks.read_chunks(spark, path).count() == 6000
+
+
+def test_csv_sentences_come_back_exactly(spark):
+    rows = [(0, [" lead", "trail "]), (1, [""]), (2, ["", ""]), (3, ['say "x"', "\\", "'"]), (4, ["null", "NULL"])]
+    df = spark.createDataFrame(rows, "pos long, tokens array<string>")
+    path = scratch_path(spark, "t-csv")
+    sinks.write_sentences(df, path, fmt="csv")
+    assert sorted((r.pos, r.tokens) for r in sinks.read_sentences(spark, path, fmt="csv").collect()) == rows
+    broken = spark.createDataFrame([(0, ["a\nb"])], "pos long, tokens array<string>")
+    with pytest.raises(Exception, match="line break"):
+        sinks.write_sentences(broken, scratch_path(spark, "t-csv-bad"), fmt="csv")
+
+
+def test_scratch_tables_go_and_clusters_need_a_shared_folder(spark, monkeypatch):
+    from seqtok import session
+
+    kept = session.materialize(spark.range(3), "t-drop")
+    path = kept.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")
+    assert os.path.isdir(path) and spark.sparkContext.applicationId in path
+    session.drop_scratch(spark, path)
+    assert not os.path.exists(path)
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key):
+            raise KeyError(key)
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
 
 
 def test_scratch_path_under_checkpoint_dir(spark):
@@ -110,19 +167,23 @@ def test_no_python_udf_in_plans(spark, name):
 
 
 def test_every_query_has_oracle_or_is_training():
-    import __spark_entry__ as entry
+    from seqtok.plans.catalogue import QUERIES
+    from seqtok.plans.oracle import oracle_queries
+
+    assert set(QUERIES) - set(oracle_queries()) == {"fit_and_score"}
 
-    missing = set(entry.queries()) - set(entry.oracle_sql())
-    assert missing == {"fit_and_score", "token_vectors"}
 
+def test_entry_without_the_training_data_package(monkeypatch):
+    import importlib.util
 
-def test_catalogue_runs_at_smallest_scale(spark):
     import __spark_entry__ as entry
+    from seqtok.plans.catalogue import QUERIES
 
-    for name, fn in entry.queries().items():
-        if name in ("fit_and_score", "token_vectors"):
-            continue
-        assert fn(spark, SF001).count() >= 1, name
+    real = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec",
+                        lambda m, *a: None if m in ("seqtok.llm", "corpus_pipeline") else real(m, *a))
+    assert set(entry.queries()) == set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(QUERIES)
 
 
 def test_testdata_present():

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from seqtok.config import Params
-from seqtok.operators.lookup import lookup_positions, size_in_bytes
+from seqtok.operators.lookup import hot_keys, join_totals, lookup_positions, size_in_bytes
 from seqtok.operators.vocab import (
     build_vocabulary, index_tokens, mask_tokens, replace_oov, token_frequencies, top_tokens,
 )
@@ -26,8 +26,8 @@ def test_vocabulary_fixture(spark):
 
 def test_vocabulary_same_under_repartitioning(spark):
     toks = [f"t{i % 97}" for i in range(5000)] + [f"u{i}" for i in range(300)]
-    a = build_vocabulary(token_frequencies(_tokens(spark, toks).repartition(1)), Params(rows_per_bucket=10))
-    b = build_vocabulary(token_frequencies(_tokens(spark, toks).repartition(13)), Params(rows_per_bucket=50))
+    a = build_vocabulary(token_frequencies(_tokens(spark, toks).repartition(1)), Params(rows_per_range=10))
+    b = build_vocabulary(token_frequencies(_tokens(spark, toks).repartition(13)), Params(rows_per_range=50))
     assert a.exceptAll(b).count() == 0 and a.count() == 397
     ids = [r.token_id for r in a.collect()]
     assert sorted(ids) == list(range(2, 2 + 397))  # dense bijection
@@ -41,7 +41,7 @@ def test_index_then_reverse_lookup_is_identity(spark):
     for bc in (True, False):
         idx = index_tokens(rec, vocab, 3, Params(), broadcast=bc)
         back = lookup_positions(idx, "token_ids", 3, vocab, "token_id", "token", F.lit("?"),
-                                "back", bc, Params(salt_buckets=4))
+                                "back", bc, Params(salt_rows=7))
         assert back.where(F.col("back") != F.col("tokens")).count() == 0
         assert back.count() == 200
 
@@ -119,3 +119,60 @@ def test_empty_input_pipeline(spark):
     idx = index_tokens(pos, vocab, 2, Params())
     win = sequence_window(idx, "token_ids", 3, F.array(F.lit(0).cast("long"), F.lit(0).cast("long")))
     assert vocab.count() == 0 and win.count() == 0
+
+
+ODD = [(0, ["a", "b"]), (1, ["a"]), (2, []), (3, None), (None, ["b", "a"]), (4, ["a", None]), (4, ["b", "zz", "x"])]
+
+
+def test_all_lookup_forms_agree_on_odd_rows(spark):
+    """Short, empty, NULL and repeated rows: no row is lost or spoiled in any form."""
+    rec = spark.createDataFrame(ODD, "pos long, tokens array<string>")
+    table = spark.createDataFrame([("a", 2), ("b", 3)], "token string, token_id long")
+    want = sorted(str((p, t, [{"a": 2, "b": 3}.get(((t or []) + [None] * 2)[i], 1) for i in range(2)]))
+                  for p, t in ODD)
+    for broadcast, wide in ((True, 16), (True, 1), (False, 16)):
+        p = Params(wide_tokens=wide, salt_rows=1)
+        out = lookup_positions(rec, "tokens", 2, table, "token", "token_id", F.lit(1).cast("long"), "ids",
+                               broadcast, p)
+        assert out.columns == ["pos", "tokens", "ids"]
+        assert sorted(str((r.pos, r.tokens, r.ids)) for r in out.collect()) == want
+
+
+def test_shuffle_lookup_with_a_hot_token_and_no_broadcasts(spark):
+    old = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        rec = spark.range(3000).select(F.col("id").alias("pos"), F.array(
+            F.lit("hot"), F.concat(F.lit("w"), F.col("id") % 50)).alias("tokens"))
+        vocab = spark.createDataFrame([("hot", 5)] + [(f"w{i}", 100 + i) for i in range(50)],
+                                      "token string, token_id long")
+        got = index_tokens(rec, vocab, 2, Params(salt_rows=100), broadcast=False)
+        bad = got.where((F.col("token_ids")[0] != 5) | (F.col("token_ids")[1] != 100 + F.col("pos") % 50))
+        assert got.count() == 3000 and bad.count() == 0
+        hot = {r["__hot"]: r["__salts"] for r in hot_keys(
+            rec.select(F.explode("tokens").alias("t")), "t", Params(salt_rows=100)).collect()}
+        assert hot == {"hot": 30}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold") if old is None else spark.conf.set(
+            "spark.sql.adaptive.autoBroadcastJoinThreshold", old)
+
+
+def test_size_bound_of_nested_types(spark):
+    df = spark.sql("select map('k', repeat('x', 2048)) m, named_struct('a', repeat('y', 1000)) s, "
+                   "array(array(repeat('z', 500))) a")
+    assert size_in_bytes(df) >= 2048 + 1000 + 500
+    assert size_in_bytes(spark.sql("select array(1.0D, 2.0D) v")) == 16 + 2 * 8 + 16
+    from pyspark.ml.linalg import Vectors
+    vec = spark.createDataFrame([(Vectors.dense([1.0]),)], ["v"])
+    assert size_in_bytes(vec) >= 1 << 60        # no rule for the type: never broadcast
+
+
+def test_totals_join_back_salted_and_with_null_groups(spark):
+    rows = spark.createDataFrame([("a" if i % 3 else None, i) for i in range(100)], "g string, i long")
+    totals = rows.groupBy("g").agg(F.sum("i").alias("s"), F.count(F.lit(1)).alias("n"))
+    for p in (Params(), Params(broadcast_max_bytes=-1, salt_rows=10)):
+        got = join_totals(rows, totals, ["g"], "n", F.xxhash64("i"), p)
+        assert got.columns == ["g", "i", "s"] and got.count() == 100
+        assert got.where("g is null").agg(F.min("s"), F.max("s")).first() == (1683, 1683)
