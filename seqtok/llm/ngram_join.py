@@ -336,21 +336,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return (joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
                       .unionByName(joined.select("a", F.col("m").alias("b"))).where("a != b").distinct())
 
-    def state(e: DataFrame) -> tuple:
-        row = e.agg(F.count(F.lit(1)).alias("n"),
-                    F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        return row["n"], row["h"]
-
-    now = materialize(edges.where("a != b").distinct(), "edges")
-    before = state(now)
+    def is_star_forest(e: DataFrame) -> bool:
+        """Every node has one edge down, and no root is itself below another."""
+        twice = e.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        chained = e.join(e.select(F.col("a").alias("c")), F.col("b") == F.col("c"), "left_semi")
+        return twice.isEmpty() and chained.isEmpty()
+
+    now = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = materialize(now, "edges")
     for _ in range(max_rounds):
-        if not before[0]:
+        if is_star_forest(now):
             break
         now = materialize(small_star(large_star(now)), "edges")
-        after = state(now)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError("connected components did not settle")
     return (now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -373,7 +370,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                      .where((F.col("__size") > 1) | F.col("__links").isNotNull())
                      .select("__key", "__size", "__first", F.coalesce("__links", F.lit(0)).alias("__links"),
                              F.coalesce("root", "__key").alias("__root")))
-    placed = materialize(placed, "ngram-placed")
     least = placed.groupBy("__root").agg(F.min("__first").alias("__class"))
     known = placed.join(least.withColumnRenamed("__root", "__r"), F.col("__root") == F.col("__r")).select(
         F.col("__key").alias("__k"), "__size", "__links", "__class")
@@ -392,7 +388,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the least id of every near-duplicate class; of rows that repeat an id one
     stays if they are in one class. Rows with a null id stay."""
-    found = materialize(near_duplicates(docs, id_col, text_col, threshold), "ngram-rows")
+    found = near_duplicates(docs, id_col, text_col, threshold)
     drop = found.where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("class_id"))).select(
         F.col(id_col).alias("__gone")).distinct()
     if size_in_bytes(drop) <= BROADCAST_BYTES:
