@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqtok.operators.lookup import size_in_bytes
+from seqtok.session import materialize
 
 MAX_RATIO = 0.02
 MIN_PAGES = 5
@@ -60,7 +61,8 @@ def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text",
                      dropped_col: str | None = None) -> DataFrame:
     """``pages`` with the boilerplate lines of each page's host taken out of its text;
     ``dropped_col``: also the number of lines taken out."""
-    found = boilerplate_lines(pages, host, text_col, max_ratio, min_pages)
+    # written: it is measured, then joined; the lines are counted once
+    found = materialize(boilerplate_lines(pages, host, text_col, max_ratio, min_pages), "boilerplate")
     lists = (found.groupBy("__host").agg(F.collect_set("__line").alias("__bad"),
                                          F.first("__total").alias("__total")))
     cols = pages.columns
