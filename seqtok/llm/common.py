@@ -11,11 +11,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqtok.operators.lookup import size_in_bytes
+
 PIECE_BYTES = 2 << 20      # text bytes handled by one numpy pass
 SHINGLE_WORDS = 5
+SAMPLE_MARGIN = 4
+BROADCAST_BYTES = 32 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -160,3 +165,20 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField],
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+def sample_by_hash(rows: DataFrame, group: str, key: str, k: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The ``k`` rows of each ``group`` with the least ``key`` (a 64-bit hash column).
+
+    Rows whose hash lies above ``SAMPLE_MARGIN * k / rows of the group`` of the hash range go
+    first, so a group with most of the rows brings a few times ``k`` rows to its task, not all.
+    """
+    counts = rows.groupBy(F.col(group).alias("__sg")).agg(F.count(F.lit(1)).alias("__sn"))
+    if size_in_bytes(counts) <= BROADCAST_BYTES:
+        counts = F.broadcast(counts)
+    share = F.col(key).cast("double") / float(1 << 64) + F.lit(0.5)
+    low = rows.join(counts, F.col(group).eqNullSafe(F.col("__sg"))).where(
+        share * F.col("__sn") <= SAMPLE_MARGIN * k)
+    first = Window.partitionBy(group).orderBy(key, *ties)
+    return (low.withColumn("__srank", F.row_number().over(first)).where(F.col("__srank") <= k)
+               .drop("__sg", "__sn", "__srank"))

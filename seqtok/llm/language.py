@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqtok.llm.common import append_columns
+from seqtok.llm.common import append_columns, sample_by_hash
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 600
@@ -190,9 +190,8 @@ def language_samples(labelled: DataFrame, id_col: str, text_col: str, lang_col:
                           & F.col(lang_col).isNotNull())
     cut = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"),
                       F.substring(F.col(text_col), 1, chars).alias("text"))
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    got = (cut.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs)
-              .orderBy("lang", "n").limit(MAX_LANGUAGES * docs).collect())
+    got = sample_by_hash(cut, "lang", "h", docs, ("text",)).orderBy("lang", "h", "text").limit(
+        MAX_LANGUAGES * docs).collect()
     out: dict[str, list[str]] = {}
     for r in got:
         out.setdefault(r["lang"], []).append(r["text"])

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqtok.llm.common import append_columns, mix64, word_hashes
+from seqtok.llm.common import append_columns, mix64, sample_by_hash, word_hashes
 
 WORD_TERMS = 1024
 SHAPE_TERMS = 1023
@@ -142,11 +142,10 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     spark = docs.sparkSession
     clean = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
                    .groupBy(F.col(id_col).alias("__lid")).agg(F.min(label_col).cast("int").alias("__label")))
-    first = Window.partitionBy("__label").orderBy(F.xxhash64("__lid"), "__lid")
-    chosen = clean.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_label).drop("__n")
+    chosen = sample_by_hash(clean.withColumn("__h", F.xxhash64("__lid")), "__label", "__h", per_label, ("__lid",))
     # at most 2 * per_label ids: a proven bound
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(
-        F.broadcast(chosen), F.col("__id") == F.col("__lid"))
+        F.broadcast(chosen.drop("__h")), F.col("__id") == F.col("__lid"))
     one = Window.partitionBy("__id").orderBy(F.col("__text").asc_nulls_first())
     sample = sample.withColumn("__n", F.row_number().over(one)).where("__n = 1")
     got = (with_terms(sample.select("__id", "__label", "__text"), "__text", "__terms")
