@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from seqtok.operators.lookup import size_in_bytes
 
-PIECE_BYTES = 2 << 20      # text bytes handled by one numpy pass
+PIECE_BYTES = 1 << 20      # text of one call of an operator's work on a batch
+BLOCK_BYTES = 1 << 18      # text bytes hashed by one numpy pass
 SHINGLE_WORDS = 5
 SAMPLE_MARGIN = 4
 BROADCAST_BYTES = 32 << 20
@@ -46,7 +47,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(16, int(n - 1).bit_length())
     if size not in _POWERS:
-        if size > PIECE_BYTES * 2:            # rare large block: not kept
+        if size > BLOCK_BYTES * 2:            # rare large block: not kept
             return _power_tables(n)
         _POWERS.clear()
         _POWERS[size] = _power_tables(size)
@@ -84,13 +85,13 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
     starts, hashes, at = [], [], 0
     while at < len(buf):
-        stop = min(len(buf), at + PIECE_BYTES)
+        stop = min(len(buf), at + BLOCK_BYTES)
         while stop < len(buf):                # a block never ends inside a word
-            gap = np.flatnonzero(~_IS_WORD[buf[stop:stop + PIECE_BYTES]])
+            gap = np.flatnonzero(~_IS_WORD[buf[stop:stop + BLOCK_BYTES]])
             if len(gap):
                 stop += int(gap[0])
                 break
-            stop = min(len(buf), stop + PIECE_BYTES)
+            stop = min(len(buf), stop + BLOCK_BYTES)
         s, h = _block_words(buf[at:stop])
         starts.append(s + at)
         hashes.append(h)

@@ -45,9 +45,9 @@ class Sketcher:
         self.bins, self.bits = bins, bits
         self.shift = np.uint64(64 - int(math.log2(bins)))
         seed = np.arange(PROBES * bins, dtype=np.uint64).reshape(PROBES, bins)
-        self.probe = (mix64(seed + np.uint64(0xA0761D6478BD642F)) >> self.shift).astype(np.int64)
+        self.probe = (mix64(seed + np.uint64(0xA0761D6478BD642F)) >> self.shift).astype(np.int16)
         # first[i, j]: the attempt at which bin i probes bin j; bins never probed come last
-        self.first = np.tile(PROBES + np.arange(bins), (bins, 1))
+        self.first = np.tile(PROBES + np.arange(bins, dtype=np.int32), (bins, 1))
         for t in range(PROBES - 1, -1, -1):
             self.first[np.arange(bins), self.probe[t]] = t
 

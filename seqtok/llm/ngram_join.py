@@ -50,8 +50,8 @@ TREES = 16
 MAX_DEPTH = 5
 TARGET_RECALL = 0.999
 TAIL = 1e-6
-NODE_MEMBERS = 1024
-NODE_SHINGLES = 1 << 20
+NODE_MEMBERS = 512
+NODE_SHINGLES = 1 << 19
 BROADCAST_BYTES = 64 << 20
 _VALUES = TREES * MAX_DEPTH
 _MULTIPLIERS = mix64(np.arange(1, _VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -269,9 +269,9 @@ def _verify(threshold: float, depth: int) -> Callable:
             texts = table.column("__text").to_pylist()
             out: list[tuple] = []
             at = 0
-            while at < len(begins):            # some units at a time, about 2 MB of text
+            while at < len(begins):            # some units at a time, about 1 MB of text
                 stop, chars = at, 0
-                while stop < len(begins) and (stop == at or chars < 2 << 20):
+                while stop < len(begins) and (stop == at or chars < 1 << 20):
                     chars += sum(len(t or "") for t in texts[begins[stop]:ends[stop]])
                     stop += 1
                 a0 = begins[at]
