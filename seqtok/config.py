@@ -105,7 +105,7 @@ class Params:
     rows_per_range: int = 500_000        # rows per range in global_position
     max_ranges: int = 10_000             # above that many ranges they grow instead
     salt_rows: int = 2_000_000           # rows of one key above which it is salted
-    wide_tokens: int = 16                # more positions than this: explode + one join
+    wide_tokens: int = 64                # more positions than this: explode + one join
     halo_chunk_rows: int = 20_000        # rows per chunk in sequence windows
 
     @classmethod

@@ -428,9 +428,9 @@ def q_attention_weights(spark, sf):
 
 
 def q_attention_pool_masked(spark, sf):
-    """Attention pooling with a mask: every third vector of a label takes no part."""
+    """Attention pooling with a mask: vectors with a negative first component take no part."""
     steps, dim = _embedding_steps(spark, sf)
-    masked = steps.withColumn("mask", (F.col("step") % 3 != 0).cast("int"))
+    masked = steps.withColumn("mask", (F.col("embedding")[0] >= 0).cast("int"))
     pooled = attention_pool(masked, ["label"], "step", "embedding", _w_past(dim), _b_past, mask_col="mask")
     return pooled.select("label", F.posexplode("pooled").alias("dim", "pooled")).select(
         "label", "dim", _r6("pooled").alias("pooled"))

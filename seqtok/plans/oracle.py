@@ -375,7 +375,7 @@ FROM n LEFT JOIN s ON s.event_id = n.event_id""")
                            + "\nSELECT label, dim, round(pooled, 6) AS pooled FROM pool")
 
     q["attention_pool_masked"] = ("WITH " + _attention_steps().strip() + """,
-live AS (SELECT * FROM st WHERE t % 3 <> 0),"""
+live AS (SELECT * FROM st WHERE x[1] >= 0),"""
                                   + _pool_sql("live", "t", W_PAST, B_PAST, "pool").rstrip()
                                   + "\nSELECT label, dim, round(pooled, 6) AS pooled FROM pool")
 
