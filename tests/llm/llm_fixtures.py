@@ -1,21 +1,15 @@
-import os
-import sys
+"""Helpers and fixtures of the tests in this folder; each test module names it in
+``pytest_plugins`` (a conftest here would hide the one of the library's tests)."""
 
-import pytest
+import random
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-for p in (ROOT, os.path.join(ROOT, "tests")):
-    if p not in sys.path:
-        sys.path.insert(0, p)
+import pytest
 
 SMALL = "/root/testdata/sf0.001"
-
 WORDS = [f"w{i}" for i in range(400)]
 
 
 def prose(seed: int, n: int) -> str:
-    import random
-
     rng = random.Random(seed)
     return " ".join(rng.choice(WORDS) for _ in range(n))
 

@@ -10,6 +10,8 @@ from hypothesis import strategies as st
 
 from seqtok.llm import bpe
 
+pytest_plugins = ["llm_fixtures"]
+
 PATH = P.path("byte_bpe_50k.tiktoken")
 
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from seqtok.llm import common
 
+pytest_plugins = ["llm_fixtures"]
+
 
 def _words(text):
     return re.findall(r"[0-9a-z_\x80-\U0010ffff]+", (text or "").lower())

@@ -1,11 +1,13 @@
 import hashlib
 
 import numpy as np
-from conftest import prose  # noqa: F401  (tests/llm/conftest.py)
+from llm_fixtures import prose
 
 from seqtok.llm import fingerprints as fp
 from seqtok.llm.common import shingle_hashes
 
+pytest_plugins = ["llm_fixtures"]
+
 
 def _jaccard(a, b):
     x, y = (set(shingle_hashes([t])[0].tolist()) for t in (a, b))

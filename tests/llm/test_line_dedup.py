@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from seqtok.llm import line_dedup as ld
 
+pytest_plugins = ["llm_fixtures"]
+
 
 def _brute(rows, ratio, least):
     total, pages = Counter(), defaultdict(set)

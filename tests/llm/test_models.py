@@ -2,11 +2,13 @@
 import zlib
 
 import numpy as np
-from conftest import SMALL, prose  # noqa: F401
+from llm_fixtures import SMALL, prose
 
 from seqtok.llm import language as lg
 from seqtok.llm import quality as ql
 
+pytest_plugins = ["llm_fixtures"]
+
 TRAIN = {"aa": ["the cat sat on the mat and the dog ran", "a dog and a cat"],
          "bb": ["der hund und die katze sind im haus", "ein haus und ein hund"]}
 

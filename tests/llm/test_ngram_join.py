@@ -1,11 +1,13 @@
 import itertools
 
 import pytest
-from conftest import prose  # noqa: F401
+from llm_fixtures import prose
 
 from seqtok.llm import ngram_join as nj
 from seqtok.llm.common import shingle_hashes
 
+pytest_plugins = ["llm_fixtures"]
+
 
 def _brute(rows, threshold=0.8):
     """(class id, links) by comparing all pairs."""

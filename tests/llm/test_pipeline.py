@@ -3,13 +3,15 @@ import os
 
 import duckdb
 import pytest
-from conftest import SMALL
+from llm_fixtures import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as cp
 from seqtok.llm import language, line_dedup, ngram_join, packing, quality
 
+pytest_plugins = ["llm_fixtures"]
+
 
 def test_stages_keep_the_columns_and_take_effect(shipped, small_docs):
     docs, sizes = small_docs, [small_docs.count()]

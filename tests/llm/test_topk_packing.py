@@ -7,6 +7,8 @@ import pytest
 from seqtok.llm import packing as pk
 from seqtok.llm import topk
 
+pytest_plugins = ["llm_fixtures"]
+
 
 def _brute(rows, every, k):
     ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows

@@ -5,6 +5,8 @@ import pytest
 
 from seqtok.llm import url_filters as uf
 
+pytest_plugins = ["llm_fixtures"]
+
 D = dt.date
 T = lambda m, d: dt.datetime(2024, m, d, 13, 30)
 ENTRIES = [
