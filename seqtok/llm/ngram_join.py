@@ -11,7 +11,7 @@ Method
    threshold, ``1 - (1 - s ** d) ** TREES``, reaches ``TARGET_RECALL`` (``forest_depth``).
 3. Classes under one node at that depth are compared. A pair is looked at in the first tree
    in which it meets, if the set sizes allow the similarity and the signatures agree
-   in as many places as a pair at the threshold would but for one case in ``1 / TAIL``;
+   in as many places as a pair at the threshold would but for a chance of ``TAIL``;
    the members of such pairs fetch their texts and the Jaccard similarity is computed on the sets.
 4. Verified links give each class its number of links and a star of edges to the least class it
    is linked with there; components of these edges (alternating large and small stars) are
@@ -46,10 +46,10 @@ from seqtok.operators.lookup import size_in_bytes
 from seqtok.session import materialize
 
 THRESHOLD = 0.8
-TREES = 16
+TREES = 24
 MAX_DEPTH = 5
-TARGET_RECALL = 0.999
-TAIL = 1e-6
+TARGET_RECALL = 0.99999
+TAIL = 1e-9
 NODE_MEMBERS = 512
 NODE_SHINGLES = 1 << 19
 BROADCAST_BYTES = 64 << 20
