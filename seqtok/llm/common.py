@@ -20,7 +20,6 @@ from seqtok.operators.lookup import size_in_bytes
 PIECE_BYTES = 1 << 20      # text of one call of an operator's work on a batch
 BLOCK_BYTES = 1 << 18      # text bytes hashed by one numpy pass
 SHINGLE_WORDS = 5
-SAMPLE_MARGIN = 4
 BROADCAST_BYTES = 32 << 20
 
 _U = np.uint64
@@ -171,15 +170,16 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField],
 def sample_by_hash(rows: DataFrame, group: str, key: str, k: int, ties: tuple[str, ...] = ()) -> DataFrame:
     """The ``k`` rows of each ``group`` with the least ``key`` (a 64-bit hash column).
 
-    Rows whose hash lies above ``SAMPLE_MARGIN * k / rows of the group`` of the hash range go
-    first, so a group with most of the rows brings a few times ``k`` rows to its task, not all.
+    Rows whose hash lies above the share of the hash range in which ``k`` and a margin of six
+    standard deviations of the group's rows are expected go first, so a group with most of the
+    rows brings little more than ``k`` rows to its task, not all.
     """
     counts = rows.groupBy(F.col(group).alias("__sg")).agg(F.count(F.lit(1)).alias("__sn"))
     if size_in_bytes(counts) <= BROADCAST_BYTES:
         counts = F.broadcast(counts)
     share = F.col(key).cast("double") / float(1 << 64) + F.lit(0.5)
     low = rows.join(counts, F.col(group).eqNullSafe(F.col("__sg"))).where(
-        share * F.col("__sn") <= SAMPLE_MARGIN * k)
+        share * F.col("__sn") <= k + 6 * k ** 0.5 + 16)
     first = Window.partitionBy(group).orderBy(key, *ties)
     return (low.withColumn("__srank", F.row_number().over(first)).where(F.col("__srank") <= k)
                .drop("__sg", "__sn", "__srank"))

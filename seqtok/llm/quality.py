@@ -95,8 +95,7 @@ class NeighbourModel:
         self.idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
         self.idf[-1] = 1.0
         weighted = shares * self.idf
-        gram = weighted.T.astype(np.float64) @ weighted
-        _, vectors = np.linalg.eigh(gram)             # right singular vectors, ascending
+        _, vectors = np.linalg.eigh(weighted.T @ weighted)    # right singular vectors, ascending
         self.basis = np.ascontiguousarray(vectors[:, ::-1][:, :rank]).astype(np.float32)
         self.vectors = _unit(weighted @ self.basis)
         self.labels = labels.astype(np.float32)
@@ -151,11 +150,13 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     got = (with_terms(sample.select("__id", "__label", "__text"), "__text", "__terms")
            .select("__id", "__label", "__terms").toArrow())
     order = np.argsort(got.column(0).to_numpy(), kind="stable")
-    shares = got.column(2).combine_chunks().values.to_numpy().reshape(-1, TERMS)[order] \
-        if got.num_rows else np.zeros((0, TERMS), dtype=np.float32)
-    label = got.column(1).to_numpy()[order]
-    keep = shares.any(axis=1) if len(shares) else np.zeros(0, dtype=bool)
-    return spark.sparkContext.broadcast(NeighbourModel(shares[keep], label[keep]))
+    label = got.column(1).to_numpy()
+    rows = [np.zeros((0, TERMS), dtype=np.float32)]
+    rows += [c.flatten().to_numpy().reshape(-1, TERMS) for c in got.column(2).chunks if len(c)]
+    shares = np.concatenate(rows)
+    del got, rows
+    order = order[shares[order].any(axis=1)]
+    return spark.sparkContext.broadcast(NeighbourModel(shares[order], label[order]))
 
 
 def with_quality(df: DataFrame, model, text_col: str = "text", out: str = "score") -> DataFrame:
