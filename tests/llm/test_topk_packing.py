@@ -89,3 +89,27 @@ def test_carried_columns_and_histogram_cells(shipped):
     hist = pk.length_histogram(sizes)
     assert sum(n for _, n, _ in hist) == 100_000 and len(hist) < 2000
     assert [t for t, _, _ in hist] == sorted(t for t, _, _ in hist)
+
+
+def test_long_lengths_are_cut_exactly(shipped):
+    # 4,100 and 4,126 lie in one cell of 1/128 relative width: a cut between them has to be found
+    sizes = shipped.createDataFrame([(n,) for n in [4100] * 500 + [4126] + [300, 1000, 9000]], "__len long")
+    hist = pk.length_histogram(sizes)
+    assert [h[0] for h in hist] == [300, 1000, 4100, 4126, 9000]
+    assert 4100 in pk.optimal_boundaries(hist, 3)
+
+
+@pytest.mark.parametrize("k", [2, 7, 16])
+def test_divide_and_conquer_equals_all_cuts(k):
+    rng = random.Random(k)
+    for n in (1, 2, 60, 257):
+        tops = sorted(rng.sample(range(9000), n))
+        hist = [(t, c, t * c) for t, c in ((t, rng.choice([1, 3, 900])) for t in tops)]
+        lengths = [t for t, c, _ in hist for _ in range(c)]
+        cost = lambda i, j: sum(c * (tops[j] - t) for t, c, _ in hist[i:j + 1])
+        best = [cost(0, j) for j in range(n)]
+        table = [[cost(i, j) for j in range(n)] for i in range(n)]
+        for _ in range(k - 1):
+            best = [min([table[0][j], *(best[i - 1] + table[i][j] for i in range(1, j + 1))]) for j in range(n)]
+        bounds = pk.optimal_boundaries(hist, k)
+        assert len(bounds) <= k and _padding(lengths, bounds) == best[-1]
