@@ -38,8 +38,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their source."""
-    out = line_dedup.drop_boilerplate(docs, F.col("source"))
+    """All documents, without the boilerplate lines of their source. Copies count as one text
+    and no document is emptied, so that the next stage sees all copies with their text."""
+    out = line_dedup.drop_boilerplate(docs, F.col("source"), by_text=True)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -13,6 +13,10 @@ small, else they are replicated over salts sized by the host's rows and joined b
 
 Rows: null text stays null; an empty text and blank lines stay; a null host is a host of its
 own; repeated rows count as pages of their own. Further columns pass through unchanged.
+
+With ``by_text`` a whole text counts once per host however many rows hold it (each row of c
+copies weighs 1/c in a line's pages, and the page total is the number of different texts), and a
+text that would lose every line with words stays whole: copies are left to later stages.
 """
 
 from __future__ import annotations
@@ -40,16 +44,45 @@ def _keys(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), line_key)
 
 
+def _text_id(text: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(1), text).alias("__t1"), F.xxhash64(F.lit(2), text).alias("__t2")]
+
+
+def _weighed(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``cut`` with ``__weight`` 1/c for each of c rows of one text on a host, and the number of
+    different texts per host."""
+    # written: it is measured, joined and summed
+    texts = materialize(cut.select("__host", *_text_id(F.col("__text")))
+                           .groupBy("__host", "__t1", "__t2").agg(F.count(F.lit(1)).alias("__copies")), "texts")
+    totals = texts.groupBy("__host").agg(F.count(F.lit(1)).alias("__total"))
+    copies = texts.where("__copies > 1").select(F.col("__host").alias("__ch"), F.col("__t1").alias("__c1"),
+                                                F.col("__t2").alias("__c2"), "__copies")
+    if size_in_bytes(copies) <= BROADCAST_BYTES:
+        copies = F.broadcast(copies)
+    known = cut.select("__host", "__text", *_text_id(F.col("__text"))).join(
+        copies, F.col("__host").eqNullSafe(F.col("__ch")) & (F.col("__t1") == F.col("__c1"))
+        & (F.col("__t2") == F.col("__c2")), "left")
+    return known.select("__host", "__text",
+                        (F.lit(1.0) / F.coalesce("__copies", F.lit(1))).alias("__weight")), totals
+
+
 def boilerplate_lines(pages: DataFrame, host: Column, text_col: str = "text",
-                      max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+                      max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
+                      by_text: bool = False) -> DataFrame:
     """``(__host, __line, __pages, __total)``: every line on more than ``max_ratio`` of its
     host's pages. ``__host`` is null for pages without a host."""
     cut = pages.select(host.alias("__host"), F.col(text_col).alias("__text"))
-    totals = cut.groupBy("__host").agg(F.count(F.lit(1)).alias("__total"))
+    if by_text:
+        cut, totals = _weighed(cut)
+        counted = F.round(F.sum("__weight")).cast("long")      # a sum of whole groups of copies
+    else:
+        totals = cut.groupBy("__host").agg(F.count(F.lit(1)).alias("__total"))
+        counted = F.count(F.lit(1))
     lines = (cut.where(F.col("__text").isNotNull())
-                .select("__host", F.explode(F.array_distinct(_keys(F.col("__text")))).alias("__line"))
+                .select(*[c for c in cut.columns if c != "__text"],
+                        F.explode(F.array_distinct(_keys(F.col("__text")))).alias("__line"))
                 .where(F.col("__line").isNotNull())
-                .groupBy("__host", "__line").agg(F.count(F.lit(1)).alias("__pages"))
+                .groupBy("__host", "__line").agg(counted.alias("__pages"))
                 .where(F.col("__pages") >= min_pages))
     joined = lines.join(totals.withColumnRenamed("__host", "__th"),
                         F.col("__host").eqNullSafe(F.col("__th"))).drop("__th")
@@ -58,11 +91,11 @@ def boilerplate_lines(pages: DataFrame, host: Column, text_col: str = "text",
 
 def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text",
                      max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
-                     dropped_col: str | None = None) -> DataFrame:
+                     dropped_col: str | None = None, by_text: bool = False) -> DataFrame:
     """``pages`` with the boilerplate lines of each page's host taken out of its text;
     ``dropped_col``: also the number of lines taken out."""
     # written: it is measured, then joined; the lines are counted once
-    found = materialize(boilerplate_lines(pages, host, text_col, max_ratio, min_pages), "boilerplate")
+    found = materialize(boilerplate_lines(pages, host, text_col, max_ratio, min_pages, by_text), "boilerplate")
     lists = (found.groupBy("__host").agg(F.collect_set("__line").alias("__bad"),
                                          F.first("__total").alias("__total")))
     cols = pages.columns
@@ -83,6 +116,8 @@ def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text",
     kept = F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("__bad"), line_key(x)), F.lit(True)))
     touched = F.col("__bad").isNotNull() & F.col(text_col).isNotNull()
     out = joined.withColumn("__kept", F.when(touched, kept))
+    if by_text:
+        touched = touched & F.exists("__kept", lambda x: F.trim(x) != "")
     outs = [F.when(touched, F.concat_ws("\n", "__kept")).otherwise(F.col(text_col)).alias(text_col)
             if c == text_col else F.col(f"`{c}`") for c in cols]
     if dropped_col:

@@ -60,3 +60,29 @@ def test_no_python_in_the_plan(shipped):
     df = shipped.createDataFrame(_rows(), "doc_id long, source string, text string")
     plan = ld.drop_boilerplate(df, F.col("source"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("limit", [32 << 20, -1])
+def test_copies_count_as_one_text_and_no_page_is_emptied(shipped, monkeypatch, limit):
+    monkeypatch.setattr(ld, "BROADCAST_BYTES", limit)
+    copy, notice = "first line of the copy\nsecond line", "all rights reserved"
+    rows = [(i, h, copy) for i in range(9) for h in ("a", None)]
+    rows += [(100 + i, "a", f"own text {i}\n{notice}") for i in range(40)]
+    rows += [(200 + i, "a", f"{notice}\n" + "\n" * i) for i in range(2)] + [(300, "a", None), (301, "a", "")]
+    df = shipped.createDataFrame(rows, "doc_id long, source string, text string")
+    got = ld.drop_boilerplate(df, F.col("source"), dropped_col="dropped", by_text=True).collect()
+    want = [(i, h, t if (t or notice).startswith((notice, copy)) else t.split("\n")[0]) for i, h, t in rows]
+    assert Counter((r.doc_id, r.source, r.text) for r in got) == Counter(want)
+    assert sum(r.dropped for r in got) == 40
+
+
+def test_the_pipeline_stage_leaves_copies_to_the_next_stage(shipped):
+    import corpus_pipeline as cp
+
+    rows = [(i, "a copied line of words\nand one more line", "s", 43) for i in range(11)]
+    rows += [(50 + i, f"text number {i} of this source", "s", 30) for i in range(60)]
+    docs = shipped.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    out = cp.line_stage(shipped, docs, "")
+    assert sorted(out.select("doc_id", "text").collect()) == sorted((i, t) for i, t, _, _ in rows)
+    stay = cp.near_duplicate_stage(shipped, out, "").collect()
+    assert [r.text for r in stay if r.doc_id < 50] == [rows[0][1]]
