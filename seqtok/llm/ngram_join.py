@@ -37,7 +37,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,8 +97,13 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _text_id(text: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(1), text).alias("__t1"), F.xxhash64(F.lit(2), text).alias("__t2")]
+
+
 def with_signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(__id, __key, __n, __sig)`` of every document; the last three null without words."""
+    """``(__id, __t1, __t2, __key, __n, __sig)`` of every document: its id and text hash, and
+    three values that are null without words."""
     fields = [T.StructField("__key", T.BinaryType()), T.StructField("__n", T.LongType()),
               T.StructField("__sig", T.BinaryType())]
 
@@ -112,7 +117,7 @@ def with_signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return [pa.array([set_key(s) for s in sets], pa.binary()),
                 pa.array([len(s) or None for s in sets], pa.int64()), pa.array(sig, pa.binary())]
 
-    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *_text_id(F.col(text_col)))
     return append_columns(base, "__text", fields, lambda: work).drop("__text")
 
 
@@ -359,6 +364,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, ``class_id`` (least id of its near-duplicate class),
     ``n_links`` (other documents whose Jaccard similarity is at least the threshold, copies
     included) and ``n_copies`` (documents with the same shingle set, itself included)."""
+    signed, known = _grouped(docs, id_col, text_col, threshold)
+    grouped = F.col("__k").isNotNull()
+    return signed.join(known, F.col("__key") == F.col("__k"), "left").select(
+        F.col("__id").alias(id_col),
+        F.when(grouped, F.col("__class")).otherwise(F.col("__id")).alias("class_id"),
+        F.when(grouped, F.col("__links") + F.col("__size") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("__size", F.lit(1)).cast("long").alias("n_copies"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``with_signatures``, and per text class with copies or links ``(__k, __size, __links,
+    __class, __root)``: its near-duplicate class by least id and by least key."""
     signed = materialize(with_signatures(docs, id_col, text_col), "ngram-signatures")
     classes = materialize(text_classes(signed), "ngram-classes")
     found = materialize(verified_links(docs, classes, id_col, text_col, threshold), "ngram-links")
@@ -372,16 +389,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                              F.coalesce("root", "__key").alias("__root")))
     least = placed.groupBy("__root").agg(F.min("__first").alias("__class"))
     known = placed.join(least.withColumnRenamed("__root", "__r"), F.col("__root") == F.col("__r")).select(
-        F.col("__key").alias("__k"), "__size", "__links", "__class")
+        F.col("__key").alias("__k"), "__size", "__links", "__class", "__root")
     known = materialize(known, "ngram-known")
     if size_in_bytes(known) <= BROADCAST_BYTES:
         known = F.broadcast(known)
-    grouped = F.col("__k").isNotNull()
-    return signed.join(known, F.col("__key") == F.col("__k"), "left").select(
-        F.col("__id").alias(id_col),
-        F.when(grouped, F.col("__class")).otherwise(F.col("__id")).alias("class_id"),
-        F.when(grouped, F.col("__links") + F.col("__size") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("__size", F.lit(1)).cast("long").alias("n_copies"))
+    return signed, known
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -401,3 +413,39 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     single = kept.join(again, F.col(id_col) == F.col("__twice"), "left_anti")
     many = kept.join(again, F.col(id_col) == F.col("__twice"), "left_semi")
     return single.unionByName(many.dropDuplicates([id_col]))
+
+
+def keep_one_row_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                         threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of every near-duplicate class: the one with the least id (null last,
+    then by text). Rows are told apart by id and text, so different texts under one id that are
+    not near copies all stay, and copies without an id leave one."""
+    signed, known = _grouped(docs, id_col, text_col, threshold)
+    row = ["__id", "__t1", "__t2"]
+    members = materialize(signed.join(known, F.col("__key") == F.col("__k")).groupBy("__root", "__key", *row)
+                                .agg(F.count(F.lit(1)).alias("__rows")), "ngram-members")
+    # the class's own row first: least id, then the least key and text hash
+    order = F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("__key").alias("k"),
+                     F.col("__t1").alias("a"), F.col("__t2").alias("b"))
+    first = members.groupBy(F.col("__root").alias("__r")).agg(F.min(order).alias("__first"))
+    judged = members.join(first, F.col("__root") == F.col("__r")).select(
+        *row, "__rows", (order == F.col("__first")).alias("__stays"))
+    # a row with copies under its id stays once, all others of the class go
+    judged = materialize(judged.where(~F.col("__stays") | (F.col("__rows") > 1)).select(
+        F.col("__id").alias("__gi"), F.col("__t1").alias("__g1"), F.col("__t2").alias("__g2"), "__stays"),
+        "ngram-judged")
+
+    def by_row(marked: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        if size_in_bytes(rows) <= BROADCAST_BYTES:
+            rows = F.broadcast(rows)
+        return marked.join(rows, F.col(id_col).eqNullSafe(F.col("__gi")) & (F.col("__t1") == F.col("__g1"))
+                           & (F.col("__t2") == F.col("__g2")), how)
+
+    marked = docs.select("*", *_text_id(F.col(text_col)))
+    rows = judged.drop("__stays")
+    kept = by_row(marked, rows, "left_anti").drop("__t1", "__t2")
+    twice = judged.where("__stays").drop("__stays")
+    if twice.isEmpty():
+        return kept
+    many = by_row(marked, twice, "left_semi").dropDuplicates([id_col, "__t1", "__t2"])
+    return kept.unionByName(many.drop("__t1", "__t2"))

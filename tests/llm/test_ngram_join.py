@@ -102,3 +102,19 @@ def test_components_of_a_long_chain(shipped):
     edges = shipped.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in nj.connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("limit", [64 << 20, -1])
+def test_rows_under_one_id_are_told_apart_by_text(shipped, monkeypatch, limit):
+    monkeypatch.setattr(nj, "BROADCAST_BYTES", limit)
+    import corpus_pipeline as cp
+
+    t, u, v = prose(9, 50), prose(10, 50), prose(11, 50)
+    rows = [(None, t), (3, t), (3, t), (3, u), (2, t), (8, None), (8, ""), (None, v), (None, v), (9, v.upper()[:0]),
+            (None, None), (5, prose(12, 40)), (5, prose(13, 40))]
+    df = shipped.createDataFrame([(i, x, k) for k, (i, x) in enumerate(rows)], "doc_id long, text string, at int")
+    out = cp.near_duplicate_stage(shipped, df, "")
+    assert out.columns == df.columns
+    got = sorted(str((r.doc_id, r.text)) for r in out.collect())
+    assert got == sorted(str(r) for r in [(2, t), (3, u), (8, None), (8, ""), (None, v), (9, ""), (None, None), *rows[-2:]])
+    assert cp.near_duplicate_stage(shipped, df.limit(0), "").count() == 0
