@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join of documents by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard self-join of documents by MinHash LSH with exact verification.
 
 Method
 ------
@@ -6,9 +6,11 @@ Method
    *text class* (copies), and only the classes go on.
 2. A class has a MinHash signature of ``TREES`` times ``MAX_DEPTH`` values. The values of a
    tree, in order, are the label of the class in that tree: a prefix trie. Two classes with
-   similarity s share a trie node at depth d with probability ``s ** d``; matching starts at
-   the full depth and is shortened level by level until the recall at the similarity
-   threshold, ``1 - (1 - s ** d) ** TREES``, reaches ``TARGET_RECALL`` (``forest_depth``).
+   similarity s share a trie node at depth d with probability ``s ** d``. The depth is the
+   longest at which the recall at the similarity threshold, ``1 - (1 - s ** d) ** TREES``,
+   reaches ``TARGET_RECALL`` (``forest_depth``). It is fixed before the run whatever the data, so
+   this equals banding with ``TREES`` bands of d values; no trie is searched. The values below
+   that depth serve only the agreement of step 3.
 3. Classes under one node at that depth are compared. A pair is looked at in the first tree
    in which it meets, if the set sizes allow the similarity and the signatures agree
    in as many places as a pair at the threshold would but for a chance of ``TAIL``;
