@@ -92,8 +92,60 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
+
+def vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Codes by plain comparison with every entry: one pair of CTEs (assign, replace) per round."""
+    def assign(k: int) -> str:
+        return f"""
+a{k} AS MATERIALIZED (
+  SELECT r, part, arg_min(entry, d * {entries} + entry) AS entry, min(d) AS d
+  FROM (SELECT p.r, p.part, e.entry,
+               CAST(coalesce(list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - e.x[i]) * (p.x[i] - e.x[i]))), 0) AS BIGINT) AS d
+        FROM pieces p JOIN b{k} e ON p.part = e.part)
+  GROUP BY r, part
+)"""
+
+    def replace(k: int) -> str:
+        return f"""
+b{k} AS MATERIALIZED (
+  SELECT o.part, o.entry, coalesce(m.x, o.x) AS x
+  FROM b{k - 1} o LEFT JOIN (
+    SELECT part, entry, list(s ORDER BY i) AS x FROM (
+      SELECT a.part, a.entry, i, CAST(floor(sum(p.x[i]) / count(*)) AS BIGINT) AS s
+      FROM a{k - 1} a JOIN pieces p ON a.r = p.r AND a.part = p.part, unnest(range(1, len(p.x) + 1)) AS t(i)
+      GROUP BY a.part, a.entry, i)
+    GROUP BY part, entry) m ON m.part = o.part AND m.entry = o.entry
+)"""
+
+    steps = ",".join(assign(k) + "," + replace(k + 1) for k in range(rounds)) + "," + assign(rounds)
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pieces AS MATERIALIZED (
+  SELECT r, part, v[len(v) * part // {parts} + 1:len(v) * (part + 1) // {parts}] AS x
+  FROM kept, unnest(range({parts})) AS t(part)
+),
+b0 AS (SELECT part, r - 1 AS entry, x FROM pieces WHERE r <= {entries}),{steps},
+digest AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}
+),
+coded AS (
+  SELECT k.vec_id, k.label, c.code, c.error
+  FROM kept k JOIN (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+                    FROM a{rounds} GROUP BY r) c USING (r)
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded, digest
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP,
     "op4_url_filters": URL_FILTERS,
     "op9_topk": TOPK,
+    "op13_vector_codes": vector_codes_sql(),
 }
