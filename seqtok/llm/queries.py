@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqtok.llm import (
-    bpe, fingerprints, html_extract, language, line_dedup, ngram_join, packing, quality, topk,
-    url_filters, vector_codes,
+    bpe, conversation_repair, fingerprints, html_extract, language, line_dedup, ngram_join, packing, quality,
+    topk, url_filters, vector_codes,
 )
 
 
@@ -94,6 +94,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, least repair cost, audit and digest of every conversation after damage by row number."""
+    return conversation_repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code, error and error of its label of every embedding: 4 parts, 256 entries, 4 rounds."""
     return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
@@ -110,5 +115,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_topk": op9_topk,
     "op10_packing": op10_packing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_vector_codes": op13_vector_codes,
 }
