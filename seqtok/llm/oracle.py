@@ -143,9 +143,46 @@ FROM coded, digest
 """
 
 
+DECONTAMINATION = r"""
+WITH doc_words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+item_words AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, w[i:i + least(len(w), 10) - 1] AS words
+  FROM item_words, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i)
+  WHERE len(w) > 0
+),
+starts AS (
+  SELECT r, s.size, i, w[i:i + s.size - 1] AS words
+  FROM doc_words, (SELECT DISTINCT size FROM windows) s, unnest(range(1, len(w) - s.size + 2)) AS t(i)
+),
+matches AS (SELECT r, starts.size, i, item_id FROM starts JOIN windows USING (size, words)),
+hits AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM matches) GROUP BY r
+),
+found AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT r, item_id FROM matches) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hits USING (r) LEFT JOIN found USING (r)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP,
     "op4_url_filters": URL_FILTERS,
     "op9_topk": TOPK,
+    "op12_decontamination": DECONTAMINATION,
     "op13_vector_codes": vector_codes_sql(),
 }

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqtok.llm import (
-    bpe, conversation_repair, fingerprints, html_extract, language, line_dedup, ngram_join, packing, quality,
-    topk, url_filters, vector_codes,
+    bpe, conversation_repair, decontaminate, fingerprints, html_extract, language, line_dedup, ngram_join, packing,
+    quality, topk, url_filters, vector_codes,
 )
 
 
@@ -99,6 +99,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_damaged(_table(spark, sf_dir, "conversations"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside of ten-word runs that a benchmark item has too."""
+    return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code, error and error of its label of every embedding: 4 parts, 256 entries, 4 rounds."""
     return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
@@ -116,5 +121,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_packing": op10_packing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_decontamination": op12_decontamination,
     "op13_vector_codes": op13_vector_codes,
 }
