@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 _SCRATCH: set[str] = set()
+_TABLES: dict[str, set[str]] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -121,6 +122,8 @@ def drop_scratch(spark: SparkSession, path: str | None = None) -> None:
 def _drop_at_exit(spark: SparkSession, root: str) -> None:
     if spark.sparkContext._jsc is not None:
         with contextlib.suppress(Py4JError, OSError):
+            for table in _TABLES.pop(spark.sparkContext.applicationId, ()):
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
             drop_scratch(spark, root)
     elif "://" not in root:            # session stopped; a folder of this machine
         shutil.rmtree(root.removeprefix("file:"), ignore_errors=True)
@@ -134,3 +137,16 @@ def materialize(df, name: str = "table"):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def materialize_bucketed(df, name: str, buckets: int, key: str, sort: str):
+    """``materialize`` as a table bucketed by ``key`` and sorted by ``sort`` in each bucket. Spark knows
+    that all rows of a key lie in one bucket, so a window or aggregate per key over what is
+    read back, also after projections and broadcast joins, needs no exchange. The files lie in the
+    scratch folder; the table's name is dropped with the application."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = "seqtok_" + os.path.basename(path).replace("-", "_")
+    _TABLES.setdefault(spark.sparkContext.applicationId, set()).add(table)
+    df.write.format("parquet").bucketBy(buckets, key).sortBy(sort).option("path", path).saveAsTable(table)
+    return spark.table(table)
