@@ -19,10 +19,11 @@ from seqtok.functions.arrays import one_hot, past_future_split, reshape_steps
 from seqtok.functions.buckets import bucket_unit
 from seqtok.functions.text import py_float_text
 from seqtok.operators import evaluate as ev_ops
-from seqtok.operators import bayes, learn
+from seqtok.operators import learn, sequence_bayes
+from seqtok.operators.ranges import Ranged, file_positions, range_windows, ranged_rows
 from seqtok.operators.sequence import (
-    assign_batch, assign_chunk, assign_chunk_by_key, binary_label, global_position, label_window, rank_within,
-    sequence_window, sequence_windows, split_name,
+    assign_batch, assign_chunk, assign_chunk_by_key, binary_label, global_position, rank_within,
+    sequence_window, split_name,
 )
 from seqtok.operators.tokens import (
     bounds_table, bucket_expr, collect_bounds, explode_tokens, to_sentence, tokenize_records,
@@ -35,7 +36,7 @@ from seqtok.operators.vocab import (
 )
 from seqtok.session import materialize, scratch_path
 from seqtok.sources import sinks
-from seqtok.sources.records import ORDER_COLUMNS, parse_records, read_records, rows_per_file
+from seqtok.sources.records import parse_records, read_records, rows_per_file
 
 # events parameters: 1,000-row chunks (8 train, 2 validation, rest test), 128-row batches;
 # history windows are computed per 1,000-row chunk with a halo from the previous chunk
@@ -68,6 +69,19 @@ def events_records(spark: SparkSession, sf_dir: str, params: Params = EV, positi
     return tokenize_records(rows, spec, bounds, params, keep=keep)
 
 
+def events_ranged(spark: SparkSession, sf_dir: str, params: Params = EV, broadcast: bool | None = None,
+                  order: tuple[str, ...] = ("event_id",)) -> Ranged:
+    """``events_indexed`` with ``pos``, as ordered ranges: the records are shuffled once, into their
+    ranges; tokens and broadcast lookups leave them where they are."""
+    events = read(spark, sf_dir, "events")
+    spec = events_spec()
+    bounds = collect_bounds(events, spec.bucket_columns)
+    rows = events.select("event_id", *spec_columns(spec))
+    ranged = ranged_rows(rows, list(order), "pos", params, next(iter(bounds.values())).n_rows)
+    rec = tokenize_records(ranged.rows, spec, bounds, params, keep=["__range", "__at", "pos", "event_id", "user_id"])
+    return ranged.over(_indexed(rec, params, broadcast))
+
+
 def spec_columns(spec) -> list[str]:
     cols = [f.column for f in spec.features] + ([spec.answer] if spec.answer else [])
     return list(dict.fromkeys(cols))
@@ -90,7 +104,10 @@ def events_indexed(spark: SparkSession, sf_dir: str, params: Params = EV,
                    broadcast: bool | None = None, positioned: bool = True,
                    order: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """``([pos,] event_id, user_id, tokens, answer, token_ids, feat, label)``."""
-    rec = events_records(spark, sf_dir, params, positioned, order)
+    return _indexed(events_records(spark, sf_dir, params, positioned, order), params, broadcast)
+
+
+def _indexed(rec: DataFrame, params: Params, broadcast: bool | None) -> DataFrame:
     _, vocab, small = events_vocab(rec, params)
     idx = index_tokens(rec, vocab, N_TOKENS, params, broadcast=small if broadcast is None else broadcast)
     return idx.select("*", F.slice("token_ids", 1, N_FEATURES).alias("feat"),
@@ -103,9 +120,9 @@ def pad_step(params: Params = EV) -> F.Column:
 
 def events_windows(spark: SparkSession, sf_dir: str, n: int = 40, params: Params = EV) -> DataFrame:
     """Indexed, windowed, labelled, chunked and batched events."""
-    idx = events_indexed(spark, sf_dir, params)
-    win = sequence_windows(idx, {"features": ("feat", pad_step(), True), "labels": ("label", 0, False)},
-                           n, params=params)
+    ranged = events_ranged(spark, sf_dir, params)
+    win = range_windows(ranged, {"features": ("feat", pad_step(), True), "labels": ("label", 0, False)},
+                        n, params=params)
     win = assign_batch(assign_chunk(win, params.rows_per_chunk), params.batch_size)
     return win.withColumn("split", split_name(F.col("chunk_id"), params))
 
@@ -184,15 +201,14 @@ def q_text_record_split(spark, sf):
 def q_text_record_order(spark, sf):
     """Records from text files: events are written as comma-separated lines into
     several files (file and line order = event order), read back with the fixed-schema
-    text reader, and positioned by (file, split, line)."""
+    text reader, and positioned by (file, split, line) without a sort."""
     events = read(spark, sf, "events")
     line = F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string"),
                        "event_type", py_float_text(F.col("value")), "props").alias("value")
     path = scratch_path(spark, "records-text")
     write_event_files(events.select("event_id", line), path)
     rec = read_records(spark, path, ["f_event_id", "f_user_id", "f_event_type", "f_value", "f_props"])
-    pos = global_position(rec, list(ORDER_COLUMNS), "pos", EV)
-    return pos.select("f_event_id", "f_value", "pos")
+    return file_positions(rec, "pos", EV).select("f_event_id", "f_value", "pos")
 
 
 EVENTS_PER_FILE = 2500
@@ -300,29 +316,26 @@ def q_global_position_ranges(spark, sf):
 
 
 def q_sequence_window_global(spark, sf):
-    idx = events_indexed(spark, sf)
-    win = sequence_window(idx, "feat", 40, pad_step(), flatten=True, params=EV)
+    win = range_windows(events_ranged(spark, sf), {"window": ("feat", pad_step(), True)}, 40, params=EV)
     return win.select("event_id", _join_ids("window").alias("window"))
 
 
 def q_sequence_window_keyed(spark, sf):
     """Windows per user: records are positioned by (user, event) once, before the lookups."""
-    idx = events_indexed(spark, sf, order=("user_id", "event_id"))
-    win = sequence_window(idx, "feat", 40, pad_step(), keys=["user_id"], flatten=True, params=EV)
+    ranged = events_ranged(spark, sf, order=("user_id", "event_id"))
+    win = range_windows(ranged, {"window": ("feat", pad_step(), True)}, 40, keys=["user_id"], params=EV)
     return win.select("event_id", "user_id", _join_ids("window").alias("window"))
 
 
 def q_label_window(spark, sf):
     events = read(spark, sf, "events").select("event_id", "event_type")
-    pos = global_position(events, ["event_id"], "pos", EV).withColumn(
-        "label", binary_label(F.col("event_type"), EV))
-    return label_window(pos, "label", 40, params=EV).select(
-        "event_id", _join_ids("labels").alias("labels"))
+    ranged = ranged_rows(events, ["event_id"], "pos", EV)
+    values = {"labels": (binary_label(F.col("event_type"), EV), 0, False)}
+    return range_windows(ranged, values, 40, params=EV).select("event_id", _join_ids("labels").alias("labels"))
 
 
 def q_past_future_split(spark, sf):
-    idx = events_indexed(spark, sf)
-    win = sequence_window(idx, "feat", 51, pad_step(), flatten=True, params=EV)
+    win = range_windows(events_ranged(spark, sf), {"window": ("feat", pad_step(), True)}, 51, params=EV)
     steps = reshape_steps(F.col("window"), 51, N_FEATURES)
     past, future = past_future_split(steps, 25, 51)
     return win.select("event_id", _join_ids(F.flatten(past)).alias("past"),
@@ -555,34 +568,36 @@ def q_fit_and_score(spark, sf):
     return out
 
 
-def _bayes_windows(spark, sf) -> DataFrame:
-    """``(pos, event_id, split, label, weight, terms)``: windows of 5 records as
-    (step, token) terms."""
-    rec = events_records(spark, sf).select(
-        "pos", "event_id", F.slice("tokens", 1, N_FEATURES).alias("feat"),
-        binary_label(F.col("answer"), EV).alias("label"))
-    pad = F.array_repeat(F.lit("<pad>"), N_FEATURES)
-    win = assign_chunk(sequence_window(rec, "feat", 5, pad, flatten=True, params=EV), EV.rows_per_chunk)
-    return materialize(win.select(
-        "pos", "event_id", "label", bayes.step_terms(F.col("window"), N_FEATURES).alias("terms"),
-        learn.class_weight(F.col("label"), EV).alias("weight"),
-        split_name(F.col("chunk_id"), EV).alias("split")), "windows")
+def _bayes_records(spark, sf) -> Ranged:
+    """Ordered records with their feature tokens, label, weight, and whether their window is for training."""
+    events = read(spark, sf, "events")
+    spec = events_spec()
+    bounds = collect_bounds(events, spec.bucket_columns)
+    ranged = ranged_rows(events.select("event_id", *spec_columns(spec)), ["event_id"], "pos", EV,
+                         next(iter(bounds.values())).n_rows)
+    rec = tokenize_records(ranged.rows, spec, bounds, EV, keep=["__range", "__at", "pos", "event_id"])
+    label = binary_label(F.col("answer"), EV)
+    chunk = F.floor(F.col("pos") / EV.rows_per_chunk)
+    return ranged.over(rec.select(
+        "__range", "__at", "pos", "event_id", F.slice("tokens", 1, N_FEATURES).alias("tokens"), label.alias("label"),
+        learn.class_weight(label, EV).alias("weight"), (split_name(chunk, EV) == "train").alias("train")))
 
 
 BAYES_GRID = {"alpha_0.1": 0.1, "alpha_1": 1.0, "alpha_10": 10.0}
 
 
 def _bayes_scores(spark, sf) -> DataFrame:
-    win = _bayes_windows(spark, sf)
-    model = bayes.fit_bayes(win.where(F.col("split") == "train"), BAYES_GRID)
+    records = _bayes_records(spark, sf)
+    model = sequence_bayes.fit_sequence_bayes(records, BAYES_GRID, 5, N_FEATURES, params=EV)
     root = scratch_path(spark, "bayes")
-    bayes.save_bayes(model, root)
-    return bayes.score_bayes(bayes.load_bayes(spark, root), win, ["event_id", "label"], params=EV)
+    sequence_bayes.save_sequence_bayes(model, root)
+    model = sequence_bayes.load_sequence_bayes(spark, root)
+    return sequence_bayes.score_sequence_bayes(model, records, ["event_id", "label"], N_FEATURES, params=EV)
 
 
 def q_bayes_scores(spark, sf):
     """A grid of class-weighted naive Bayes models fitted on the train chunks, saved,
-    loaded again, and applied to the window of every event."""
+    loaded again, and applied to the window of 5 records of every event, along the sequence."""
     return _bayes_scores(spark, sf).select("model_id", "event_id", "label", _r6("score").alias("score"))
 
 
@@ -618,15 +633,15 @@ def q_wide_records(spark, sf):
     spec = kdd_spec()
     rec = materialize(parse_records(wide_record_lines(spark, sf), KDD_COLUMNS, keep=key), "wide-records")
     bounds = collect_bounds(rec, spec.bucket_columns)
-    pos = global_position(rec, key, "pos", p, n_rows=next(iter(bounds.values())).n_rows)
-    tok = tokenize_records(pos, spec, bounds, p, keep=["pos", *key])
+    ranged = ranged_rows(rec, key, "pos", p, next(iter(bounds.values())).n_rows)
+    tok = tokenize_records(ranged.rows, spec, bounds, p, keep=["__range", "__at", "pos", *key])
     freq = materialize(token_frequencies(explode_tokens(tok)), "wide-frequencies")
     vocab = materialize(build_vocabulary(freq, p), "wide-vocabulary")
     idx = index_tokens(tok, vocab, spec.n_tokens, p)
-    feat = idx.select("pos", *key, F.slice("token_ids", 1, spec.n_features).alias("feat"),
+    feat = idx.select("__range", "__at", "pos", *key, F.slice("token_ids", 1, spec.n_features).alias("feat"),
                       binary_label(F.col("answer"), p).alias("label"))
     pad = F.array_repeat(F.lit(p.pad_id).cast("long"), spec.n_features)
-    win = sequence_windows(feat, {"features": ("feat", pad, True), "labels": ("label", 0, False)}, 5, params=p)
+    win = range_windows(ranged.over(feat), {"features": ("feat", pad, True), "labels": ("label", 0, False)}, 5, params=p)
     return win.select(*key, F.md5(_join_ids("features")).alias("window_md5"),
                       F.size("features").alias("n_ids"), _join_ids("labels").alias("labels"))
 
