@@ -7,9 +7,12 @@ chunks prunes directories instead of scanning.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqtok.config import Bounds
 from seqtok.operators.tokens import split_sentence, to_sentence
 
 
@@ -54,6 +57,19 @@ def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save_bounds(spark: SparkSession, bounds: Mapping[str, Bounds], path: str, mode: str = "overwrite") -> None:
+    """The bounds of the bucketized columns, one row each, for later files of the same kind."""
+    rows = [(c, b.minimum, b.maximum, b.stddev, b.n_buckets, b.n_rows) for c, b in bounds.items()]
+    spark.createDataFrame(rows, "column string, minimum double, maximum double, stddev double, n_buckets long, "
+                                "n_rows long").write.mode(mode).parquet(path)
+
+
+def load_bounds(spark: SparkSession, path: str) -> dict[str, Bounds]:
+    """One row per bucketized column."""
+    return {r["column"]: Bounds(r["minimum"], r["maximum"], r["stddev"], r["n_buckets"], r["n_rows"])
+            for r in spark.read.parquet(path).collect()}
+
+
 CHUNKS_PER_DIRECTORY = 1000
 
 

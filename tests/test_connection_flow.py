@@ -61,6 +61,64 @@ def test_train_and_evaluate_by_command_line(spark, out):
     assert best.model_id in job.ALPHAS and best.log_loss >= 0
 
 
+def test_new_files_are_judged_by_what_was_learned(spark, out, tmp_path):
+    """Another input with tokens and values that the vocabulary and the bounds do not know."""
+    cut = ["--parity", "--rows-per-chunk", "100", "--train-chunks", "4", "--validation-chunks", "1"]
+    job.main(["index", out, "--window", "5", *cut], spark)
+    job.main(["train", out, *cut], spark)
+    at = KDD_COLUMNS.index
+    lines = []
+    for i in range(120):
+        fields = _kdd_line(i).split(",")
+        if i % 10 == 0:
+            fields[at("service")], fields[at("duration")] = "never_seen", "987654"
+        lines.append(",".join(fields))
+    (tmp_path / "new").mkdir()
+    (tmp_path / "new" / "a.txt").write_text("\n".join(lines) + "\n")
+    test = str(tmp_path / "test")
+    job.main(["preprocess", str(tmp_path / "new"), test, "--learned-from", out, *cut], spark)
+    job.main(["index", test, "--inference", "--window", "5", "--learned-from", out, *cut], spark)
+    job.main(["evaluate", test, "--learned-from", out, "--split", "all", *cut], spark)
+    # known tokens have the ids of the first output, new ones the unknown id
+    ids = {r["token"]: r["token_id"] for r in sinks.load_vocabulary(spark, f"{out}/vocabulary").collect()}
+    tokens = {r["pos"]: r["tokens"][:41] for r in spark.read.parquet(f"{test}/sentences").collect()}
+    chunks = sinks.read_chunks(spark, f"{test}/chunks").collect()
+    assert len(chunks) == 120
+    for r in chunks:
+        assert r["record"] == [ids.get(t, P.unk_id) for t in tokens[r["pos"]]]
+        assert (P.unk_id in r["record"]) >= (r["pos"] % 10 == 0)
+    # values beyond the learned bounds go to the end bucket that the learned bounds define
+    bounds = sinks.load_bounds(spark, f"{out}/bounds")["duration"]
+    assert f"{bounds.n_buckets}.0duration_bucketized" in {t for row in tokens.values() for t in row}
+    assert not (tmp_path / "test" / "vocabulary").exists() and not (tmp_path / "test" / "bounds").exists()
+    assert spark.read.parquet(f"{test}/scores").count() == 3 * 120
+    with pytest.raises(ValueError, match="windows of 5 records"):
+        job.main(["index", test, "--inference", "--window", "4", "--learned-from", out, *cut], spark)
+        job.main(["evaluate", test, "--learned-from", out, "--split", "all", *cut], spark)
+
+
+def test_scores_of_a_split_equal_scores_of_all(spark, out):
+    job.index_windows(spark, out, training=False, params=P)
+    job.train(spark, out, P)
+    job.evaluate_models(spark, out, P, "all")
+    everything = {(r["model_id"], r["pos"]): r["score"] for r in spark.read.parquet(f"{out}/scores").collect()}
+    job.evaluate_models(spark, out, P, "test")
+    test = {(r["model_id"], r["pos"]): r["score"] for r in spark.read.parquet(f"{out}/scores").collect()}
+    assert len(test) == 300 and all(everything[k] == pytest.approx(v, abs=1e-12) for k, v in test.items())
+
+
+def test_past_and_future_halves(spark, out):
+    win = job.index_windows(spark, out, training=False, params=P, past_future=True)
+    r = win.where("pos = 300").first()
+    own = {x["pos"]: x["record"] for x in win.where("pos between 250 and 300").collect()}
+    assert "features" not in win.columns and len(r["past"]) == len(r["future"]) == 26 * 41
+    assert r["past"] == [i for p in range(275, 249, -1) for i in own[p]]
+    assert r["future"] == [i for p in range(275, 301) for i in own[p]]
+    first = win.where("pos = 0").first()
+    assert first["past"] == [P.pad_id] * 26 * 41 and first["future"][-41:] == first["record"]
+    assert spark.read.parquet(f"{out}/layout").first()["steps"] == 51
+
+
 def test_logistic_regression_beside_it(spark, out):
     win = job.index_windows(spark, out, training=False, params=P)
 
