@@ -8,15 +8,19 @@ It is a closed-form expression, so any n works without materialising split array
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def bucket_count(maximum, minimum, stddev) -> Column:
-    """``(max-min) // stddev``, or 1 when stddev is 0 or NULL (a single row)."""
+    """``(max-min) // stddev``, or 1 when stddev is 0 or NULL (a single row) or beyond the range of
+    doubles."""
     mx, mn, sd = (F.col(c) if isinstance(c, str) else c for c in (maximum, minimum, stddev))
+    wide = F.isnan(sd) | (F.abs(sd) == float("inf")) | (F.abs(mx - mn) == float("inf"))
     return (
-        F.when(sd.isNull() | (sd == 0) | mx.isNull(), F.lit(1).cast("long"))
+        F.when(sd.isNull() | (sd == 0) | mx.isNull() | wide, F.lit(1).cast("long"))
         .otherwise(F.floor((mx - mn) / sd))
         .cast("long")
     )
@@ -49,9 +53,10 @@ def bucket_unit(x: Column, n: int, on_nan: str = "error") -> Column:
 
 def bucket_stddev(x: Column, minimum: float | None, stddev: float | None, n: int,
                   on_nan: str = "error") -> Column:
-    """Bucket ``floor((x-min)/stddev)`` clamped to ``[0, n-1]``; 0 when stddev is 0/NULL."""
+    """Bucket ``floor((x-min)/stddev)`` clamped to ``[0, n-1]``; 0 when stddev is 0, NULL or not finite.
+    Infinite values go to the end buckets."""
     n = int(n)
-    if stddev is None or stddev == 0 or minimum is None:
+    if stddev is None or stddev == 0 or not math.isfinite(stddev) or minimum is None:
         b = F.lit(0)
     else:
         scaled = (x - F.lit(float(minimum))) / F.lit(float(stddev))

@@ -24,6 +24,7 @@ from seqtok.session import materialize
 
 _DEFAULT = Params()
 MAX_HOT_KEYS = 10_000
+SKETCH_ITEMS = 100_000         # keys that the frequent-items sketch keeps
 UNBOUNDED = 1 << 62
 _FIXED = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
           T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType,
@@ -92,14 +93,18 @@ def fits_broadcast(table: DataFrame, params: Params = _DEFAULT) -> bool:
 
 
 def hot_keys(rows: DataFrame, key: str, params: Params = _DEFAULT) -> DataFrame:
-    """``(__hot, __salts)`` of the keys that need more than one salt; at most
-    ``MAX_HOT_KEYS`` rows. One job counts the rows."""
-    counts = materialize(rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).agg(
-        F.count(F.lit(1)).alias("__n")), "key-counts")
-    total = counts.agg(F.sum("__n").alias("t")).first()["t"] or 0
-    target = max(params.salt_rows, -(-total // MAX_HOT_KEYS))
-    return counts.where(F.col("__n") > target).select(
-        "__hot", F.ceil(F.col("__n") / F.lit(target)).cast("int").alias("__salts"))
+    """``(__hot, __salts)`` of the keys that need more than one salt; at most ``MAX_HOT_KEYS`` rows.
+
+    One aggregate over the keys: a mergeable frequent-items sketch of bounded size, so neither the
+    distinct keys nor their counts are shuffled or written. Its counts are exact up to ``SKETCH_ITEMS``
+    distinct keys and estimates beyond: salts only spread work, they decide no result.
+    """
+    stats = rows.where(F.col(key).isNotNull()).agg(
+        F.call_function("approx_top_k", F.col(key), F.lit(MAX_HOT_KEYS), F.lit(SKETCH_ITEMS)).alias("top"), F.count(F.lit(1)).alias("n"))
+    target = F.greatest(F.lit(params.salt_rows), F.ceil(F.col("n") / MAX_HOT_KEYS)).cast("long")
+    found = stats.select(target.alias("__t"), F.explode("top").alias("x")).where(F.col("x.count") > F.col("__t"))
+    return materialize(found.select(F.col("x.item").alias("__hot"), F.ceil(F.col("x.count") / F.col("__t")).cast(
+        "int").alias("__salts")), "hot-keys")
 
 
 def salted_join(rows: DataFrame, spread: Column, table: DataFrame, key: str, value: str, out: str,
@@ -187,7 +192,7 @@ def join_totals(rows: DataFrame, totals: DataFrame, keys: Sequence[str], count_c
     """Join one-row-per-group ``totals`` back to the rows of the group (NULL keys included).
 
     Broadcast when the measured size allows it; else a group of more than
-    ``params.salt_rows`` rows (``count_col``) is dealt over salts by ``spread``.
+    ``params.salt_rows`` rows and a ten-thousandth of all (``count_col``) is dealt over salts by ``spread``.
     """
     keys = list(keys)
     renamed = totals.select(*[F.col(k).alias(f"__t_{k}") for k in keys],
@@ -196,9 +201,12 @@ def join_totals(rows: DataFrame, totals: DataFrame, keys: Sequence[str], count_c
     drop = [f"__t_{k}" for k in keys]
     if fits_broadcast(totals, params):
         return rows.join(F.broadcast(renamed), null_safe(pairs), "inner").drop(*drop, count_col)
-    salts = F.ceil(F.col(count_col) / F.lit(params.salt_rows)).cast("int")
+    rows_in_all = totals.agg(F.sum(count_col).alias("n")).first()["n"] or 0
+    target = max(params.salt_rows, -(-rows_in_all // MAX_HOT_KEYS))
+    salts = F.greatest(F.ceil(F.col(count_col) / F.lit(target)), F.lit(1)).cast("int")
     copies = renamed.withColumn("__ts", F.explode(F.sequence(F.lit(0), salts - 1)))
-    hot = F.broadcast(hot_groups(renamed, [f"__t_{k}" for k in keys], count_col, params))
+    # at most MAX_HOT_KEYS groups have more rows than the target
+    hot = F.broadcast(hot_groups(renamed, [f"__t_{k}" for k in keys], count_col, target))
     sized = rows.join(hot, null_safe([(F.col(k), F.col(f"__h___t_{k}")) for k in keys]), "left").withColumn(
         "__salt", F.pmod(spread, F.coalesce(F.col("__salts"), F.lit(1))).cast("int")).drop(
         "__salts", *[f"__h___t_{k}" for k in keys])
@@ -206,8 +214,8 @@ def join_totals(rows: DataFrame, totals: DataFrame, keys: Sequence[str], count_c
         *drop, "__ts", "__salt", count_col)
 
 
-def hot_groups(totals: DataFrame, keys: Sequence[str], count_col: str, params: Params) -> DataFrame:
-    """Groups of more than ``salt_rows`` rows and their salts: rows / salt_rows at most."""
-    return totals.where(F.col(count_col) > params.salt_rows).select(
+def hot_groups(totals: DataFrame, keys: Sequence[str], count_col: str, target: int) -> DataFrame:
+    """Groups of more than ``target`` rows and their salts: rows / target groups at most."""
+    return totals.where(F.col(count_col) > target).select(
         *[F.col(k).alias(f"__h_{k}") for k in keys],
-        F.ceil(F.col(count_col) / F.lit(params.salt_rows)).cast("int").alias("__salts"))
+        F.ceil(F.col(count_col) / F.lit(target)).cast("int").alias("__salts"))

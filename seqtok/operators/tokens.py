@@ -29,12 +29,13 @@ def as_double(df: DataFrame, column: str) -> Column:
 
 def column_bounds(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """One-row DataFrame: ``<c>_min, <c>_max, <c>_stddev, <c>_n`` for every column, and
-    the row count ``__rows`` (same pass). NaN and NULL take no part."""
+    the row count ``__rows`` (same pass). Only finite numbers take part: NaN, infinities and NULL do
+    not (infinite values then fall into the end buckets)."""
     columns = list(columns)
     aggs = []
     for c in columns:
         x = as_double(df, c)
-        x = F.when(~F.isnan(x), x)
+        x = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
         aggs += [F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max"),
                  F.stddev_samp(x).alias(f"{c}_stddev")]
     aggs.append(F.count(F.lit(1)).alias("__rows"))

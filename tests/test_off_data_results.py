@@ -1,6 +1,7 @@
 """Results on rows that the test tables do not hold: NaN, NULL and out-of-range values."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +79,59 @@ def test_context_vectors(spark):
 
     assert got["a"] == got["b"] == [x + y for x, y in zip(sign("x"), sign("y"))]
     assert got["c"] != got["a"] and "solo" not in got
+
+
+def test_infinite_values_stay_out_of_bounds_and_go_to_the_end_buckets(spark):
+    inf = float("inf")
+    rows = [(float(i),) for i in range(101)] + [(inf,), (-inf,), (None,)]
+    df = spark.createDataFrame(rows, "v double")
+    b = collect_bounds(df, ["v"])["v"]
+    assert (b.minimum, b.maximum, b.n_buckets) == (0.0, 100.0, 3)
+    for p in (Params(), Params(bucket_width="unit")):
+        top = b.n_buckets - (p.bucket_width == "stddev")
+        got = {r["v"]: r["v_bucketized"] for r in bucketize(df, "v", b, p).where("v is null or abs(v) > 100").collect()}
+        assert got == {inf: top, -inf: 0, None: None}
+        assert bucketize(df, "v", b, p).select("v_bucketized").distinct().count() > 3
+    only = spark.createDataFrame([(inf,), (-inf,)], "v double")
+    assert collect_bounds(only, ["v"])["v"].n_buckets == 1
+    huge = spark.createDataFrame([(1.7e308,), (-1.7e308,), (0.0,)], "v double")
+    b = collect_bounds(huge, ["v"])["v"]
+    assert b.n_buckets == 1 and bucketize(huge, "v", b, Params()).select("v_bucketized").distinct().count() == 1
+
+
+def test_losses_of_undefined_scores(spark):
+    nan = float("nan")
+    rows = [("a", 0.9, 1), ("a", 0.2, 0), ("a", nan, 1), ("a", None, 0), ("a", 0.5, None), ("b", 0.6, 1), ("b", 0.6, 0), ("c", None, 1)]
+    df = spark.createDataFrame(rows, "model_id string, score double, label int")
+    got = {r["model_id"]: r for r in evaluate.model_losses(df).collect()}
+    assert (got["a"]["n"], got["a"]["n_undefined"]) == (4, 2) and got["a"]["binary_accuracy"] == 0.75
+    assert got["a"]["log_loss"] == pytest.approx(-(math.log(0.9) + math.log(0.8)) / 2)
+    assert got["c"]["log_loss"] is None and got["c"]["binary_accuracy"] == 0.0
+    # a has the smaller loss over its defined scores, but not over all rows
+    best = evaluate.best_model(evaluate.model_losses(df)).first()
+    assert best["model_id"] == "b" and best["log_loss"] == pytest.approx(got["b"]["log_loss"])
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 1])
+def test_exact_curve(spark, limit):
+    rnd = random.Random(limit)
+    rows = [(rnd.choice("ab"), rnd.choice([None, float("nan"), 0.0, -0.0, 0.25, 0.5, 0.75, rnd.random()]), rnd.choice([0, 1, 1, None]))
+            for _ in range(400)] + [("c", 0.5, 0), ("d", None, 1)]
+    df = spark.createDataFrame(rows, "m string, score double, label int")
+    p = Params(rows_per_range=20, broadcast_max_bytes=limit, salt_rows=10)
+    curve = evaluate.score_curve(df, group_cols=["m"], params=p)
+    want, area = {}, {}
+    for m in "abcd":
+        own = [(None if s is None or s != s else s + 0.0, y) for g, s, y in rows if g == m and y is not None]
+        pos = sum(y for _, y in own)
+        for t in sorted({s for s, _ in own if s is not None}, reverse=True):
+            hit = [y for s, y in own if s is not None and s >= t]
+            want[m, t] = (sum(hit), len(hit) - sum(hit), pos - sum(hit))
+            step = sum(y for s, y in own if s == t)
+            area[m] = area.get(m, 0) + (step / pos * sum(hit) / len(hit) if pos else 0)
+    assert {(r["m"], r["threshold"]): (r["tp"], r["fp"], r["fn"]) for r in curve.collect()} == want
+    got = {r["m"]: r for r in evaluate.average_precision(curve, ["m"]).collect()}
+    assert got.keys() == area.keys() and all(got[m]["average_precision"] == pytest.approx(area[m]) for m in area)
+    whole = evaluate.score_curve(df, params=p)
+    assert whole.count() == len({t for _, t in want}) and whole.agg(F.max("tp")).first()[0] == sum(
+        y for _, s, y in rows if y and s is not None and s == s)
