@@ -152,3 +152,9 @@ def align_scores(predictions: DataFrame, truth: DataFrame, keys: Sequence[str] =
     """Pair predictions with truth by row key; rows present on one side only drop out
     (whichever side is shorter)."""
     return predictions.join(truth, list(keys), "inner")
+
+
+def align_chunks(predictions: DataFrame, truth: DataFrame, keys: Sequence[str] = ("row_in_chunk",)) -> DataFrame:
+    """``align_scores`` chunk by chunk, on ``chunk_id`` and ``keys``. Two chunk tables of one bucket count are
+    merged in place: their buckets hold the same chunks, and each bucket is sorted."""
+    return predictions.hint("merge").join(truth, ["chunk_id", *keys], "inner")

@@ -93,6 +93,17 @@ def load_models(spark: SparkSession, root: str) -> dict[str, PipelineModel]:
     return {r["model_id"]: PipelineModel.load(r["path"]) for r in index}
 
 
+def context_pairs(sentences: DataFrame, tokens_col: str = "tokens", window_size: int = 5) -> DataFrame:
+    """``(token, __c, __n)``: how often two tokens of a sentence are at most ``window_size`` places apart."""
+    arr = F.col(tokens_col)
+    at = sentences.select(arr.alias("__t"), F.posexplode(arr).alias("__i", "token"))
+    near = F.concat(
+        F.slice("__t", F.greatest(F.col("__i") + 1 - window_size, F.lit(1)), F.least("__i", F.lit(window_size))),
+        F.slice("__t", F.col("__i") + 2, F.lit(window_size)))
+    return (at.where(F.col("token").isNotNull()).select("token", F.explode(near).alias("__c"))
+              .where(F.col("__c").isNotNull()).groupBy("token", "__c").agg(F.count(F.lit(1)).alias("__n")))
+
+
 def context_vectors(sentences: DataFrame, tokens_col: str = "tokens", dim: int = 40,
                     window_size: int = 5) -> DataFrame:
     """``(token, vector array<long>)``: per token the sum of the sign vectors of the tokens
@@ -104,13 +115,7 @@ def context_vectors(sentences: DataFrame, tokens_col: str = "tokens", dim: int =
     token; no vocabulary or weights are held anywhere. Tokens that share contexts get similar
     vectors. NULL tokens take no part; a token that never has a neighbour has no row.
     """
-    arr = F.col(tokens_col)
-    at = sentences.select(arr.alias("__t"), F.posexplode(arr).alias("__i", "token"))
-    near = F.concat(
-        F.slice("__t", F.greatest(F.col("__i") + 1 - window_size, F.lit(1)), F.least("__i", F.lit(window_size))),
-        F.slice("__t", F.col("__i") + 2, F.lit(window_size)))
-    pairs = (at.where(F.col("token").isNotNull()).select("token", F.explode(near).alias("__c"))
-               .where(F.col("__c").isNotNull()).groupBy("token", "__c").agg(F.count(F.lit(1)).alias("__n")))
+    pairs = context_pairs(sentences, tokens_col, window_size)
     digests = pairs.select("token", "__n", *[
         F.md5(F.concat(F.lit(f"{b}/"), F.col("__c"))).alias(f"__d{b}") for b in range((dim + 31) // 32)])
 

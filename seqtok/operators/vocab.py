@@ -15,6 +15,7 @@ from seqtok.config import Params
 from seqtok.functions.hashing import hash_index, uniform01
 from seqtok.operators.lookup import fits_broadcast, lookup_column, lookup_positions
 from seqtok.operators.sequence import global_position
+from seqtok.session import materialize
 
 _DEFAULT = Params()
 
@@ -42,6 +43,28 @@ def build_vocabulary(freq: DataFrame, params: Params = _DEFAULT,
     )
 
 
+def extend_vocabulary(vocab: DataFrame, freq: DataFrame, params: Params = _DEFAULT) -> DataFrame:
+    """``(token, token_id, freq, version)``: ``vocab`` grown by the token frequencies of a later input.
+
+    Ids never change: tokens that ``vocab`` has keep theirs, new ones get the next ids in (freq desc,
+    token asc) and the next version number. ``freq`` is the sum over all inputs. ``vocab`` without a
+    ``version`` column is version 1. Both tables are read by joins on the token (one row per token on
+    either side, so no key is hot); models and chunks made with an older version stay valid.
+    """
+    old = vocab.select("token", "token_id", F.col("freq").alias("__old"),
+                       (F.col("version") if "version" in vocab.columns else F.lit(1)).cast("int").alias("version"))
+    new = freq.select(F.col("token").alias("__t"), F.col("freq").alias("__new"))
+    last = old.agg(F.max("token_id").alias("i"), F.max("version").alias("v")).first()
+    first_id = params.first_id if last["i"] is None else last["i"] + 1
+    kept = old.join(new, F.col("token") == F.col("__t"), "left").select(
+        "token", "token_id", (F.col("__old") + F.coalesce("__new", F.lit(0))).alias("freq"), "version")
+    fresh = materialize(new.join(old, F.col("__t") == F.col("token"), "left_anti").where(F.col("__t").isNotNull()), "new-tokens")
+    ranked = global_position(fresh, [F.desc("__new"), F.asc("__t")], "__r", params)
+    added = ranked.select(F.col("__t").alias("token"), (F.col("__r") + F.lit(first_id)).alias("token_id"),
+                          F.col("__new").alias("freq"), F.lit((last["v"] or 0) + 1).cast("int").alias("version"))
+    return kept.unionByName(added)
+
+
 def top_tokens(freq: DataFrame, k: int) -> DataFrame:
     """The k most frequent tokens; ties by token (TakeOrderedAndProject, no full sort)."""
     return freq.orderBy(F.desc("freq"), F.asc("token")).limit(k)

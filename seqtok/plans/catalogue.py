@@ -19,7 +19,7 @@ from seqtok.functions.arrays import one_hot, past_future_split, reshape_steps
 from seqtok.functions.buckets import bucket_unit
 from seqtok.functions.text import py_float_text
 from seqtok.operators import evaluate as ev_ops
-from seqtok.operators import learn, sequence_bayes
+from seqtok.operators import factors, learn, sequence_bayes
 from seqtok.operators.ranges import Ranged, file_positions, range_windows, ranged_rows
 from seqtok.operators.sequence import (
     assign_batch, assign_chunk, assign_chunk_by_key, binary_label, global_position, rank_within,
@@ -31,10 +31,10 @@ from seqtok.operators.tokens import (
 from seqtok.operators.lookup import table_stats
 from seqtok.operators.vectors import attention_pool, embed_tokens, past_future_pool
 from seqtok.operators.vocab import (
-    build_vocabulary, distinct_tokens, first_n, index_tokens, mask_tokens, replace_oov,
+    build_vocabulary, distinct_tokens, extend_vocabulary, first_n, index_tokens, mask_tokens, replace_oov,
     token_frequencies, top_tokens,
 )
-from seqtok.session import materialize, scratch_path
+from seqtok.session import materialize, scratch_path, scratch_table
 from seqtok.sources import sinks
 from seqtok.sources.records import parse_records, read_records, rows_per_file
 
@@ -614,6 +614,76 @@ def q_token_vectors(spark, sf):
     return vectors.select("token", _join_ids("vector").alias("vector"))
 
 
+def q_score_curve(spark, sf):
+    """The exact precision/recall curve of every model: each distinct score is a threshold."""
+    curve = ev_ops.score_curve(model_scores(spark, sf), group_cols=["model_id"], params=EV)
+    return curve.select("model_id", _r6("threshold").alias("threshold"), "tp", "fp", "fn", _r6("precision").alias("precision"),
+                        _r6("recall").alias("recall"), _r6("f1").alias("f1"))
+
+
+def q_average_precision(spark, sf):
+    """Average precision, best F1 and its threshold per model, over all scores."""
+    curve = ev_ops.score_curve(model_scores(spark, sf), group_cols=["model_id"], params=EV.with_(rows_per_range=1000))
+    best = ev_ops.average_precision(curve, ["model_id"])
+    return best.select("model_id", "n_steps", *[_r6(c).alias(c) for c in ("average_precision", "best_f1", "best_threshold")])
+
+
+def q_vocabulary_growth(spark, sf):
+    """The vocabulary of the first half of the events, saved as version 1, grown by the tokens of the second
+    half, saved as version 2 and loaded again: old ids stay, new tokens get the next ones."""
+    rec = events_records(spark, sf, positioned=False)
+    half = (rec.agg(F.max("event_id").alias("m")).first()["m"] or 0) // 2
+    words = [explode_tokens(part, "event_id") for part in (rec.where(F.col("event_id") <= half), rec.where(F.col("event_id") > half))]
+    first = build_vocabulary(materialize(token_frequencies(words[0]), "frequencies"), EV).withColumn("version", F.lit(1))
+    root = scratch_path(spark, "vocabularies")
+    loaded = sinks.load_vocabulary_version(spark, root, sinks.save_vocabulary_version(first, root))
+    grown = materialize(extend_vocabulary(loaded, token_frequencies(words[1]), EV), "grown")
+    return sinks.load_vocabulary_version(spark, root, sinks.save_vocabulary_version(grown, root)).select(
+        "token", "token_id", "freq", "version")
+
+
+def q_token_pmi(spark, sf):
+    """Positive pointwise mutual information of all token pairs of a record at most two places apart."""
+    rec = events_records(spark, sf, positioned=False)
+    return factors.positive_pmi(rec, window_size=2, params=EV).select("token", "context", "n", _r6("ppmi").alias("ppmi"))
+
+
+def q_token_embeddings(spark, sf):
+    """Vectors of all record tokens learned from their co-occurrence: 8 leading factors of the positive PMI
+    (rows only: no SQL twin; NumPy checks them in the tests)."""
+    rec = events_records(spark, sf, positioned=False)
+    vectors, _ = factors.learn_vectors(factors.positive_pmi(rec, window_size=2, params=EV), dim=8, iterations=6, params=EV)
+    return vectors.select("token", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
+
+
+def _stored_chunks(spark, df: DataFrame, name: str) -> DataFrame:
+    """``df`` (with ``pos``) as a chunk table, bucketed by chunk, read back."""
+    table, path = scratch_table(spark, name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sinks.write_chunk_table(assign_chunk(df, EV.rows_per_chunk), table, path, buckets)
+    return sinks.read_chunk_table(spark, table)
+
+
+def q_batches_stored(spark, sf):
+    """Batches over stored chunks: rows, first event and attacks of each, without an exchange."""
+    events = ranged_rows(read(spark, sf, "events").select("event_id", "event_type"), ["event_id"], "pos", EV).rows
+    rows = events.select("event_id", "pos", binary_label(F.col("event_type"), EV).alias("label"))
+    batched = assign_batch(_stored_chunks(spark, rows, "chunk-table"), EV.batch_size)
+    return batched.groupBy("chunk_id", "batch_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), F.sum("label").alias("attacks"))
+
+
+def q_align_stored(spark, sf):
+    """Scores of every second event and labels of the events up to value 90, both stored by chunk, paired by
+    chunk and row."""
+    events = ranged_rows(read(spark, sf, "events").select("event_id", "event_type", "value"), ["event_id"], "pos", EV).rows
+    scores = events.select("pos", "event_id", F.least(F.col("value") / 100.0, F.lit(1.0)).alias("score"))
+    truth = events.where(F.col("value") <= 90).select("pos", binary_label(F.col("event_type"), EV).alias("label"))
+    scores = _stored_chunks(spark, scores.where(F.col("event_id") % 2 == 0), "score-table")
+    paired = ev_ops.align_chunks(scores, _stored_chunks(spark, truth, "truth-table").drop("pos"))
+    return paired.select("event_id", "chunk_id", "row_in_chunk", "score", "label")
+
+
 def wide_record_lines(spark, sf) -> DataFrame:
     """Stand-in 42-field records: ``(l_orderkey, l_linenumber, line_md5, value)``, a comma line
     per row of lineitem with its order and customer (see ``config.WIDE_FIELDS``)."""
@@ -698,4 +768,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bayes_best": q_bayes_best,
     "token_vectors": q_token_vectors,
     "wide_records": q_wide_records,
+    "score_curve": q_score_curve,
+    "average_precision": q_average_precision,
+    "vocabulary_growth": q_vocabulary_growth,
+    "token_pmi": q_token_pmi,
+    "token_embeddings": q_token_embeddings,
+    "batches_stored": q_batches_stored,
+    "align_stored": q_align_stored,
 }

@@ -456,5 +456,52 @@ pairs AS (SELECT a.token, b.token AS c, count(*) AS n
           GROUP BY a.token, b.token)
 SELECT token, array_to_string([{dims}], ',') AS vector FROM pairs GROUP BY token""")
 
+    steps = """
+cnt AS (SELECT model_id, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg
+        FROM scores WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY model_id, score),
+alls AS (SELECT model_id, count(*) FILTER (WHERE label = 1) AS p FROM scores GROUP BY model_id),
+cur AS (SELECT c.model_id, c.score AS threshold, c.pos, p,
+               CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp
+        FROM cnt c JOIN alls a ON a.model_id = c.model_id WINDOW w AS (PARTITION BY c.model_id ORDER BY c.score DESC)),
+crv AS (SELECT *, p - tp AS fn, CAST(tp AS DOUBLE) / (tp + fp) AS precision, CASE WHEN p = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / p END AS recall,
+               CASE WHEN tp + fp + p = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (tp + fp + p) END AS f1 FROM cur)"""
+    q["score_curve"] = "WITH " + _scores_sql().strip() + "," + steps + """
+SELECT model_id, round(threshold, 6) AS threshold, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1 FROM crv"""
+    q["average_precision"] = "WITH " + _scores_sql().strip() + "," + steps + """
+SELECT model_id, count(*) AS n_steps, round(sum(CASE WHEN p = 0 THEN 0.0 ELSE CAST(pos AS DOUBLE) / p END * precision), 6) AS average_precision,
+       round(max(f1), 6) AS best_f1, round(max(threshold) FILTER (WHERE f1 = m), 6) AS best_threshold
+FROM (SELECT *, max(f1) OVER (PARTITION BY model_id) AS m FROM crv) GROUP BY model_id"""
+
+    q["vocabulary_growth"] = with_events(""",
+half AS (SELECT max(event_id) // 2 AS h FROM events),
+parts AS (SELECT t.token, count(*) FILTER (WHERE r.event_id <= h) AS f1, count(*) FILTER (WHERE r.event_id > h) AS f2
+          FROM toks t JOIN rec r ON r.pos = t.pos CROSS JOIN half GROUP BY t.token),
+v1 AS (SELECT token, row_number() OVER (ORDER BY f1 DESC, token) + 1 AS token_id, f1 + f2 AS freq FROM parts WHERE f1 > 0),
+v2 AS (SELECT token, (SELECT max(token_id) FROM v1) + row_number() OVER (ORDER BY f2 DESC, token) AS token_id, f2 AS freq
+       FROM parts WHERE f1 = 0)
+SELECT token, CAST(token_id AS BIGINT) AS token_id, freq, CAST(1 AS INTEGER) AS version FROM v1
+UNION ALL SELECT token, CAST(token_id AS BIGINT), freq, CAST(2 AS INTEGER) FROM v2""")
+
+    q["token_pmi"] = with_events(""",
+pairs AS (SELECT a.token, b.token AS context, count(*) AS n
+          FROM toks a JOIN toks b ON a.pos = b.pos AND a.token_pos <> b.token_pos AND abs(a.token_pos - b.token_pos) <= 2
+          GROUP BY a.token, b.token),
+alone AS (SELECT token, sum(n) AS m FROM pairs GROUP BY token),
+pmi AS (SELECT p.token, p.context, n, ln(n * CAST((SELECT sum(n) FROM pairs) AS DOUBLE) / (CAST(a.m AS DOUBLE) * CAST(c.m AS DOUBLE))) AS ppmi
+        FROM pairs p JOIN alone a ON a.token = p.token JOIN alone c ON c.token = p.context)
+SELECT token, context, n, round(ppmi, 6) AS ppmi FROM pmi WHERE ppmi > 0""")
+
+    q["batches_stored"] = """
+WITH p AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events)
+SELECT CAST(pos // 1000 AS BIGINT) AS chunk_id, CAST((pos % 1000) // 128 AS BIGINT) AS batch_id, count(*) AS n,
+       min(event_id) AS first_event, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS attacks
+FROM p GROUP BY ALL"""
+    q["align_stored"] = """
+WITH p AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events)
+SELECT event_id, CAST(pos // 1000 AS BIGINT) AS chunk_id, CAST(pos % 1000 AS BIGINT) AS row_in_chunk, least(value / 100.0, 1.0) AS score,
+       CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS INTEGER) AS label
+FROM p WHERE event_id % 2 = 0 AND value <= 90"""
+
     q["wide_records"] = _wide_sql()
     return q

@@ -49,6 +49,8 @@ def local_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # tables bucketed by a chunk are joined on chunk and row without an exchange
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -139,14 +141,20 @@ def materialize(df, name: str = "table"):
     return df.sparkSession.read.parquet(path)
 
 
+def scratch_table(spark: SparkSession, name: str) -> tuple[str, str]:
+    """``(table name, path)`` for an intermediate table with a layout. The files lie in the scratch folder;
+    the name is dropped with the application."""
+    path = scratch_path(spark, name)
+    table = "seqtok_" + os.path.basename(path).replace("-", "_")
+    _TABLES.setdefault(spark.sparkContext.applicationId, set()).add(table)
+    return table, path
+
+
 def materialize_bucketed(df, name: str, buckets: int, key: str, sort: str):
     """``materialize`` as a table bucketed by ``key`` and sorted by ``sort`` in each bucket. Spark knows
     that all rows of a key lie in one bucket, so a window or aggregate per key over what is
-    read back, also after projections and broadcast joins, needs no exchange. The files lie in the
-    scratch folder; the table's name is dropped with the application."""
+    read back, also after projections and broadcast joins, needs no exchange."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    table = "seqtok_" + os.path.basename(path).replace("-", "_")
-    _TABLES.setdefault(spark.sparkContext.applicationId, set()).add(table)
+    table, path = scratch_table(spark, name)
     df.write.format("parquet").bucketBy(buckets, key).sortBy(sort).option("path", path).saveAsTable(table)
     return spark.table(table)

@@ -7,7 +7,7 @@ chunks prunes directories instead of scanning.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +57,19 @@ def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save_vocabulary_version(vocab: DataFrame, root: str) -> int:
+    """Write a grown vocabulary below ``root`` as its newest version, beside the older ones; returns the
+    version. A version that is there already is never overwritten."""
+    version = vocab.agg(F.max("version").alias("v")).first()["v"] or 0
+    vocab.select("token", "token_id", "freq", "version").write.mode("errorifexists").parquet(f"{root}/version={version}")
+    return version
+
+
+def load_vocabulary_version(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """The vocabulary as of ``version``: tokens of later versions are unknown to it."""
+    return spark.read.parquet(f"{root}/version={version}")
+
+
 def save_bounds(spark: SparkSession, bounds: Mapping[str, Bounds], path: str, mode: str = "overwrite") -> None:
     """The bounds of the bucketized columns, one row each, for later files of the same kind."""
     rows = [(c, b.minimum, b.maximum, b.stddev, b.n_buckets, b.n_rows) for c, b in bounds.items()]
@@ -100,6 +113,26 @@ def read_chunks(spark: SparkSession, path: str, first: int | None = None, last:
     return df.drop("chunk_range")
 
 
+def write_chunk_table(df: DataFrame, table: str, path: str, buckets: int, sort: Sequence[str] = ("row_in_chunk",)) -> None:
+    """Chunks as a table bucketed by ``chunk_id`` and sorted in each bucket, the layout for repeated work per
+    chunk: batching, windows and aggregates per chunk, and joins of tables of one bucket count on
+    ``chunk_id`` (and more columns) read it without an exchange. ``table`` is its name in the
+    session's catalogue, ``path`` where the files lie.
+
+    The rows are dealt to the buckets by one exchange here, so a bucket is one file.
+    """
+    (df.repartition(buckets, "chunk_id").write.mode("overwrite").format("parquet")
+       .bucketBy(buckets, "chunk_id").sortBy("chunk_id", *sort).option("path", path).saveAsTable(table))
+
+
+def read_chunk_table(spark: SparkSession, table: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Chunks ``first..last`` of a chunk table; the range is pushed into the Parquet scan."""
+    df = spark.table(table)
+    if first is not None:
+        df = df.where(F.col("chunk_id") >= first)
+    return df if last is None else df.where(F.col("chunk_id") <= last)
+
+
 def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
     metrics.write.mode(mode).parquet(path)
 
