@@ -34,6 +34,7 @@ from seqtok.session import materialize, materialize_bucketed
 from seqtok.sources.records import ORDER_COLUMNS
 
 _DEFAULT = Params()
+MIN_RANGE_ROWS = 5_000         # smaller ranges only to reach ``rows_per_range``
 
 
 @dataclass(frozen=True)
@@ -64,7 +65,8 @@ def ranged_rows(df: DataFrame, order: Sequence, out: str | None = "pos", params:
     """
     keys = _sort_orders(order)
     n = df.count() if n_rows is None else n_rows
-    parts = min(params.max_ranges, max(1, math.ceil(n / params.rows_per_range)))
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, n // MIN_RANGE_ROWS)   # each range is one task
+    parts = min(params.max_ranges, max(1, math.ceil(n / params.rows_per_range), cores))
     ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     place = F.monotonically_increasing_id()
     back = materialize_bucketed(
