@@ -2,10 +2,9 @@
 
 Method: one aggregate gives the exact histogram of lengths over all documents. Dynamic
 programming over it (divide and conquer on the cuts, ``k n log n``) chooses at most
-``n_buckets`` boundaries with the least total padding. Only beyond ``MAX_LENGTHS`` distinct
-lengths are those over 256 folded into cells of 1/128 relative width (a cell keeps its
-largest length and its sum, so the padding of a cut stays exact); the boundaries then pad by
-at most 1/128 of the padded tokens more than the best ones. A bucket of boundary L takes batches of
+``n_buckets`` boundaries with the least total padding, at any number of distinct lengths n. The histogram goes
+to the driver: documents with n distinct lengths hold ``n * n / 2`` words at least, so 100 TB of text
+have at most a few million. A bucket of boundary L takes batches of
 ``max(1, token_budget // L)`` documents, so a batch padded to L stays in the budget; a
 document longer than the budget is a batch of its own.
 
@@ -13,9 +12,13 @@ Batches form inside shards of a bucket: a bucket gets one shard per ``shard_rows
 documents (by a hash of the id), so one bucket with most of the rows is spread over many
 tasks; only the last batch of a shard may be short.
 
-Rows: null text has length 0 like an empty one; length-0 rows go to the first bucket and
+The texts are read once: id, length and carried columns are written, and histogram and packing work on
+that table.
+
+Rows: null text, or a null length, has length 0 like an empty text; length-0 rows go to the first bucket and
 are packed as all others; repeated rows and null ids are packed once per row; an empty table
-gives an empty result; further columns pass only where named in ``carry``.
+gives an empty result; further columns pass only where named in ``carry``, and not if a column
+of the result has that name (in any case of letters).
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqtok.session import materialize
+
 MAX_SHARDS = 20_000
-MAX_LENGTHS = 65_536       # distinct lengths that the driver cuts exactly
+RESULT = ("n_tokens", "bucket", "bucket_len", "shard", "batch", "slot", "padding")
 
 
 def word_count(text: Column) -> Column:
@@ -33,24 +38,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def length_cell(length: Column) -> Column:
-    """Histogram cell: the length itself up to 256, above that its top 8 bits."""
-    drop = F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("int") - 7,
-                      F.lit(0))
-    unit = F.pow(F.lit(2.0), drop)
-    return (F.floor(length / unit) * unit).cast("long")
-
-
 def length_histogram(lengths: DataFrame) -> list[tuple[int, int, int]]:
-    """``(largest length, documents, sum of lengths)`` per length, ascending; per cell where
-    there are more than ``MAX_LENGTHS`` lengths. ``lengths`` has one column ``__len``."""
-    rows = lengths.groupBy("__len").agg(F.count(F.lit(1)).alias("__n")).limit(MAX_LENGTHS + 1).collect()
-    if len(rows) <= MAX_LENGTHS:
-        return sorted((r["__len"], r["__n"], r["__len"] * r["__n"]) for r in rows)
-    rows = (lengths.groupBy(length_cell(F.col("__len")).alias("__cell"))
-            .agg(F.max("__len").alias("__top"), F.count(F.lit(1)).alias("__n"),
-                 F.sum("__len").alias("__sum")).orderBy("__cell").collect())
-    return [(r["__top"], r["__n"], r["__sum"]) for r in rows]
+    """``(length, documents, sum of lengths)`` per length, ascending. ``lengths`` has one column ``__len``."""
+    got = lengths.groupBy("__len").agg(F.count(F.lit(1)).alias("__n")).toArrow()
+    size, n = (got.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(size)
+    return list(zip(size[order].tolist(), n[order].tolist(), (size * n)[order].tolist()))
 
 
 def _best_cuts(before: np.ndarray, top: np.ndarray, count: np.ndarray,
@@ -113,8 +106,11 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: id, ``n_tokens``, ``bucket`` (from 0), ``bucket_len``,
     ``shard``, ``batch`` (within bucket and shard), ``slot`` (within the batch),
     ``padding`` (bucket_len - n_tokens), then the columns in ``carry``."""
-    size = word_count(F.col(text_col)) if length is None else length.cast("long")
-    base = df.select(F.col(id_col), size.alias("__len"), *carry)
+    if id_col.lower() in RESULT:
+        raise ValueError(f"the id column cannot be called {id_col}")
+    carry = tuple(c for c in carry if c.lower() not in (*RESULT, id_col.lower()))
+    size = word_count(F.col(text_col)) if length is None else F.coalesce(length.cast("long"), F.lit(0))
+    base = materialize(df.select(F.col(id_col), size.alias("__len"), *carry), "lengths")
     histogram = length_histogram(base.select("__len"))
     bounds = optimal_boundaries(histogram, n_buckets)
     if not bounds:

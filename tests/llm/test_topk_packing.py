@@ -82,13 +82,21 @@ def test_batches_hold_every_row_within_budget(shipped):
     assert pk.pack_documents(df.limit(0)).collect() == []
 
 
-def test_carried_columns_and_histogram_cells(shipped):
+def test_carried_columns_and_histogram(shipped):
     df = shipped.createDataFrame([(1, "a b c", "x")], "doc_id long, text string, lang string")
     assert pk.pack_documents(df, carry=("text", "lang")).collect()[0].lang == "x"
     sizes = shipped.range(0, 100_000).selectExpr("id as __len")
     hist = pk.length_histogram(sizes)
-    assert sum(n for _, n, _ in hist) == 100_000 and len(hist) < 2000
-    assert [t for t, _, _ in hist] == sorted(t for t, _, _ in hist)
+    assert [tuple(h) for h in hist] == [(n, 1, n) for n in range(100_000)]       # exact at any number of lengths
+
+
+def test_null_lengths_and_clashing_names(shipped):
+    df = shipped.createDataFrame([(1, 5, "x", "k"), (2, None, "y", "k")], "doc_id long, size int, Bucket string, kept string")
+    got = pk.pack_documents(df, length=df["size"], carry=("Bucket", "kept", "DOC_ID"))
+    assert got.columns == ["doc_id", *pk.RESULT, "kept"]
+    assert {r.doc_id: (r.n_tokens, r.bucket_len - r.padding) for r in got.collect()} == {1: (5, 5), 2: (0, 0)}
+    with pytest.raises(ValueError, match="id column"):
+        pk.pack_documents(df, id_col="Bucket", length=df["size"])
 
 
 def test_long_lengths_are_cut_exactly(shipped):
