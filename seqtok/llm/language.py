@@ -1,8 +1,9 @@
 """Language identification by cross-parsing entropy.
 
-Method: per language a suffix automaton is built over a bounded sample of labelled text
-(up to ``SAMPLE_DOCS`` documents of a language, in hash order, ``SAMPLE_CHARS`` code points
-each). A text is cut greedily into the longest phrases that occur in the language's
+Method: per language a suffix automaton is built over a bounded sample of labelled text:
+up to ``SAMPLE_DOCS`` documents of a language in hash order, whose whole texts are cut into pieces of
+``SAMPLE_CHARS`` code points, and of all these pieces as many as documents, again in hash order. With more than
+``MAX_LANGUAGES`` languages each has fewer documents and pieces, none is left out. A text is cut greedily into the longest phrases that occur in the language's
 sample; the walk through the automaton gives each longest match. The language whose
 parse needs the fewest phrases, each weighted by the bits that point into its sample
 (log2 of the sample length) and divided by the text length, wins.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqtok.llm.common import append_columns, sample_by_hash
+from seqtok.session import materialize
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 600
@@ -184,16 +186,20 @@ def _points(text: str) -> np.ndarray:
 
 def language_samples(labelled: DataFrame, id_col: str, text_col: str, lang_col: str,
                      docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """Up to ``docs`` texts of each language in hash order, ``chars`` code points each; at
-    most ``MAX_LANGUAGES`` languages, so the sample on the driver is bounded."""
+    """Pieces of ``chars`` code points from anywhere in the texts of up to ``docs`` documents of each
+    language, up to ``docs`` pieces; fewer beyond ``MAX_LANGUAGES`` languages, so that the sample on the
+    driver is bounded."""
     rows = labelled.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
                           & F.col(lang_col).isNotNull())
-    cut = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"),
-                      F.substring(F.col(text_col), 1, chars).alias("text"))
-    got = sample_by_hash(cut, "lang", "h", docs, ("text",)).orderBy("lang", "h", "text").limit(
-        MAX_LANGUAGES * docs).collect()
+    languages = rows.select(lang_col).distinct().count()
+    docs = max(1, min(docs, docs * MAX_LANGUAGES // max(languages, 1)))
+    whole = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
+    chosen = materialize(sample_by_hash(whole, "lang", "h", docs, ("text",)), "language-documents")
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chars}}}"), F.lit(0))
+    pieces = chosen.select("lang", F.posexplode(cut).alias("i", "piece"), "h").select(
+        "lang", F.xxhash64("h", "i").alias("h"), F.col("piece").alias("text"))
     out: dict[str, list[str]] = {}
-    for r in got:
+    for r in sample_by_hash(pieces, "lang", "h", docs, ("text",)).orderBy("lang", "h", "text").collect():
         out.setdefault(r["lang"], []).append(r["text"])
     return out
 

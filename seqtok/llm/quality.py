@@ -113,7 +113,7 @@ class NeighbourModel:
         k = min(NEIGHBOURS, len(self.labels))
         for a in range(0, len(known), 512):
             cosine = latent[a:a + 512] @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            near = _nearest(cosine, k)
             weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0.0) ** SHARPNESS
             total = weight.sum(axis=1)
             vote = (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12)
@@ -121,6 +121,14 @@ class NeighbourModel:
         return np.clip(out, 0.0, 1.0)
 
 
+def _nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The k columns with the largest values of every row; of equal values those that come first."""
+    edge = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k][:, None]
+    above, level = cosine > edge, cosine == edge
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (level & (np.cumsum(level, axis=1) <= room)))[1].reshape(-1, k)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 

@@ -2,6 +2,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from llm_fixtures import SMALL, prose
 
 from seqtok.llm import language as lg
@@ -108,3 +109,30 @@ def test_cosines_are_exact_and_votes_weighted():
     near = np.argsort(-cos, kind="stable")[:ql.NEIGHBOURS]
     w = cos[near] ** ql.SHARPNESS
     assert abs(m.score([probe])[0] - (w * y[near]).sum() / w.sum()) < 1e-5
+
+
+def test_equal_cosines_go_to_the_first():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        cosine = rng.choice([0.1, 0.5, 0.9, 1.0], size=(7, rng.integers(3, 40))).astype(np.float32)
+        k = int(rng.integers(1, cosine.shape[1] + 1))
+        want = np.sort(np.argsort(-cosine, axis=1, kind="stable")[:, :k], axis=1)
+        assert (ql._nearest(cosine, k) == want).all()
+
+
+def test_votes_of_tied_neighbours(monkeypatch):
+    monkeypatch.setattr(ql, "NEIGHBOURS", 3)
+    monkeypatch.setattr(ql, "term_counts", lambda texts: np.ones((len(texts), ql.TERMS), dtype=np.float32))
+    shares = np.ones((6, ql.TERMS), dtype=np.float32)
+    model = ql.NeighbourModel(shares, np.array([1, 0, 0, 1, 1, 1]))
+    assert model.score(["x"])[0] == pytest.approx(1 / 3)          # the three smallest ids of six equal ones
+
+
+def test_language_learns_from_anywhere_in_a_text_and_drops_no_language(shipped):
+    long = "zz " * 2000 + "qwertz uiop asdf " * 2000
+    rows = [(i, long, "a") for i in range(3)] + [(10 + i, "plain words here", f"l{i:03}") for i in range(260)]
+    df = shipped.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = lg.language_samples(df, "doc_id", "text", "lang")
+    assert len(got) == 261 and all(got.values())
+    assert any("qwertz" in t for t in got["a"]) and all(len(t) <= lg.SAMPLE_CHARS for t in got["a"])
+    assert 0 < len(got["a"]) <= lg.SAMPLE_DOCS * lg.MAX_LANGUAGES // 261
