@@ -43,8 +43,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqtok.config import Params
 from seqtok.llm.common import append_columns, mix64, shingle_hashes
-from seqtok.operators.lookup import size_in_bytes
+from seqtok.operators.lookup import join_totals, size_in_bytes
 from seqtok.session import materialize
 
 THRESHOLD = 0.8
@@ -55,6 +56,7 @@ TAIL = 1e-9
 NODE_MEMBERS = 512
 NODE_SHINGLES = 1 << 19
 BROADCAST_BYTES = 64 << 20
+ROWS_PER_SALT = 100_000
 _VALUES = TREES * MAX_DEPTH
 _MULTIPLIERS = mix64(np.arange(1, _VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -328,18 +330,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def both(e: DataFrame) -> DataFrame:
         return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def least_of(e: DataFrame) -> DataFrame:
-        return e.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("c"), F.least("a", "m").alias("m"))
+    def with_least(e: DataFrame) -> DataFrame:
+        """``e`` with ``m``, the least of ``a`` and its neighbours; a hub's edges are dealt over salts."""
+        least = e.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("__n"))
+        return join_totals(e, materialize(least, "least"), ["a"], "__n", F.xxhash64("b"),
+                           Params(salt_rows=ROWS_PER_SALT, broadcast_max_bytes=BROADCAST_BYTES))
 
     def large_star(e: DataFrame) -> DataFrame:
-        pairs = both(e)
-        return (pairs.join(least_of(pairs), F.col("a") == F.col("c")).where(F.col("b") > F.col("a"))
-                     .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
+        return (with_least(both(e)).where(F.col("b") > F.col("a"))
+                .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
 
     def small_star(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        joined = down.join(least_of(down), F.col("a") == F.col("c"))
+        joined = with_least(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         return (joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
                       .unionByName(joined.select("a", F.col("m").alias("b"))).where("a != b").distinct())
 
@@ -354,7 +356,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if is_star_forest(now):
             break
-        now = materialize(small_star(large_star(now)), "edges")
+        now = materialize(small_star(materialize(large_star(now), "large-star")), "edges")
     else:
         raise RuntimeError("connected components did not settle")
     return (now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -368,7 +370,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     included) and ``n_copies`` (documents with the same shingle set, itself included)."""
     signed, known = _grouped(docs, id_col, text_col, threshold)
     grouped = F.col("__k").isNotNull()
-    return signed.join(known, F.col("__key") == F.col("__k"), "left").select(
+    return _with_class(signed, known, "left").select(
         F.col("__id").alias(id_col),
         F.when(grouped, F.col("__class")).otherwise(F.col("__id")).alias("class_id"),
         F.when(grouped, F.col("__links") + F.col("__size") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
@@ -392,29 +394,22 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     least = placed.groupBy("__root").agg(F.min("__first").alias("__class"))
     known = placed.join(least.withColumnRenamed("__root", "__r"), F.col("__root") == F.col("__r")).select(
         F.col("__key").alias("__k"), "__size", "__links", "__class", "__root")
-    known = materialize(known, "ngram-known")
+    return signed, materialize(known, "ngram-known")
+
+
+def _with_class(signed: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """Rows joined with their text class. Beyond the broadcast limit the rows of a class with many copies
+    are dealt over salts by its exact size."""
     if size_in_bytes(known) <= BROADCAST_BYTES:
-        known = F.broadcast(known)
-    return signed, known
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the least id of every near-duplicate class; of rows that repeat an id one
-    stays if they are in one class. Rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, threshold)
-    drop = found.where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("class_id"))).select(
-        F.col(id_col).alias("__gone")).distinct()
-    if size_in_bytes(drop) <= BROADCAST_BYTES:
-        drop = F.broadcast(drop)
-    kept = docs.join(drop, F.col(id_col) == F.col("__gone"), "left_anti")
-    again = (found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__twice"))
-                  .agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select("__twice"))
-    if again.isEmpty():
-        return kept
-    single = kept.join(again, F.col(id_col) == F.col("__twice"), "left_anti")
-    many = kept.join(again, F.col(id_col) == F.col("__twice"), "left_semi")
-    return single.unionByName(many.dropDuplicates([id_col]))
+        return signed.join(F.broadcast(known), F.col("__key") == F.col("__k"), how)
+    salts = F.ceil(F.col("__size") / ROWS_PER_SALT).cast("int")
+    hot = known.where(F.col("__size") > ROWS_PER_SALT).select(F.col("__k").alias("__hk"), salts.alias("__salts"))
+    if size_in_bytes(hot) <= BROADCAST_BYTES:                    # documents / ROWS_PER_SALT rows at most
+        hot = F.broadcast(hot)
+    rows = signed.join(hot, F.col("__key") == F.col("__hk"), "left").withColumn(
+        "__salt", F.pmod(F.xxhash64("__id", "__t1"), F.coalesce("__salts", F.lit(1)))).drop("__hk", "__salts")
+    copies = known.withColumn("__ts", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return rows.join(copies, (F.col("__key") == F.col("__k")) & (F.col("__salt") == F.col("__ts")), how).drop("__salt", "__ts")
 
 
 def keep_one_row_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -424,18 +419,21 @@ def keep_one_row_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str
     not near copies all stay, and copies without an id leave one."""
     signed, known = _grouped(docs, id_col, text_col, threshold)
     row = ["__id", "__t1", "__t2"]
-    members = materialize(signed.join(known, F.col("__key") == F.col("__k")).groupBy("__root", "__key", *row)
-                                .agg(F.count(F.lit(1)).alias("__rows")), "ngram-members")
+    members = materialize(_with_class(signed, known, "inner").groupBy("__root", "__key", *row)
+                          .agg(F.count(F.lit(1)).alias("__rows")), "ngram-members")
     # the class's own row first: least id, then the least key and text hash
     order = F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("__key").alias("k"),
                      F.col("__t1").alias("a"), F.col("__t2").alias("b"))
-    first = members.groupBy(F.col("__root").alias("__r")).agg(F.min(order).alias("__first"))
-    judged = members.join(first, F.col("__root") == F.col("__r")).select(
-        *row, "__rows", (order == F.col("__first")).alias("__stays"))
-    # a row with copies under its id stays once, all others of the class go
-    judged = materialize(judged.where(~F.col("__stays") | (F.col("__rows") > 1)).select(
-        F.col("__id").alias("__gi"), F.col("__t1").alias("__g1"), F.col("__t2").alias("__g2"), "__stays"),
-        "ngram-judged")
+    first = members.groupBy("__root").agg(F.min(order).alias("__f")).select(
+        F.col("__f.i").alias("__fi"), F.col("__f.k").alias("__fk"), F.col("__f.a").alias("__fa"), F.col("__f.b").alias("__fb"))
+    first = materialize(first, "ngram-first")
+    # matched by row, so a large class is no hot key
+    own = (F.col("__id").eqNullSafe(F.col("__fi")) & (F.col("__key") == F.col("__fk"))
+           & (F.col("__t1") == F.col("__fa")) & (F.col("__t2") == F.col("__fb")))
+    named = [F.col("__id").alias("__gi"), F.col("__t1").alias("__g1"), F.col("__t2").alias("__g2")]
+    gone = members.join(first, own, "left_anti").select(*named)
+    # a row with copies under its id stays once
+    twice = materialize(members.where("__rows > 1").join(first, own, "left_semi").select(*named), "ngram-twice")
 
     def by_row(marked: DataFrame, rows: DataFrame, how: str) -> DataFrame:
         if size_in_bytes(rows) <= BROADCAST_BYTES:
@@ -444,9 +442,7 @@ def keep_one_row_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str
                            & (F.col("__t2") == F.col("__g2")), how)
 
     marked = docs.select("*", *_text_id(F.col(text_col)))
-    rows = judged.drop("__stays")
-    kept = by_row(marked, rows, "left_anti").drop("__t1", "__t2")
-    twice = judged.where("__stays").drop("__stays")
+    kept = by_row(marked, materialize(gone.unionByName(twice), "ngram-gone"), "left_anti").drop("__t1", "__t2")
     if twice.isEmpty():
         return kept
     many = by_row(marked, twice, "left_semi").dropDuplicates([id_col, "__t1", "__t2"])

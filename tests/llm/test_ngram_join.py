@@ -62,6 +62,7 @@ def test_equals_all_pairs(shipped, rows):
 def test_split_nodes_and_shuffled_texts_give_the_same(shipped, rows, monkeypatch):
     monkeypatch.setattr(nj, "NODE_MEMBERS", 4)
     monkeypatch.setattr(nj, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(nj, "ROWS_PER_SALT", 3)          # hubs and classes with copies are salted
     assert _run(shipped, rows) == _brute(rows)
 
 
@@ -85,20 +86,23 @@ def test_null_ids_repeated_ids_and_empty_table(shipped):
     got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links, r.n_copies) for r in nj.near_duplicates(df).collect())
     assert got == [(0, 3, 2, 3), (3, 3, 0, 1), (3, 3, 2, 3), (3, 3, 2, 3), (8, 8, 0, 1)]
     assert nj.near_duplicates(df.limit(0)).collect() == []
-    kept = nj.keep_one_of_each(df)
+    kept = nj.keep_one_row_of_each(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 8]
-    assert nj.keep_one_of_each(df.limit(0)).count() == 0
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [3, 3, 8]
+    assert nj.keep_one_row_of_each(df.limit(0)).count() == 0
 
 
 def test_keeps_one_of_each_class(shipped, rows):
     df = shipped.createDataFrame(rows, "doc_id long, text string")
-    kept = {r.doc_id for r in nj.keep_one_of_each(df).collect()}
+    kept = {r.doc_id for r in nj.keep_one_row_of_each(df).collect()}
     assert kept == {c for _, c, _ in _brute(rows)}
 
 
-def test_components_of_a_long_chain(shipped):
-    n = 60
+@pytest.mark.parametrize("limit", [64 << 20, -1])
+def test_components_of_a_long_chain(shipped, monkeypatch, limit):
+    monkeypatch.setattr(nj, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(nj, "ROWS_PER_SALT", 2)
+    n = 60 if limit > 0 else 12
     edges = shipped.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in nj.connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 100: 100, 101: 100}
@@ -107,6 +111,7 @@ def test_components_of_a_long_chain(shipped):
 @pytest.mark.parametrize("limit", [64 << 20, -1])
 def test_rows_under_one_id_are_told_apart_by_text(shipped, monkeypatch, limit):
     monkeypatch.setattr(nj, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(nj, "ROWS_PER_SALT", 1)
     import corpus_pipeline as cp
 
     t, u, v = prose(9, 50), prose(10, 50), prose(11, 50)
