@@ -1,7 +1,7 @@
 """Site-relative line dedup: drop lines that too large a share of a host's pages contain.
 
 Method (DataFrame and SQL functions only): texts are cut at line feeds; a line's identity
-is a 128-bit hash of the line without outer white space. Per host and line the pages
+is a 128-bit hash of the line without outer spaces (tabs and carriage returns count). Per host and line the pages
 containing it are counted (once per page), divided by the host's page total, and the lines
 whose share exceeds ``max_ratio`` on at least ``min_pages`` pages are boilerplate. They
 are taken out of every page of the host; the other lines stay in order.
@@ -93,18 +93,22 @@ def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text",
                      max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
                      dropped_col: str | None = None, by_text: bool = False) -> DataFrame:
     """``pages`` with the boilerplate lines of each page's host taken out of its text;
-    ``dropped_col``: also the number of lines taken out."""
+    ``dropped_col``: also the number of lines taken out; a column of that name (in any case of letters) is
+    replaced."""
     # written: it is measured, then joined; the lines are counted once
     found = materialize(boilerplate_lines(pages, host, text_col, max_ratio, min_pages, by_text), "boilerplate")
     lists = (found.groupBy("__host").agg(F.collect_set("__line").alias("__bad"),
                                          F.first("__total").alias("__total")))
-    cols = pages.columns
+    cols = [c for c in pages.columns if dropped_col is None or c.lower() != dropped_col.lower()]
     marked = pages.withColumn("__h", host)
     if size_in_bytes(found.select("__host", "__line")) <= BROADCAST_BYTES:
         joined = marked.join(F.broadcast(lists), F.col("__h").eqNullSafe(F.col("__host")), "left")
     else:
         salts = F.greatest(F.lit(1), F.ceil(F.col("__total") / ROWS_PER_SALT)).cast("int")
-        sized = lists.select("__host", salts.alias("__salts"))
+        # only hosts of more than ROWS_PER_SALT pages: pages / ROWS_PER_SALT rows at most
+        sized = lists.where(F.col("__total") > ROWS_PER_SALT).select("__host", salts.alias("__salts"))
+        if size_in_bytes(sized) <= BROADCAST_BYTES:
+            sized = F.broadcast(sized)
         # page side: a salt below its host's number of salts, from a hash of the text
         page = (marked.join(sized, F.col("__h").eqNullSafe(F.col("__host")), "left").drop("__host")
                       .withColumn("__salt", F.pmod(F.xxhash64(text_col),

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqtok.operators.lookup import size_in_bytes
+from seqtok.session import materialize
 
 BROADCAST_BYTES = 32 << 20
 ROWS_PER_SALT = 200_000
@@ -87,11 +88,14 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url",
     verdict = hits.groupBy("__u", "__d").agg(
         F.array_sort(F.collect_set("list_name")).alias("__lists"),
         F.array_sort(F.collect_set("pattern")).alias("__patterns"))
+    verdict = materialize(verdict, "verdicts")
+    if size_in_bytes(verdict) <= BROADCAST_BYTES:          # then a URL with most captures is no hot key
+        verdict = F.broadcast(verdict)
     none = F.array().cast("array<string>")
     joined = captures.withColumns({"__cu": F.col(url_col), "__cd": F.to_date(F.col(time_col))}).join(
         verdict, (F.col("__cu") == F.col("__u")) & (F.col("__cd") == F.col("__d")), "left")
     return joined.select(
-        *[F.col(f"`{c}`") for c in captures.columns if c not in ("blocked", "lists", "patterns")],
+        *[F.col(f"`{c}`") for c in captures.columns if c.lower() not in ("blocked", "lists", "patterns")],
         F.col("__u").isNotNull().alias("blocked"),
         F.coalesce("__lists", none).alias("lists"), F.coalesce("__patterns", none).alias("patterns"))
 
@@ -102,6 +106,9 @@ def _salted(probes: DataFrame, spans: DataFrame, active: Column) -> DataFrame:
                     .select(F.col("__p").alias("__hot"),
                             F.ceil(F.col("count") / ROWS_PER_SALT).cast("int").alias("__n")))
     # patterns above ROWS_PER_SALT probes: at most probes / ROWS_PER_SALT of them
+    weight = materialize(weight, "hot-patterns")
+    if size_in_bytes(weight) <= BROADCAST_BYTES:
+        weight = F.broadcast(weight)
     salts = F.coalesce(F.col("__n"), F.lit(1))
     left = (probes.join(weight, F.col("__p") == F.col("__hot"), "left")
                   .withColumn("__s", F.pmod(F.xxhash64("__u", "__d"), salts).cast("int")))

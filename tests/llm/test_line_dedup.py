@@ -86,3 +86,10 @@ def test_the_pipeline_stage_leaves_copies_to_the_next_stage(shipped):
     assert sorted(out.select("doc_id", "text").collect()) == sorted((i, t) for i, t, _, _ in rows)
     stay = cp.near_duplicate_stage(shipped, out, "").collect()
     assert [r.text for r in stay if r.doc_id < 50] == [rows[0][1]]
+
+
+def test_a_column_named_like_the_count_is_replaced(shipped):
+    df = shipped.createDataFrame([(i, "h", f"same\nown {i}", "x") for i in range(8)], "doc_id long, host string, text string, Dropped string")
+    out = ld.drop_boilerplate(df, F.col("host"), dropped_col="dropped")
+    assert out.columns == ["doc_id", "host", "text", "dropped"]
+    assert {(r.text, r.dropped) for r in out.collect()} == {(f"own {i}", 1) for i in range(8)}

@@ -70,3 +70,11 @@ def test_empty_tables(shipped):
     ents = shipped.createDataFrame(ENTRIES, "list_name string, pattern string, action string, entry_date date")
     assert uf.filter_urls(caps.limit(0), ents).count() == 0
     assert uf.filter_urls(caps, ents.limit(0)).where("blocked").count() == 0
+
+
+def test_columns_named_like_the_result_are_replaced(shipped):
+    caps = shipped.createDataFrame([(*c, "x", 7) for c in CAPTURES], "page_id long, url string, fetch_time timestamp, Blocked string, LISTS int")
+    ents = shipped.createDataFrame(ENTRIES, "list_name string, pattern string, action string, entry_date date")
+    out = uf.filter_urls(caps, ents)
+    assert out.columns == ["page_id", "url", "fetch_time", "blocked", "lists", "patterns"]
+    assert out.where("blocked").count() == sum(r[3] for r in _brute())
