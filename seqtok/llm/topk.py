@@ -32,14 +32,17 @@ CANDIDATE_BLOCK = 8_192
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
-    """``(id long, v array<long>)``: ``floor(scale * x)`` of every component, without the
-    rows that take no part."""
+    """``(id long, v)``: ``floor(scale * x)`` of every component, without the rows that take no part. ``v`` is
+    array<long>, or array<double> of whole numbers where scores may not fit 64 bits."""
     x = F.col(vec_col)
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double")) == float("inf")))
-    return (df.where(x.isNotNull() & ~bad & F.col(id_col).isNotNull())
-              .select(F.col(id_col).cast("long").alias("id"),
-                      F.transform(x, lambda e: F.floor(e.cast("double") * F.lit(float(scale))))
-                       .alias("v")))
+    rows = df.where(x.isNotNull() & ~bad & F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: e.cast("double") * F.lit(float(scale))).alias("v"))
+    most = rows.agg(F.max(F.array_max(F.transform("v", lambda e: F.abs(e)))).alias("m"), F.max(F.size("v")).alias("n")).first()
+    if (most["m"] or 0.0) < 2.0 ** 62 and (most["n"] or 0) * (int(most["m"] or 0) + 1) ** 2 < 1 << 63:
+        return rows.select("id", F.transform("v", lambda e: F.floor(e)).alias("v"))
+    # doubles from 2 ** 53 on are whole
+    return rows.select("id", F.transform("v", lambda e: F.when(F.abs(e) < 2.0 ** 53, F.floor(e).cast("double")).otherwise(e)).alias("v"))
 
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,6 +51,8 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lists = batch.column(1)
     off = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]]
+    if flat.dtype != np.int64:
+        flat = np.array([int(x) for x in flat], dtype=object)
     return ids, off - off[0], flat
 
 
@@ -66,6 +71,9 @@ def _postings(bounds: np.ndarray, flat: np.ndarray) -> dict[int, tuple[np.ndarra
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best by (score descending, id ascending)."""
+    if score.dtype == object:
+        order = sorted(range(len(score)), key=lambda i: (-score[i], ids[i]))[:k]
+        return score[order], ids[order]
     if len(score) > k:
         edge = np.partition(score, len(score) - k)[len(score) - k]
         keep = np.flatnonzero(score >= edge)
@@ -79,20 +87,24 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5,
     """Best ``k`` candidates of every query: ``query_id, rank (from 1), vec_id, score``.
     Both inputs are ``(id long, v array<long>)`` (see ``integer_vectors``)."""
     spark = candidates.sparkSession
+    wide = isinstance(candidates.schema["v"].dataType.elementType, T.DoubleType)
     schema = T.StructType([T.StructField("query_id", T.LongType()),
                            T.StructField("vec_id", T.LongType()),
-                           T.StructField("score", T.LongType())])
+                           T.StructField("score", T.StringType() if wide else T.LongType())])
     distinct = queries.groupBy("id").agg(F.min("v").alias("v"))
     parts = []
     for block in _query_blocks(distinct, query_block):
         shared = spark.sparkContext.broadcast(block)
-        parts.append(candidates.select("id", "v").mapInArrow(_scan(shared, k), schema))
+        parts.append(candidates.select("id", "v").mapInArrow(_scan(shared, k, wide), schema))
     if not parts:
         return spark.createDataFrame([], T.StructType([
-            schema[0], T.StructField("rank", T.IntegerType()), schema[1], schema[2]]))
+            schema[0], T.StructField("rank", T.IntegerType()), schema[1], T.StructField("score", T.LongType())]))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
+    if wide:
+        return found.groupBy("query_id").applyInPandas(
+            _merge_wide(k), "query_id long, rank int, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
                  .select("query_id", "rank", "vec_id", "score"))
@@ -116,16 +128,29 @@ def _query_blocks(queries: DataFrame, size: int) -> Iterator[dict]:
         last = int(ids[-1])
 
 
-def _scan(shared, k: int):
+def _merge_wide(k: int):
+    """The k best of a query's rows (at most k per task), scores as decimal strings."""
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        score = np.array([int(s) for s in group["score"]], dtype=object)
+        score, who = _best(score, group["vec_id"].to_numpy(), k)
+        return pd.DataFrame({"query_id": group["query_id"].iloc[0], "rank": np.arange(1, len(who) + 1), "vec_id": who,
+                             "score": pd.array([s if -(1 << 63) <= s < 1 << 63 else None for s in score], "Int64")})
+
+    return merge
+
+
+def _scan(shared, k: int, wide: bool = False):
+    kind = object if wide else np.int64
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = shared.value["ids"], shared.value["vectors"]
-        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+        best = [(np.zeros(0, kind), np.zeros(0, np.int64))] * len(ids)
         for whole in batches:
             for at in range(0, whole.num_rows, CANDIDATE_BLOCK):
                 own, bounds, flat = _arrays(whole.slice(at, CANDIDATE_BLOCK))
                 postings = _postings(bounds, flat)
                 for q, vector in enumerate(vectors):
-                    score = np.zeros(len(own), dtype=np.int64)
+                    score = np.zeros(len(own), dtype=kind)
                     for term in np.flatnonzero(vector):
                         if int(term) in postings:
                             rows, weight = postings[int(term)]
@@ -143,7 +168,7 @@ def _scan(shared, k: int):
             yield pa.RecordBatch.from_pandas(pd.DataFrame({
                 "query_id": np.repeat(ids, sizes).astype(np.int64),
                 "vec_id": np.concatenate([i for _, i in best]).astype(np.int64),
-                "score": np.concatenate([s for s, _ in best]).astype(np.int64)}),
+                "score": np.concatenate([s for s, _ in best]).astype(str if wide else np.int64)}),
                 preserve_index=False)
 
     return run

@@ -34,6 +34,16 @@ def test_topk_equals_brute_force(shipped, block, monkeypatch):
     assert sorted(map(tuple, got)) == _brute(rows, 10, 5)
 
 
+def test_scores_beyond_64_bits_rank_exactly(shipped):
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([-1, 1]) * rng.random() * 10 ** rng.choice([0, 3, 12, 30]) for _ in range(3)]) for i in range(40)]
+    rows += [(100, [1e12, 0.0, 0.0]), (110, [1e12, 0.0, 0.0]), (120, [0.5, 0.5]), (130, [0.25, 0.0, 0.0])]
+    df = shipped.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.search_multiples(df, every=10).collect()))
+    want = [(q, r, i, s if -(1 << 63) <= s < 1 << 63 else None) for q, r, i, s in _brute(rows, 10, 5)]
+    assert got == sorted(want) and any(r[3] is None for r in got) and any(r[3] is not None for r in got)
+
+
 def test_topk_without_rows(shipped):
     df = shipped.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search_multiples(df).collect() == []
