@@ -37,7 +37,7 @@ from seqtok.operators.lookup import join_totals
 from seqtok.session import materialize
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-ARITY, LEAF = 8, 8
+ARITY, LEAF = 8, 8         # LEAF >= ARITY
 BLOCK_ROWS = 4096
 _WORD = 32
 _SLACK = 2.0 ** -50
