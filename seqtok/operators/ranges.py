@@ -34,7 +34,8 @@ from seqtok.session import materialize, materialize_bucketed
 from seqtok.sources.records import ORDER_COLUMNS
 
 _DEFAULT = Params()
-MIN_RANGE_ROWS = 5_000         # smaller ranges only to reach ``rows_per_range``
+MIN_RANGE_ROWS = 2_000         # smaller ranges only to reach ``rows_per_range``
+RANGES_PER_BUCKET = 4          # a bucket is one task; ranges fall into buckets by hash, so several even it out
 
 
 @dataclass(frozen=True)
@@ -65,14 +66,15 @@ def ranged_rows(df: DataFrame, order: Sequence, out: str | None = "pos", params:
     """
     keys = _sort_orders(order)
     n = df.count() if n_rows is None else n_rows
-    cores = min(df.sparkSession.sparkContext.defaultParallelism, n // MIN_RANGE_ROWS)   # each range is one task
-    parts = min(params.max_ranges, max(1, math.ceil(n / params.rows_per_range), cores))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = min(params.max_ranges, max(1, math.ceil(n / params.rows_per_range),
+                                       min(cores * RANGES_PER_BUCKET, n // MIN_RANGE_ROWS)))
     ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     place = F.monotonically_increasing_id()
     back = materialize_bucketed(
         ranged.select("*", F.spark_partition_id().alias("__range"), place.alias("__at")).withColumn(
             "__at", F.col("__at") - F.shiftleft(F.col("__range").cast("long"), 33)),
-        "ranges", parts, "__range", "__at")
+        "ranges", math.ceil(parts / RANGES_PER_BUCKET), "__range", "__at")
     counts = back.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()      # one row per range
     made = Ranged(back, {r["__range"]: r["n"] for r in sorted(counts, key=lambda r: r["__range"])})
     if out is None:
