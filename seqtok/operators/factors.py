@@ -7,13 +7,19 @@ next factor by a group sum; only k x k matrices (Gram matrices of the factor) me
 driver, where they are factored with NumPy. The factor is a table with one row per token, written after
 every step, so a lost executor costs one step at most and no vocabulary is held anywhere.
 
+A step moves no pairs. Those whose context is frequent (as many contexts as their factor rows fit a broadcast) lie
+bucketed by token: the factor rows come by broadcast and a token's sum stays in its bucket. The others lie
+bucketed by context: only the factor is shuffled, and as their tokens are mostly frequent ones, sums are
+combined before they move.
+
 The token vector is the eigenvector row scaled by the root of the singular value, as in factorised PMI embeddings.
-Both sides of a join on a frequent context are handled by ``lookup``: broadcast by measured size, else salted.
+In ``positive_pmi``, joins on a frequent token are handled by ``lookup``: broadcast by measured size, else salted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -23,9 +29,9 @@ from pyspark.sql import functions as F
 
 from seqtok.config import Params
 from seqtok.operators.learn import context_pairs
-from seqtok.operators.lookup import fits_broadcast, lookup_column
+from seqtok.operators.lookup import fits_broadcast, lookup_column, table_stats
 from seqtok.operators.vectors import double_array
-from seqtok.session import materialize
+from seqtok.session import materialize, materialize_bucketed
 
 _DEFAULT = Params()
 OVERSAMPLE = 8
@@ -63,13 +69,54 @@ def _outer_sum(rows: DataFrame, left: str, right: str, k: int) -> np.ndarray:
     return np.asarray(got.toArray()).reshape(k, k)
 
 
-def _multiply(pairs: DataFrame, factor: DataFrame, params: Params) -> DataFrame:
+@dataclass(frozen=True)
+class _Pairs:
+    """The pair table as a step reads it: ``near`` (frequent contexts, bucketed by token) and ``far`` (the others,
+    bucketed by context); ``frequent (__f)`` or None where all contexts are."""
+
+    near: DataFrame
+    far: DataFrame | None
+    frequent: DataFrame | None
+
+
+def _laid_out(pmi: DataFrame, k: int, params: Params) -> _Pairs:
+    buckets = int(pmi.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def bucketed(rows: DataFrame, key: str) -> DataFrame:
+        return materialize_bucketed(rows.repartition(buckets, key), f"pmi-by-{key}", buckets, key, key)
+
+    # a measured context row and its k factors
+    degrees = materialize(pmi.groupBy(F.col("context").alias("__f")).agg(F.count(F.lit(1)).alias("__d")), "degrees")
+    n, size = table_stats(degrees)
+    room = int(params.broadcast_max_bytes // (size / n + 8 * k + 16))
+    if n <= room:
+        return _Pairs(bucketed(pmi, "token"), None, None)
+    least = sum_above = 0
+    for row in degrees.groupBy("__d").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("__d")).toLocalIterator():
+        least, sum_above = row["__d"], sum_above + row["c"]
+        if sum_above > room:                   # contexts of this many pairs are too many
+            break
+    frequent = materialize(degrees.where(F.col("__d") > least).select("__f"), "frequent-contexts")
+    hot = F.broadcast(frequent)
+    return _Pairs(bucketed(pmi.join(hot, F.col("context") == F.col("__f"), "left_semi"), "token"),
+                  bucketed(pmi.join(hot, F.col("context") == F.col("__f"), "left_anti"), "context"), frequent)
+
+
+def _multiply(pairs: _Pairs, factor: DataFrame, k: int) -> DataFrame:
     """``(token, y)``: the pair table times the factor ``(token, q)``."""
-    joined = lookup_column(pairs, F.col("context"), factor, "token", "q", "__q", fits_broadcast(factor, params),
-                           ["token", "context"], params)
-    weighted = F.transform("__q", lambda x: x * F.col("ppmi"))
-    sums = joined.groupBy("token").agg(Summarizer.sum(array_to_vector(weighted)).alias("__s"))
-    return materialize(sums.select("token", vector_to_array("__s").alias("y")), "factor")
+    rows = factor.select(F.col("token").alias("__k"), "q")
+
+    def sums(part: DataFrame, q: DataFrame) -> DataFrame:
+        joined = part.join(q, F.col("context") == F.col("__k"))
+        return joined.groupBy("token").agg(*[F.sum(F.col("q")[d] * F.col("ppmi")).alias(f"__s{d}") for d in range(k)])
+
+    if pairs.far is None:
+        both = sums(pairs.near, F.broadcast(rows))
+    else:
+        hot = rows.join(F.broadcast(pairs.frequent), F.col("__k") == F.col("__f"), "left_semi")
+        both = sums(pairs.near, F.broadcast(hot)).unionByName(sums(pairs.far, rows)).groupBy("token").agg(
+            *[F.sum(f"__s{d}").alias(f"__s{d}") for d in range(k)])
+    return materialize(both.select("token", F.array(*[f"__s{d}" for d in range(k)]).alias("y")), "factor")
 
 
 def learn_vectors(pmi: DataFrame, dim: int = 40, iterations: int = 20, tolerance: float = 1e-7,
@@ -88,9 +135,10 @@ def learn_vectors(pmi: DataFrame, dim: int = 40, iterations: int = 20, tolerance
     k = dim + OVERSAMPLE
     start = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda d: F.xxhash64("token", d) / F.lit(float(1 << 63)))
     factor = pmi.select("token").distinct().select("token", start.alias("q"))
+    pairs = _laid_out(pmi, k, params)
     last = np.zeros(dim)
     for _ in range(max(iterations, 1)):
-        y = _multiply(pmi, factor, params)
+        y = _multiply(pairs, factor, k)
         values, basis = np.linalg.eigh(_outer_sum(y, "y", "y", k))
         order = np.argsort(-values, kind="stable")
         values, basis = np.maximum(values[order], 0.0), basis[:, order]
@@ -103,7 +151,7 @@ def learn_vectors(pmi: DataFrame, dim: int = 40, iterations: int = 20, tolerance
             break
         last = now
     factor = materialize(factor, "factor")
-    y = _multiply(pmi, factor, params)
+    y = _multiply(pairs, factor, k)
     ritz = _outer_sum(factor.join(y, "token"), "q", "y", k)
     values, basis = np.linalg.eigh((ritz + ritz.T) / 2)
     order = np.argsort(-np.abs(values), kind="stable")[:dim]

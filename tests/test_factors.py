@@ -67,3 +67,20 @@ def test_vectors_of_one_group_are_alike_and_missing_directions_are_zero(spark):
     assert np.allclose(singular[4:], 0, atol=1e-9)
     empty, none = learn_vectors(positive_pmi(spark.createDataFrame([], "tokens array<string>")), dim=3)
     assert empty.count() == 0 and none == [0.0, 0.0, 0.0]
+
+
+def test_pairs_of_frequent_and_other_contexts(spark):
+    from seqtok.operators.factors import _laid_out
+
+    rnd = random.Random(8)
+    cells = {(a, b): rnd.random() for a in range(12) for b in range(a, 12) if a < 3 or rnd.random() < 0.3}
+    rows = [(f"t{a}", f"t{b}", x) for (a, b), x in cells.items()] + [(f"t{b}", f"t{a}", x) for (a, b), x in cells.items() if a != b]
+    pmi = spark.createDataFrame(rows, "token string, context string, ppmi double")
+    small = Params(broadcast_max_bytes=700)
+    pairs = _laid_out(pmi, 10, small)
+    assert pairs.near.count() > 0 and pairs.far.count() > 0 and pairs.near.count() + pairs.far.count() == len(rows)
+    (a, s), (b, t) = (learn_vectors(pmi, dim=2, iterations=30, params=p) for p in (small, Params()))
+    assert s == pytest.approx(t, rel=1e-6)
+    got, want = ({r["token"]: r["vector"] for r in x.collect()} for x in (a, b))
+    assert set(got) == set(want) == {f"t{i}" for i in range(12)}
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in got)
