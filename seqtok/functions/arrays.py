@@ -22,11 +22,18 @@ def one_hot(y: Column, k: int) -> Column:
 
 
 def reshape_steps(flat: Column, steps: int, width: int) -> Column:
-    """Regroup a flat array of ``steps*width`` values into ``steps`` arrays of ``width``."""
-    return F.transform(
+    """Regroup a flat array of ``steps*width`` values into ``steps`` arrays of ``width``. A shorter array gives
+    shorter steps."""
+    short = F.transform(
         F.sequence(F.lit(0), F.lit(steps - 1)),
         lambda t: F.slice(flat, t * width + 1, width),
     )
+    if steps < 1 or width < 1:
+        return short
+    # element by element: a slice in a lambda copies the whole array for every step
+    starts, places = ([F.lit(i) for i in r] for r in (range(0, steps * width, width), range(width)))
+    whole = F.transform(F.array(*starts), lambda t: F.transform(F.array(*places), lambda i: F.get(flat, t + i)))
+    return F.when(F.size(flat) >= steps * width, whole).otherwise(short)
 
 
 def past_future_split(steps: Column, center: int, total: int) -> tuple[Column, Column]:
