@@ -20,7 +20,7 @@ from seqtok.functions.buckets import bucket_unit
 from seqtok.functions.text import py_float_text
 from seqtok.operators import evaluate as ev_ops
 from seqtok.operators import factors, learn, sequence_bayes
-from seqtok.operators.ranges import Ranged, file_positions, range_windows, ranged_rows
+from seqtok.operators.ranges import RANGE_COLUMNS, Ranged, file_positions, range_windows, ranged_rows
 from seqtok.operators.sequence import (
     assign_batch, assign_chunk, assign_chunk_by_key, binary_label, global_position, rank_within,
     sequence_window, split_name,
@@ -70,16 +70,16 @@ def events_records(spark: SparkSession, sf_dir: str, params: Params = EV, positi
 
 
 def events_ranged(spark: SparkSession, sf_dir: str, params: Params = EV, broadcast: bool | None = None,
-                  order: tuple[str, ...] = ("event_id",)) -> Ranged:
-    """``events_indexed`` with ``pos``, as ordered ranges: the records are shuffled once, into their
-    ranges; tokens and broadcast lookups leave them where they are."""
+                  order: tuple[str, ...] = ("event_id",), columns: tuple[str, ...] = ("event_id", "feat")) -> Ranged:
+    """``columns`` of ``events_indexed``, with ``pos``, as ordered ranges: the records are shuffled once, into
+    their ranges; tokens and broadcast lookups leave them where they are."""
     events = read(spark, sf_dir, "events")
     spec = events_spec()
     bounds = collect_bounds(events, spec.bucket_columns)
     rows = events.select("event_id", *spec_columns(spec))
     ranged = ranged_rows(rows, list(order), "pos", params, next(iter(bounds.values())).n_rows)
-    rec = tokenize_records(ranged.rows, spec, bounds, params, keep=["__range", "__at", "pos", "event_id", "user_id"])
-    return ranged.over(_indexed(rec, params, broadcast))
+    rec = tokenize_records(ranged.rows, spec, bounds, params, keep=[*RANGE_COLUMNS, "pos", "event_id", "user_id"])
+    return ranged.over(_indexed(rec, params, broadcast).select(*RANGE_COLUMNS, "pos", *columns))
 
 
 def spec_columns(spec) -> list[str]:
@@ -120,7 +120,7 @@ def pad_step(params: Params = EV) -> F.Column:
 
 def events_windows(spark: SparkSession, sf_dir: str, n: int = 40, params: Params = EV) -> DataFrame:
     """Indexed, windowed, labelled, chunked and batched events."""
-    ranged = events_ranged(spark, sf_dir, params)
+    ranged = events_ranged(spark, sf_dir, params, columns=("event_id", "user_id", "tokens", "answer", "token_ids", "feat", "label"))
     win = range_windows(ranged, {"features": ("feat", pad_step(), True), "labels": ("label", 0, False)},
                         n, params=params)
     win = assign_batch(assign_chunk(win, params.rows_per_chunk), params.batch_size)
@@ -322,7 +322,7 @@ def q_sequence_window_global(spark, sf):
 
 def q_sequence_window_keyed(spark, sf):
     """Windows per user: records are positioned by (user, event) once, before the lookups."""
-    ranged = events_ranged(spark, sf, order=("user_id", "event_id"))
+    ranged = events_ranged(spark, sf, order=("user_id", "event_id"), columns=("event_id", "user_id", "feat"))
     win = range_windows(ranged, {"window": ("feat", pad_step(), True)}, 40, keys=["user_id"], params=EV)
     return win.select("event_id", "user_id", _join_ids("window").alias("window"))
 
@@ -335,9 +335,11 @@ def q_label_window(spark, sf):
 
 
 def q_past_future_split(spark, sf):
-    win = range_windows(events_ranged(spark, sf), {"window": ("feat", pad_step(), True)}, 51, params=EV)
-    steps = reshape_steps(F.col("window"), 51, N_FEATURES)
-    past, future = past_future_split(steps, 25, 51)
+    # ids become text once a record, not once in each of its 51 windows
+    texts = (F.col("feat").cast("array<string>"), pad_step().cast("array<string>"), True)
+    win = range_windows(events_ranged(spark, sf), {"window": texts}, 51, params=EV)
+    win = win.select("event_id", reshape_steps(F.col("window"), 51, N_FEATURES).alias("steps"))
+    past, future = past_future_split(F.col("steps"), 25, 51)
     return win.select("event_id", _join_ids(F.flatten(past)).alias("past"),
                       _join_ids(F.flatten(future)).alias("future"))
 
@@ -703,14 +705,18 @@ def q_wide_records(spark, sf):
     spec = kdd_spec()
     rec = materialize(parse_records(wide_record_lines(spark, sf), KDD_COLUMNS, keep=key), "wide-records")
     bounds = collect_bounds(rec, spec.bucket_columns)
-    ranged = ranged_rows(rec, key, "pos", p, next(iter(bounds.values())).n_rows)
-    tok = tokenize_records(ranged.rows, spec, bounds, p, keep=["__range", "__at", "pos", *key])
+    # tokenized between the sort and the write: once
+    ranged = ranged_rows(rec, key, "pos", p, next(iter(bounds.values())).n_rows,
+                         then=lambda rows: tokenize_records(rows, spec, bounds, p, keep=key))
+    tok = ranged.rows
     freq = materialize(token_frequencies(explode_tokens(tok)), "wide-frequencies")
     vocab = materialize(build_vocabulary(freq, p), "wide-vocabulary")
     idx = index_tokens(tok, vocab, spec.n_tokens, p)
-    feat = idx.select("__range", "__at", "pos", *key, F.slice("token_ids", 1, spec.n_features).alias("feat"),
+    feat = idx.select(*RANGE_COLUMNS, "pos", *key, F.slice("token_ids", 1, spec.n_features).alias("feat"),
                       binary_label(F.col("answer"), p).alias("label"))
-    pad = F.array_repeat(F.lit(p.pad_id).cast("long"), spec.n_features)
+    # ids become text once a record, not once in each of its windows
+    pad = F.array_repeat(F.lit(p.pad_id).cast("string"), spec.n_features)
+    feat = feat.withColumn("feat", F.col("feat").cast("array<string>"))
     win = range_windows(ranged.over(feat), {"features": ("feat", pad, True), "labels": ("label", 0, False)}, 5, params=p)
     return win.select(*key, F.md5(_join_ids("features")).alias("window_md5"),
                       F.size("features").alias("n_ids"), _join_ids("labels").alias("labels"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqtok.config import Params
-from seqtok.operators.ranges import file_positions, range_windows, ranged_rows, running_sums
+from seqtok.operators.ranges import _halo_table, file_positions, range_windows, ranged_rows, running_sums
 from seqtok.sources.records import ORDER_COLUMNS, read_records
 
 
@@ -104,3 +104,26 @@ def test_file_positions_without_a_sort(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     assert set(ORDER_COLUMNS) <= set(got.columns)
+
+
+def test_halo_reads_only_the_last_rows_of_the_ranges(spark):
+    df = spark.range(400).select(F.col("id").alias("k"))
+    ranged = ranged_rows(df, ["k"], params=Params(rows_per_range=100))
+    only = F.when(F.col("__left") > 3, F.raise_error(F.lit("looked up")).cast("long")).otherwise(F.col("k"))
+    looked = ranged.over(ranged.rows.withColumn("x", only))
+    staged = looked.rows.withColumn("__v_w", F.col("x"))
+    got = _halo_table(looked, staged, [], ["__v_w"], "pos", 3).collect()
+    assert len(got) >= 2 and all(len(r["__halo"]) == 3 for r in got)
+
+
+def test_projection_between_sort_and_write(spark):
+    df = spark.range(50).select((49 - F.col("id")).alias("k"))
+    ranged = ranged_rows(df, ["k"], params=Params(rows_per_range=20), then=lambda r: r.select("k", (F.col("k") * 2).alias("d")))
+    assert all(r["pos"] == r["k"] and r["d"] == 2 * r["k"] for r in ranged.rows.collect())
+
+
+def test_windows_of_arrays_of_any_length_with_nulls(spark):
+    rows = [(0, ["a", None]), (1, []), (2, ["b"]), (3, None), (4, ["c"]), (5, ["d"])]
+    df = spark.createDataFrame(rows, "k long, a array<string>")
+    got = range_windows(ranged_rows(df, ["k"]), {"w": ("a", F.array(F.lit("-")), True)}, 2).orderBy("k").collect()
+    assert [r["w"] for r in got] == [["-", "a", None], ["a", None], ["b"], None, None, ["c", "d"]]
