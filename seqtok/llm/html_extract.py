@@ -2,10 +2,10 @@
 
 Method, for the pages of one host:
 
-1. Up to ``SAMPLE_PAGES`` different pages (in hash order of their html) are parsed to DOM trees. Like siblings
-   are folded into one place (a signature is the tag with its class and role), and the trees are aligned one after
-   another by simple tree matching: the ordered alignment of children with the most matched nodes. The merged
-   tree is the host's template tree; it gives the places, not the texts.
+1. Every page is parsed to a DOM tree. Like siblings are folded into one place (a signature is the tag with its
+   class and role). The different folded trees of all the host's pages, those of most pages first, are aligned
+   one after another by simple tree matching: the ordered alignment of children with the most matched nodes. The
+   merged tree is the host's template tree; it gives the places, not the texts.
 2. Every page of the host is aligned with that tree. A text at a matched place is constant if it is there on
    ``CONSTANT_SHARE`` of the host's pages (``MAIN_SHARE`` inside of ``article`` and ``main``), counted over all pages.
    Copies count once: pages are told apart by a bottom sketch of their words, so that near copies of one article
@@ -21,7 +21,8 @@ Method, for the pages of one host:
 Character references are decoded; white space inside a block is one space; blocks are
 joined by an empty line in page order. Nothing is capped.
 
-Scale: pages are parsed and aligned where they lie. Per text one small row (host, place, hashes) is
+Scale: pages are parsed and aligned where they lie. Folded trees are counted per host before they move; a host with
+more than ``MERGE_TREES`` different ones merges them by groups (by their hash), then the merged ones. Per text one small row (host, place, hashes) is
 pre-aggregated and shuffled by all its columns, so a hot host is no hot key. Wrappers (one row per host; their size
 does not grow with the pages of a host) are broadcast if their measured size is small, else joined by a shuffle that deals the
 pages of a hot host over salts. Siblings of many signatures are aligned in ``k log k``.
@@ -48,12 +49,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqtok.config import Params
-from seqtok.llm.common import sample_by_hash, text_column
+from seqtok.llm.common import text_column
 from seqtok.llm.url_filters import url_host
 from seqtok.operators.lookup import join_totals, size_in_bytes
 from seqtok.session import materialize
 
-SAMPLE_PAGES = 8
+MERGE_TREES = 1000           # folded trees of a host that one task merges
 CONSTANT_SHARE, CONSTANT_PAGES = 0.5, 3       # share of a host's pages, and pages, that make a text constant
 MAIN_SHARE, MAIN_PAGES = 0.9, 8               # the same inside of article and main
 MAX_DEPTH = 150
@@ -325,11 +326,27 @@ def merge(template: Place, page: Place, pairs: list) -> None:
 
 
 def template_tree(pages: list[str]) -> Place:
-    """The merged tree of some pages of a host."""
-    trees = [shape(parse(p)) for p in pages if p]
-    template = trees[0] if trees else shape(parse(""))
-    for t in trees[1:]:
-        merge(template, t, tree_match(template, t)[1])
+    """The merged tree of all pages of a host."""
+    counts: dict[str, int] = {}
+    for p in pages:
+        if p:
+            packed = page_shape(p)
+            counts[packed] = counts.get(packed, 0) + 1
+    return merged_tree(counts) if counts else shape(parse(""))
+
+
+def page_shape(page: str) -> str:
+    """The folded tree of a page as JSON."""
+    return json.dumps(pack_tree(shape(parse(page))))
+
+
+def merged_tree(counts: dict[str, int]) -> Place:
+    """The merged tree of folded trees (JSON, and their pages), those of most pages first."""
+    order = sorted(counts, key=lambda t: (-counts[t], t))
+    template = unpack_tree(json.loads(order[0]))
+    for t in order[1:]:
+        tree = unpack_tree(json.loads(t))
+        merge(template, tree, tree_match(template, tree)[1])
     return template
 
 
@@ -425,7 +442,7 @@ def constant_texts(counts: list[tuple[int, int, bool, int]], pages: int) -> set[
 
 def induce(pages: list[str]) -> Wrapper:
     """The wrapper of a host from all its pages, without Spark."""
-    tree = template_tree(pages[:SAMPLE_PAGES])
+    tree = template_tree(pages)
     seen: dict[tuple[int, int, bool], set[int]] = {}
     keys = set()
     for page in pages:
@@ -444,23 +461,36 @@ def _hosts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
         F.col("__html").isNotNull() & (F.col("__html") != ""))
 
 
+_SHAPES = T.StructType([T.StructField("__host", T.StringType()), T.StructField("__tree", T.StringType())])
+
+
+def _shape_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        shapes = [page_shape(p) for p in text_column(batch, "__html")]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string())], names=_SHAPES.names)
+
+
+def _merge_group(group: pd.DataFrame) -> pd.DataFrame:
+    tree = merged_tree(dict(zip(group["__tree"], group["__n"])))
+    return pd.DataFrame({"__host": [group["__host"].iloc[0]], "__tree": [json.dumps(pack_tree(tree))], "__n": [int(group["__n"].sum())]})
+
+
 def _template_trees(page: DataFrame) -> DataFrame:
-    """``(__host, __tree, __n)``: the merged tree of up to SAMPLE_PAGES different pages, and the host's pages."""
-    chosen = sample_by_hash(page.select("__host", "__h").distinct(), "__host", "__h", SAMPLE_PAGES).select(
-        F.col("__host").alias("__ch"), F.col("__h").alias("__cx"))
-    if size_in_bytes(chosen) <= BROADCAST_BYTES:
-        chosen = F.broadcast(chosen)
-    sample = (page.join(chosen, (F.col("__host") == F.col("__ch")) & (F.col("__h") == F.col("__cx")))
-                  .groupBy("__host", "__h").agg(F.max("__html").alias("__html")))
-
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("__h")
-        tree = pack_tree(template_tree(ordered["__html"].tolist()))
-        return pd.DataFrame({"__host": [group["__host"].iloc[0]], "__tree": [json.dumps(tree)]})
-
-    trees = sample.groupBy("__host").applyInPandas(learn, "__host string, __tree string")
-    sizes = page.groupBy(F.col("__host").alias("__sh")).agg(F.count(F.lit(1)).alias("__n"))
-    return trees.join(sizes, F.col("__host") == F.col("__sh")).drop("__sh")
+    """``(__host, __tree, __n)``: the merged tree of all pages of a host, and their number."""
+    shapes = page.select("__host", "__html").mapInArrow(_shape_rows, _SHAPES)
+    trees = materialize(shapes.groupBy("__host", "__tree").agg(F.count(F.lit(1)).alias("__n")), "page-shapes")
+    while True:
+        sizes = materialize(trees.groupBy(F.col("__host").alias("__sh")).agg(F.count(F.lit(1)).alias("__t")), "shape-counts")
+        most = sizes.agg(F.max("__t")).first()[0] or 0
+        groups = F.ceil(F.col("__t") / MERGE_TREES)
+        dealt = trees.join(sizes, F.col("__host") == F.col("__sh")).select(
+            "__host", "__tree", "__n", F.pmod(F.xxhash64("__tree"), groups).alias("__g"))
+        merged = dealt.groupBy("__host", "__g").applyInPandas(_merge_group, "__host string, __tree string, __n long")
+        # different groups may have merged to one tree
+        trees = merged.groupBy("__host", "__tree").agg(F.sum("__n").alias("__n"))
+        if most <= MERGE_TREES:
+            return trees
+        trees = materialize(trees, "page-shapes")
 
 
 def _with_host(rows: DataFrame, hosts: DataFrame, spread: str) -> DataFrame:

@@ -144,3 +144,14 @@ def test_words_of_class_do_not_take_the_main_text():
     assert hx.extract(page) == want
     notes = [f'<body><div class="cookie-notice">{text}</div><div>{i}</div></body>' for i in range(4)]
     assert hx.extract(notes[0], hx.induce(notes)) == "0"
+
+
+def test_template_tree_is_merged_from_all_pages(spark, shipped, monkeypatch):
+    # a part that only some of 40 pages have is a place of the template, wherever their hashes fall
+    pages = [f"<body><h1>t{i}</h1><div class=p{i}>x{i}</div>" + ("<section>s</section>" if i % 13 == 5 else "") for i in range(40)]
+    df = spark.createDataFrame([(i, "http://a.org/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    for limit in (1000, 7):                # one group, and groups merged in rounds
+        monkeypatch.setattr(hx, "MERGE_TREES", limit)
+        rows = hx._template_trees(hx._hosts(df, "url", "html")).collect()
+        assert len(rows) == 1 and rows[0]["__n"] == 40
+        assert "section" in rows[0]["__tree"] and all(f"div.p{i}\"" in rows[0]["__tree"] for i in range(40))
