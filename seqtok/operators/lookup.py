@@ -168,6 +168,45 @@ def lookup_positions(df: DataFrame, array_col: str, n: int, table: DataFrame, ke
     return base.join(regrouped, F.col("__rid") == F.col("__g"), "inner").drop("__rid", "__g")
 
 
+def frequent_rows(keys: DataFrame, table: DataFrame, params: Params = _DEFAULT) -> DataFrame:
+    """The rows of ``table (__key, __val)`` whose key is most frequent in ``keys (__key)``: as many as fit a
+    broadcast by their mean size (of equally frequent ones all or none)."""
+    n, size = table_stats(table)
+    room = int(params.broadcast_max_bytes // max(size / max(n, 1), 1))
+    counts = keys.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
+    counts = materialize(counts.join(table.select("__key"), "__key", "left_semi"), "key-counts")
+    least = above = 0
+    for row in counts.groupBy("__n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("__n")).toLocalIterator():
+        above += row["c"]
+        if above > room:
+            least = row["__n"]
+            break
+    return materialize(table.join(counts.where(F.col("__n") > least), "__key", "left_semi"), "frequent-rows")
+
+
+def lookup_mixed(df: DataFrame, array_col: str, n: int, table: DataFrame, key: str, value: str,
+                 default: Column, out: str, params: Params = _DEFAULT) -> DataFrame:
+    """``lookup_positions`` for a table of large values that does not fit a broadcast: its most frequent rows are
+    broadcast, so only the other elements that have a value meet it in a shuffle."""
+    small = table.select(F.col(key).alias("__key"), F.col(value).alias("__val"))
+    # written first: the numbers stay the same if a task runs again
+    base = materialize(df.withColumn("__rid", F.monotonically_increasing_id()), "lookup-rows")
+    exploded = base.select("__rid", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__i"), array_col).select(
+        "__rid", "__i", F.get(F.col(array_col), F.col("__i")).alias("__key"))
+    frequent = frequent_rows(exploded, small, params)
+    rare = exploded.where(F.col("__key").isNotNull()).join(F.broadcast(frequent.select("__key")), "__key", "left_anti")
+    others = small.join(F.broadcast(frequent.select("__key")), "__key", "left_anti")
+    found = salted_join(rare, F.xxhash64("__rid", "__i"), others, "__key", "__val", "__val", params).where(
+        F.col("__val").isNotNull())
+    rows = found.groupBy(F.col("__rid").alias("__g")).agg(
+        F.map_from_entries(F.collect_list(F.struct("__i", "__val"))).alias("__rare"))
+    joined = base.join(rows, F.col("__rid") == F.col("__g"), "left").drop("__rid", "__g")
+    nothing = F.lit(None).cast(small.schema["__val"].dataType)
+    filled = join_each_position(joined, array_col, n, F.broadcast(frequent), nothing, "__often")
+    values = [F.coalesce(F.get("__often", F.lit(i)), F.try_element_at("__rare", F.lit(i)), default) for i in range(n)]
+    return filled.withColumn(out, F.array(*values)).drop("__often", "__rare")
+
+
 def lookup_column(df: DataFrame, col: Column, table: DataFrame, key: str, value: str,
                   out: str, broadcast: bool, salt_key: Sequence[str] = ("pos",),
                   params: Params = _DEFAULT) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqtok.config import Params
-from seqtok.operators.lookup import fits_broadcast, join_totals, lookup_positions
+from seqtok.operators.lookup import fits_broadcast, join_totals, lookup_mixed, lookup_positions
 
 _DEFAULT = Params()
 
@@ -38,13 +38,18 @@ def embed_tokens(records: DataFrame, vectors: DataFrame, n_tokens: int, dim: int
                  broadcast: bool | None = None, flatten: bool = True,
                  params: Params = _DEFAULT) -> DataFrame:
     """Replace each token id by its vector (``vectors``: ``token_id, vector``); ids
-    without a vector get zeros. ``flatten`` gives one ``n_tokens*dim`` array per row."""
-    if broadcast is None:
+    without a vector get zeros. Vectors too large to broadcast (``broadcast=None`` measures them) are: those of the
+    most frequent ids by broadcast, the others by a shuffle. ``flatten`` gives one ``n_tokens*dim`` array per row."""
+    measured = broadcast is None
+    if measured:
         broadcast = fits_broadcast(vectors.select("token_id", "vector"), params)
     vecs = vectors.select("token_id", F.col("vector").cast("array<float>").alias("vector"))
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    staged = lookup_positions(records, ids_col, n_tokens, vecs, "token_id", "vector", zero,
-                              out, broadcast, params)
+    if measured and not broadcast and n_tokens <= params.wide_tokens:
+        staged = lookup_mixed(records, ids_col, n_tokens, vecs, "token_id", "vector", zero, out, params)
+    else:
+        staged = lookup_positions(records, ids_col, n_tokens, vecs, "token_id", "vector", zero,
+                                  out, broadcast, params)
     return staged.withColumn(out, F.flatten(out)) if flatten else staged
 
 

@@ -386,7 +386,7 @@ def _embedding_dim(emb: DataFrame) -> int:
 
 
 def q_embed_tokens(spark, sf):
-    idx = events_indexed(spark, sf, positioned=False)
+    idx = events_indexed(spark, sf, positioned=False).select("event_id", "feat")
     emb = read(spark, sf, "embeddings")
     dim = _embedding_dim(emb)
     vectors = emb.select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vector"))

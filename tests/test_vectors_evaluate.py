@@ -101,3 +101,23 @@ def test_class_weight_and_terms(spark):
     df = spark.createDataFrame([(0, [3, 4, 5, 6])], "label int, w array<long>")
     r = df.select(class_weight(F.col("label")).alias("cw"), window_terms(F.col("w"), 2, 2).alias("t")).first()
     assert r.cw == 10.0 and r.t == [6, 8, 11, 13]  # id * 2 + step
+
+
+def test_embed_tokens_with_more_vectors_than_a_broadcast(spark):
+    rows = [(i, [1, 2, i, None if i % 3 else 9000 + i, i]) for i in range(60)] + [(60, None), (61, []), (61, [5])]
+    df = spark.createDataFrame(rows, "k long, ids array<long>").repartition(3)
+    vecs = spark.createDataFrame([(i, [float(i), -1.0]) for i in range(40)] + [(50, None)], "token_id long, vector array<float>")
+    want = [(k, [x for i in range(5) for x in ([float((ids or [])[i]), -1.0] if ids and i < len(ids) and ids[i] is not None
+                                               and ids[i] < 40 else [0.0, 0.0])]) for k, ids in rows]
+    for size in (1, 400, 1 << 20):         # no vector, some or all are broadcast
+        got = embed_tokens(df, vecs, 5, 2, ids_col="ids", params=Params(broadcast_max_bytes=size, salt_rows=20))
+        assert sorted((r["k"], list(r["embedded"])) for r in got.collect()) == sorted(want)
+
+
+def test_only_rare_vectors_meet_a_shuffle(spark):
+    from seqtok.operators.lookup import frequent_rows
+
+    keys = spark.createDataFrame([(1,)] * 30 + [(2,)] * 20 + [(i,) for i in range(3, 40)] + [(None,)], "__key long")
+    table = spark.createDataFrame([(i, [0.5] * 8) for i in range(1, 60)], "__key long, __val array<double>")
+    got = frequent_rows(keys, table, Params(broadcast_max_bytes=600))
+    assert sorted(r["__key"] for r in got.collect()) == [1, 2]
