@@ -97,30 +97,35 @@ def ranged_rows(df: DataFrame, order: Sequence, out: str | None = "pos", params:
 # ---------------------------------------------------------------- windows
 
 def range_windows(ranged: Ranged, values: dict, n: int, pos_col: str = "pos", keys: Sequence[str] = (),
-                  params: Params = _DEFAULT) -> DataFrame:
+                  params: Params = _DEFAULT, keep: Sequence[str] | None = None) -> DataFrame:
     """``sequence_windows`` over ordered ranges: same values and results, but the records are not shuffled
     again. With ``keys`` the order must begin with them.
 
     The last ``n - 1`` values before every range are collected once and put beside the first row of the range.
     If they are too large to broadcast, the halo chunks of ``sequence_windows`` take over. The columns of
-    ``ranged.rows`` come back with the windows: leave out before what is not needed after.
+    ``ranged.rows`` come back with the windows (``keep``: only these): leave out before what is not needed after.
     """
     if n < 1:
         raise ValueError("window length must be >= 1")
     keys, halo = list(keys), n - 1
     vals = {o: (F.col(v) if isinstance(v, str) else v) for o, (v, _, _) in values.items()}
-    staged = ranged.rows.select("*", *[v.alias(f"__v_{o}") for o, v in vals.items()])
+    rows = ranged.rows
+    kept = [c for c in rows.columns if c not in RANGE_COLUMNS] if keep is None else list(keep)
+    through = [c for c in rows.columns if keep is None or c in (*RANGE_COLUMNS, pos_col, *keys, *kept)]
+    staged = rows.select(*through, *[v.alias(f"__v_{o}") for o, v in vals.items()])
     before = _halo_table(ranged, staged, keys, [f"__v_{o}" for o in vals], pos_col, halo)
     if before is not None:
         before = materialize(before, "halo")
         if not fits_broadcast(before, params):
-            return sequence_windows(ranged.rows, values, n, pos_col, keys, params=params).drop(*RANGE_COLUMNS)
+            return sequence_windows(rows, values, n, pos_col, keys, params=params).select(*kept, *values)
         staged = staged.join(F.broadcast(before), (F.col("__range") == F.col("__hr")) & (F.col("__at") == 0), "left").drop("__hr")
-    pads, fields = [], [f for f in ranged.rows.schema.fields if f.name not in RANGE_COLUMNS]
+        # empty, not NULL: for every row Spark measures the batch so far, and goes again through all its NULL arrays
+        staged = staged.withColumn("__halo", F.coalesce("__halo", F.array().cast(before.schema["__halo"].dataType)))
+    pads, fields = [], [rows.schema[c] for c in kept]
     for o, (_, pad, flat) in values.items():
         kind = staged.schema[f"__v_{o}"].dataType
         pad_col = (pad if isinstance(pad, Column) else F.lit(pad)).cast(kind)
-        pads.append(F.when(F.col("__at") == 0, F.array(pad_col)).alias(f"__p_{o}"))
+        pads.append(F.when(F.col("__at") == 0, F.array(pad_col)).otherwise(F.array().cast(T.ArrayType(kind))).alias(f"__p_{o}"))
         fields.append(T.StructField(o, T.ArrayType(kind.elementType if flat else kind)))
     # the row numbers bring the rows of a range in order
     place = F.row_number().over(Window.partitionBy("__range").orderBy("__at")).alias("__i")
@@ -142,7 +147,7 @@ def _cut_windows(flat_of: dict[str, bool], n: int, keys: list[str], names: list[
                 if not pads:
                     pads = {o: batch.column(f"__p_{o}")[0].values for o in flat_of}
                     halo = batch.column("__halo")[0] if "__halo" in batch.schema.names else None
-                    if halo is not None and halo.is_valid:
+                    if halo is not None and len(halo.values):
                         items = halo.values
                         kept = {f.name: items.field(f.name) for f in items.type}
                         tail = {**{f"__v_{o}": kept[f"__v_{o}"] for o in flat_of}, **{k: kept[f"k_{k}"] for k in keys}}

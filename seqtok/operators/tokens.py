@@ -8,8 +8,11 @@ every downstream stage stays a narrow projection.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,12 +161,47 @@ def split_sentence(line: Column) -> Column:
 
 
 def explode_tokens(df: DataFrame, pos_col: str = "pos", tokens_col: str = "tokens",
-                   include_answer: bool = True, n_tokens: int | None = None) -> DataFrame:
-    """``(pos, token_pos, token)``; drops the answer token when asked."""
+                   include_answer: bool = True, n_tokens: int | None = None, counted: bool = False) -> DataFrame:
+    """``(pos, token_pos, token)``; drops the answer token when asked. ``counted``: ``(token, n)`` instead, every
+    token of a batch of records once with its number there, for ``token_frequencies`` of records with many tokens."""
     arr = F.col(tokens_col)
     if not include_answer:
         if n_tokens is None:
             arr = F.slice(arr, 1, F.size(arr) - 1)
         else:
             arr = F.slice(arr, 1, n_tokens - 1)
+    if counted:
+        return df.select(packed(arr)).mapInArrow(_count_tokens, "token string, n long")
     return df.select(F.col(pos_col), F.posexplode(arr).alias("token_pos", "token"))
+
+
+# ---------------------------------------------------------------- tokens of a batch of records at once
+# An array of texts costs much more on its way to Arrow than one text, so the tokens of a record go there joined.
+# Neither byte is part of any UTF-8 text.
+BETWEEN, NO_TOKEN = b"\xff", b"\xfe"
+
+
+def packed(tokens: Column) -> Column:
+    """All tokens of an array of texts in one binary, each with ``BETWEEN`` after it; see ``unpacked``. The array is
+    named once, so Spark never lays it out."""
+    between, none = (F.lit(bytearray(x)).cast("string") for x in (BETWEEN, NO_TOKEN))
+    return F.call_function("array_join", F.concat(tokens, F.array(F.lit(""))), between, none).cast("binary").alias("__tokens")
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """The tokens of all records of a batch (binary; ``NO_TOKEN`` for NULL), where those of each record start, and
+    their number: behind them is one more element, which is not a token."""
+    parts = pc.split_pattern(batch.column("__tokens"), pattern=BETWEEN)
+    ends = parts.offsets.to_numpy()
+    return parts.values.dictionary_encode(), ends[:-1], np.maximum(np.diff(ends) - 1, 0)
+
+
+def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens, starts, sizes = unpacked(batch)
+        codes = tokens.indices.to_numpy()
+        behind = (starts + sizes)[batch.column("__tokens").is_valid().to_numpy(zero_copy_only=False)]
+        n = np.bincount(codes, minlength=len(tokens.dictionary)) - np.bincount(codes[behind], minlength=len(tokens.dictionary))
+        found, n = tokens.dictionary.filter(pa.array(n > 0)), n[n > 0]
+        found = pc.if_else(pc.equal(found, pa.scalar(NO_TOKEN)), pa.scalar(None, pa.binary()), found)
+        yield pa.RecordBatch.from_arrays([found.cast(pa.string()), pa.array(n, pa.int64())], names=["token", "n"])

@@ -8,21 +8,31 @@ dense and deterministic: position in ``(freq desc, token asc)`` from
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqtok.config import Params
 from seqtok.functions.hashing import hash_index, uniform01
 from seqtok.operators.lookup import fits_broadcast, lookup_column, lookup_positions
 from seqtok.operators.sequence import global_position
+from seqtok.operators.tokens import packed, unpacked
 from seqtok.session import materialize
 
 _DEFAULT = Params()
+MANY_TOKENS = 16               # more tokens a record: looked up a batch of records at a time
+_LOADED: dict[str, dict[bytes, int]] = {}       # vocabulary of a Python worker
 
 
-def token_frequencies(tokens: DataFrame, token_col: str = "token") -> DataFrame:
-    """``(token, freq)`` over a one-token-per-row DataFrame."""
-    return tokens.groupBy(F.col(token_col).alias("token")).agg(F.count(F.lit(1)).alias("freq"))
+def token_frequencies(tokens: DataFrame, token_col: str = "token", count_col: str | None = None) -> DataFrame:
+    """``(token, freq)`` over a one-token-per-row DataFrame; ``count_col``: how often each row's token counts."""
+    freq = F.sum(count_col) if count_col else F.count(F.lit(1))
+    return tokens.groupBy(F.col(token_col).alias("token")).agg(freq.alias("freq"))
 
 
 def distinct_tokens(tokens: DataFrame, token_col: str = "token") -> DataFrame:
@@ -77,20 +87,66 @@ def first_n(df: DataFrame, order, n: int) -> DataFrame:
 
 def index_tokens(records: DataFrame, vocab: DataFrame, n_tokens: int,
                  params: Params = _DEFAULT, tokens_col: str = "tokens",
-                 out: str = "token_ids", broadcast: bool | None = None) -> DataFrame:
+                 out: str = "token_ids", broadcast: bool | None = None,
+                 keep: Sequence[str] | None = None) -> DataFrame:
     """Map every token to its id; tokens missing from ``vocab`` become ``unk_id``.
 
     ``broadcast=None`` measures ``vocab`` (one small action) and broadcasts it when it
-    fits ``params.broadcast_max_bytes``; otherwise a salted shuffle join is used.
+    fits ``params.broadcast_max_bytes``; otherwise a salted shuffle join is used. With more than
+    ``MANY_TOKENS`` tokens a record the broadcast goes to the Python workers, where each different token of
+    a batch of records is looked up once. ``keep``: the columns of ``records`` to return, else all.
     """
     if broadcast is None:
         broadcast = fits_broadcast(vocab.select("token", "token_id"), params)
+    if broadcast and n_tokens > MANY_TOKENS and not records.isStreaming:
+        return _index_batches(records, vocab, n_tokens, params, tokens_col, out, keep)
+    records = records if keep is None else records.select(*dict.fromkeys([*keep, tokens_col]))
+    indexed = _index_joined(records, vocab, n_tokens, params, tokens_col, out, broadcast)
+    return indexed if keep is None else indexed.select(*keep, out)
+
+
+def _index_joined(records: DataFrame, vocab: DataFrame, n_tokens: int, params: Params, tokens_col: str, out: str,
+                  broadcast: bool) -> DataFrame:
     return lookup_positions(
         records, tokens_col, n_tokens, vocab, "token", "token_id",
         F.lit(params.unk_id).cast("long"), out, broadcast, params,
     )
 
 
+def _index_batches(records: DataFrame, vocab: DataFrame, n_tokens: int, params: Params, tokens_col: str, out: str,
+                   keep: Sequence[str] | None) -> DataFrame:
+    kept = [c for c in (records.columns if keep is None else keep) if c != out]
+    words = vocab.select(F.col("token").cast("binary"), F.col("token_id").cast("long")).where(F.col("token").isNotNull())
+    table = records.sparkSession.sparkContext.broadcast(words.toArrow())
+    fields = [records.schema[c] for c in kept] + [T.StructField(out, T.ArrayType(T.LongType()))]
+    return records.select(*kept, packed(F.col(tokens_col))).mapInArrow(
+        _look_up(table, uuid.uuid4().hex, n_tokens, params.unk_id, kept, out), T.StructType(fields))
+
+
+def _look_up(table, name: str, n: int, default: int, kept: list[str], out: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = _loaded(name, table)
+        for batch in batches:
+            tokens, starts, sizes = unpacked(batch)
+            known = np.fromiter((ids.get(t, default) for t in tokens.dictionary.to_pylist()), np.int64, len(tokens.dictionary))
+            # the last one stands for tokens that are missing
+            found = np.append(known[tokens.indices.to_numpy()], default)
+            place = np.arange(n)
+            at = np.where(place < sizes[:, None], starts[:, None] + place, len(tokens))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * n, pa.int32()), pa.array(found[at].ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], lists], names=[*kept, out])
+
+    return run
+
+
+def _loaded(name: str, table) -> dict[bytes, int]:
+    """The broadcast vocabulary, made a dictionary once in each worker."""
+    if name not in _LOADED:
+        _LOADED.clear()
+        _LOADED[name] = dict(zip(table.value.column(0).to_pylist(), table.value.column(1).to_pylist()))
+    return _LOADED[name]
+
+
 def replace_oov(records: DataFrame, vocab: DataFrame, n_tokens: int,
                 params: Params = _DEFAULT, tokens_col: str = "tokens",
                 out: str = "tokens_seen", ids_out: str | None = None,

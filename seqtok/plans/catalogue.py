@@ -699,27 +699,28 @@ def wide_record_lines(spark, sf) -> DataFrame:
 
 def q_wide_records(spark, sf):
     """The connection-record flow on 42-field lines: split, bounds over text columns, 42
-    tokens, vocabulary, ids, windows of 5 records by (order, line number, line text)."""
+    tokens, vocabulary, ids, windows of 5 records by (order, line number, line text). A window
+    holds the ids of each of its records as one text, and their numbers."""
     key = ["l_orderkey", "l_linenumber", "line_md5"]
     p = EV.with_(normal_values=("R",), attack_values=None)
     spec = kdd_spec()
     rec = materialize(parse_records(wide_record_lines(spark, sf), KDD_COLUMNS, keep=key), "wide-records")
     bounds = collect_bounds(rec, spec.bucket_columns)
-    # tokenized between the sort and the write: once
-    ranged = ranged_rows(rec, key, "pos", p, next(iter(bounds.values())).n_rows,
-                         then=lambda rows: tokenize_records(rows, spec, bounds, p, keep=key))
-    tok = ranged.rows
-    freq = materialize(token_frequencies(explode_tokens(tok)), "wide-frequencies")
+    tok = tokenize_records(rec, spec, bounds, p, keep=key)
+    freq = materialize(token_frequencies(explode_tokens(tok, counted=True), count_col="n"), "wide-frequencies")
     vocab = materialize(build_vocabulary(freq, p), "wide-vocabulary")
-    idx = index_tokens(tok, vocab, spec.n_tokens, p)
-    feat = idx.select(*RANGE_COLUMNS, "pos", *key, F.slice("token_ids", 1, spec.n_features).alias("feat"),
-                      binary_label(F.col("answer"), p).alias("label"))
-    # ids become text once a record, not once in each of its windows
-    pad = F.array_repeat(F.lit(p.pad_id).cast("string"), spec.n_features)
-    feat = feat.withColumn("feat", F.col("feat").cast("array<string>"))
-    win = range_windows(ranged.over(feat), {"features": ("feat", pad, True), "labels": ("label", 0, False)}, 5, params=p)
-    return win.select(*key, F.md5(_join_ids("features")).alias("window_md5"),
-                      F.size("features").alias("n_ids"), _join_ids("labels").alias("labels"))
+    idx = index_tokens(tok, vocab, spec.n_tokens, p, keep=[*key, "answer"])
+    # only ids are sorted, as one text a record: they become text once, not once in each window
+    feat = _join_ids(F.slice("token_ids", 1, spec.n_features)).alias("feat")
+    n = F.least(F.size("token_ids"), F.lit(spec.n_features)).alias("n")
+    rows = materialize(idx.select(*key, feat, n, binary_label(F.col("answer"), p).alias("label")), "wide-ids")
+    ranged = ranged_rows(rows, key, "pos", p, next(iter(bounds.values())).n_rows)
+    pad = F.lit(",".join([str(p.pad_id)] * spec.n_features))
+    values = {"features": ("feat", pad, False), "sizes": ("n", spec.n_features, False), "labels": ("label", 0, False)}
+    win = range_windows(ranged, values, 5, params=p, keep=key)
+    n_ids = F.aggregate("sizes", F.lit(0), lambda total, n: total + n)
+    return win.select(*key, F.md5(_join_ids("features")).alias("window_md5"), n_ids.alias("n_ids"),
+                      _join_ids("labels").alias("labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

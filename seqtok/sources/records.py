@@ -34,15 +34,17 @@ def parse_records(lines: DataFrame, columns: Sequence[str] = KDD_COLUMNS,
     columns = list(columns)
     n = len(columns)
     parts = split_line(F.col(value_col))
-    staged = lines.select(*keep, parts.alias("__parts"))
     size = F.size("__parts")
     if on_bad == "fail":
+        # made by a generator, so that the filter stays above it: moved below, it would make and split every line twice
+        staged = lines.select(*keep, F.explode(F.array(parts)).alias("__parts"))
         # a filter: unlike a guard in the fields it is never pruned away (e.g. by count)
         wrong = F.raise_error(F.concat(
             F.lit(f"record has wrong number of fields (expected {n}): "), size.cast("string")))
         checked = staged.where(F.when(size == n, F.lit(True)).otherwise(wrong.cast("boolean")))
         return checked.select(*keep, *[F.col("__parts")[i].alias(c) for i, c in enumerate(columns)])
     if on_bad == "quarantine":
+        staged = lines.select(*keep, parts.alias("__parts"))
         fields = [F.when(size == n, F.col("__parts")[i]).alias(c) for i, c in enumerate(columns)]
         return staged.select(*keep, *fields, (size != n).alias("_corrupt"))
     raise ValueError("on_bad must be 'fail' or 'quarantine'")

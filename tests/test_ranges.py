@@ -127,3 +127,18 @@ def test_windows_of_arrays_of_any_length_with_nulls(spark):
     df = spark.createDataFrame(rows, "k long, a array<string>")
     got = range_windows(ranged_rows(df, ["k"]), {"w": ("a", F.array(F.lit("-")), True)}, 2).orderBy("k").collect()
     assert [r["w"] for r in got] == [["-", "a", None], ["a", None], ["b"], None, None, ["c", "d"]]
+
+
+def test_windows_beside_the_columns_to_keep(spark):
+    df = spark.range(90).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"), F.lit("x").alias("left_out"))
+    for p in (Params(rows_per_range=20), Params(rows_per_range=20, broadcast_max_bytes=10, halo_chunk_rows=30)):
+        ranged = ranged_rows(df, ["k"], params=p)
+        got = range_windows(ranged, {"w": ("v", -1, False)}, 4, params=p, keep=["k"])
+        assert got.columns == ["k", "w"] and _same(got, range_windows(ranged, {"w": ("v", -1, False)}, 4, params=p).select("k", "w"))
+
+
+def test_no_null_arrays_go_to_the_windows(spark):
+    df = spark.range(90).select(F.col("id").alias("k"))
+    got = range_windows(ranged_rows(df, ["k"], params=Params(rows_per_range=20)), {"w": ("k", -1, False)}, 4)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "ELSE [] END AS __p_w" in plan and "coalesce(__halo" in plan

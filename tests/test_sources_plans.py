@@ -30,6 +30,12 @@ def test_line_arity_fail_and_quarantine(spark):
     assert [r._corrupt for r in q] == [False, True] and q[0].d == "SF" and q[1].a is None
 
 
+def test_a_line_is_made_and_split_once(spark):
+    lines = spark.range(4).select(F.concat_ws(",", *[F.col("id").cast("string")] * 3).alias("value"))
+    plan = parse_records(lines, ["a", "b", "c"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("concat_ws(") == 1
+
+
 def test_concat_ws_canonical_none(spark):
     df = spark.createDataFrame([("a", None, "c")], "x string, y string, z string")
     arr = F.array(*[F.coalesce(F.col(c), F.lit("None")) for c in "xyz"])

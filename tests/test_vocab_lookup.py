@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from seqtok.config import Params
 from seqtok.operators.lookup import hot_keys, join_totals, lookup_positions, size_in_bytes
+from seqtok.operators.tokens import explode_tokens
 from seqtok.operators.vocab import (
     build_vocabulary, index_tokens, mask_tokens, replace_oov, token_frequencies, top_tokens,
 )
@@ -176,3 +177,28 @@ def test_totals_join_back_salted_and_with_null_groups(spark):
         got = join_totals(rows, totals, ["g"], "n", F.xxhash64("i"), p)
         assert got.columns == ["g", "i", "s"] and got.count() == 100
         assert got.where("g is null").agg(F.min("s"), F.max("s")).first() == (1683, 1683)
+
+
+def _many_tokens(spark):
+    n = 20
+    odd = [[""] * n, [None] * n, [], None, ["a,b", "é\n", "", None, "t1"], [f"t{i}" for i in range(n + 5)]]
+    rows = [[f"t{(i * j) % 37}" for j in range(n)] for i in range(300)] + odd
+    return spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "pos long, tokens array<string>").repartition(3), n
+
+
+def test_counted_tokens_equal_exploded_tokens(spark):
+    rec, _ = _many_tokens(spark)
+    plain = token_frequencies(explode_tokens(rec))
+    counted = token_frequencies(explode_tokens(rec, counted=True), count_col="n")
+    assert counted.schema["freq"].dataType == plain.schema["freq"].dataType
+    assert sorted(map(tuple, counted.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_many_tokens_are_looked_up_without_a_join_per_token(spark):
+    rec, n = _many_tokens(spark)
+    vocab = build_vocabulary(token_frequencies(explode_tokens(rec).where(F.col("token") != "t7")), Params())
+    idx = index_tokens(rec, vocab, n, Params(), keep=["pos"])
+    assert idx.columns == ["pos", "token_ids"] and "Join" not in idx._jdf.queryExecution().executedPlan().toString()
+    want = index_tokens(rec, vocab, n, Params(), broadcast=False, keep=["pos"])
+    assert sorted(map(tuple, idx.collect())) == sorted(map(tuple, want.collect()))
+    assert index_tokens(rec, vocab, n, Params()).columns == ["pos", "tokens", "token_ids"]
